@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, chat, tokencount, toxicity, urlrules, warc
+from . import bagminhash, chat, decontam, tokencount, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_perspectives, op2_url_rules, op3_warc_merge, op6_bag_minhash, op8_toxicity, op9_token_counts)}
+    return {f.__name__: f for f in (op1_chat_perspectives, op2_url_rules, op3_warc_merge, op6_bag_minhash, op7_decontamination, op8_toxicity, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
