@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, chat, decontam, tokencount, toxicity, urlrules, warc
+from . import bagminhash, chat, decontam, piecescan, tokencount, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecescan.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_perspectives, op2_url_rules, op3_warc_merge, op6_bag_minhash, op7_decontamination, op8_toxicity, op9_token_counts)}
+    return {f.__name__: f for f in (op1_chat_perspectives, op2_url_rules, op3_warc_merge, op6_bag_minhash, op7_decontamination, op8_toxicity, op9_token_counts, op10_piece_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
