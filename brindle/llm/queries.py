@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, chat, decontam, piecescan, tokencount, toxicity, urlrules, warc
+from . import bagminhash, cascade, chat, decontam, piecescan, tokencount, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.judge_quality(_table(spark, sf_dir, "documents"))
+
+
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
@@ -48,8 +52,8 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_perspectives, op2_url_rules, op3_warc_merge, op6_bag_minhash, op7_decontamination, op8_toxicity, op9_token_counts, op10_piece_scan)}
+    return {f.__name__: f for f in (op1_chat_perspectives, op2_url_rules, op3_warc_merge, op4_quality_cascade, op6_bag_minhash, op7_decontamination, op8_toxicity, op9_token_counts, op10_piece_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_perspectives": chat.ORACLE_SQL, "op3_warc_merge": warc.ORACLE_SQL}
+    return {"op1_chat_perspectives": chat.ORACLE_SQL, "op3_warc_merge": warc.ORACLE_SQL, "op4_quality_cascade": cascade.ORACLE_SQL}
