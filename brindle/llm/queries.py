@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cascade, chat, decontam, piecescan, tokencount, toxicity, urlrules, warc
+from . import bagminhash, cascade, chat, decontam, piecescan, pii, tokencount, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
@@ -51,9 +56,27 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecescan.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+QUERIES = (
+    op1_chat_perspectives,
+    op2_url_rules,
+    op3_warc_merge,
+    op4_quality_cascade,
+    op5_personal_data,
+    op6_bag_minhash,
+    op7_decontamination,
+    op8_toxicity,
+    op9_token_counts,
+    op10_piece_scan,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_perspectives, op2_url_rules, op3_warc_merge, op4_quality_cascade, op6_bag_minhash, op7_decontamination, op8_toxicity, op9_token_counts, op10_piece_scan)}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_perspectives": chat.ORACLE_SQL, "op3_warc_merge": warc.ORACLE_SQL, "op4_quality_cascade": cascade.ORACLE_SQL}
+    return {
+        "op1_chat_perspectives": chat.ORACLE_SQL,
+        "op3_warc_merge": warc.ORACLE_SQL,
+        "op4_quality_cascade": cascade.ORACLE_SQL,
+    }
