@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import checkpointed, written
+from .shared import checkpointed, sized, written
 
 U64 = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
@@ -355,7 +355,7 @@ def _classes(documents: DataFrame, similarity: float, shingle: int) -> DataFrame
     kind = "hub binary, node binary"
     likely = written(pairs.select("hub", "i", "j", "block", "node", "weight", "registers").mapInArrow(lambda x: similar_nodes(x, similarity), kind).distinct(), "likely-nodes")
 
-    wanted = likely.select("node").distinct()
+    wanted = sized(likely.select("node").distinct())
     texts = documents.select(F.unhex(F.md5("text")).alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     likely = likely.join(nodes.select("node", "weight", "registers"), "node").join(bags(texts, shingle), "node")
     pairs = block_pairs(likely.withColumn("cost", F.octet_length("grams") + F.octet_length("counts")), "cost")
@@ -386,7 +386,7 @@ def keep_one_per_class(documents: DataFrame, similarity: float = SIMILARITY, shi
     classes = written(_classes(documents, similarity, shingle).where("node IS NOT NULL"), "classes")
     gone = classes.where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
     node = F.unhex(F.md5("text"))
-    kept = documents.join(gone, documents["doc_id"].eqNullSafe(F.col("_gone_id")) & (node == F.col("_gone_node")), "left_anti")
+    kept = documents.join(sized(gone), documents["doc_id"].eqNullSafe(F.col("_gone_id")) & (node == F.col("_gone_node")), "left_anti")
     twice = classes.where("doc_id <=> class_id").groupBy("root").count().where("count > 1").select("root")
     if twice.isEmpty():
         return kept

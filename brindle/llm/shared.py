@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows (of an id and a digest) up to which a side is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +44,10 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def sized(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side of narrow rows, written once and counted: marked for broadcasting up
+    to ``most`` rows, else left to a shuffle join. It spares large texts the shuffle."""
+    side = written(side, "join-side")
+    return F.broadcast(side) if side.count() <= most else side
