@@ -42,7 +42,7 @@ from .shared import written
 from .tokencount import balanced
 
 CHUNK_CHARS = 32_768
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 WORD = re.compile(r" *[^ ]+| +")
 NONE = -np.inf
 State = tuple[int, int]  # end of a piece, counted from the cut; the piece, -1 - code point for an unknown character
@@ -69,7 +69,8 @@ class Pieces:
         self.scores = [self.library.get_score(i) for i in range(n)]
         self.reach = max(map(len, self.ids))
         self.words_are_apart = not any(re.search("[^▁]▁", t) for t in self.ids)
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(n))  # one object an id, shared by all memo entries
 
     def normalised(self, text: str) -> str:
         return self.library.normalize(text) if text else ""
@@ -78,7 +79,7 @@ class Pieces:
         """Ids of a character outside the vocabulary: bytes, or the unknown piece."""
         return self.raw.encode(char)
 
-    @lru_cache(maxsize=200_000)
+    @lru_cache(maxsize=50_000)
     def follows(self, a: int, b: int) -> bool:
         """Whether piece ``b`` may come right after piece ``a`` in an encoding."""
         if self.unigram or a < 0 or b < 0:
@@ -96,13 +97,14 @@ class Pieces:
             found.append((at + 1, -1 - ord(text[at]), min(self.scores) - 10.0 if self.unigram else 0.0))
         return found
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> tuple[int, ...]:
         """Ids of a word with the spaces before it, as inside a text."""
         known = self.memo.get(word)
         if known is None:
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
-            known = self.library.encode(word[1:]) if word.startswith(" ") and self.dummy_prefix else self.raw.encode(word)
+            ids = self.library.encode(word[1:]) if word.startswith(" ") and self.dummy_prefix else self.raw.encode(word)
+            known = tuple(map(self.numbers.__getitem__, ids))
             if len(word) < 40:
                 self.memo[word] = known
         return known
@@ -137,6 +139,12 @@ class Pieces:
         return back == (whole[1:] if self.dummy_prefix and whole.startswith(" ") else whole)
 
 
+@lru_cache(maxsize=1)
+def load(path: str) -> Pieces:
+    """The model of a worker, kept between its tasks."""
+    return Pieces(path)
+
+
 # The max-plus scan --------------------------------------------------------------
 
 
@@ -265,7 +273,7 @@ def _chunks(giants: DataFrame, vocabulary: str, chunk_chars: int) -> DataFrame:
     """``digest, k, last, before, body, after`` of the normalised giant texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = load(vocabulary)
         for batch in batches:
             for digest, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = pieces.normalised(value.as_py())
@@ -286,7 +294,7 @@ def _matrices(chunks: DataFrame, vocabulary: str) -> DataFrame:
     """``digest, k, entries, exits, matrix`` of each chunk, in bounded form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = load(vocabulary)
         for batch in batches:
             out = []
             for digest, k, last, before, body, after in zip(*(c.to_pylist() for c in batch.columns)):
@@ -326,7 +334,7 @@ def _encode_giants(giants: DataFrame, vocabulary: str, chunk_chars: int) -> Data
     states = _states(_matrices(chunks, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = load(vocabulary)
         for batch in batches:
             ids = []
             for last, before, body, after, entry, exit_ in zip(*(batch.column(n).to_pylist() for n in ("last", "before", "body", "after", "entry", "exit"))):
@@ -348,7 +356,7 @@ def encode(documents: DataFrame, vocabulary: str, chunk_chars: int = CHUNK_CHARS
     giant = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = load(vocabulary)
         for batch in batches:
             for start, end in balanced(batch.column(1), 1 << 20):
                 texts = batch.column(1).slice(start, end - start).to_pylist()
@@ -362,7 +370,7 @@ def encode(documents: DataFrame, vocabulary: str, chunk_chars: int = CHUNK_CHARS
                 )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = load(vocabulary)
         for batch in batches:
             back = [pieces.comes_back(i, t) for i, t in zip(batch.column("ids").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("ids"), pa.array(back, pa.bool_())], ["digest", "ids", "round_trip"])
@@ -381,7 +389,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     kind = encoded.select("doc_id").dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(vocabulary)
+        pieces = load(vocabulary)
         for batch in batches:
             texts = [pieces.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
