@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import checkpointed, sized, written
+from .shared import checkpointed, plain_columns, sized, written
 
 U64 = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
@@ -383,15 +383,16 @@ def keep_one_per_class(documents: DataFrame, similarity: float = SIMILARITY, shi
 
     The row of the smallest id stays. Where rows repeat an id and text, one of them.
     """
+    documents, restore = plain_columns(documents, "doc_id", "text")
     classes = written(_classes(documents, similarity, shingle).where("node IS NOT NULL"), "classes")
     gone = classes.where("NOT doc_id <=> class_id").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
     node = F.unhex(F.md5("text"))
     kept = documents.join(sized(gone), documents["doc_id"].eqNullSafe(F.col("_gone_id")) & (node == F.col("_gone_node")), "left_anti")
     twice = classes.where("doc_id <=> class_id").groupBy("root").count().where("count > 1").select("root")
     if twice.isEmpty():
-        return kept
+        return restore(kept)
     # Repeated rows: one row of each class that several rows could stand for.
     several = classes.where("doc_id <=> class_id").join(twice, "root", "left_semi").select(F.col("node").alias("_node"), F.col("root").alias("_root")).distinct()
     marked = kept.withColumn("_key", node).join(several, F.col("_key") == F.col("_node"), "left")
     plain = marked.where("_root IS NULL").select(*kept.columns)
-    return plain.unionByName(marked.where("_root IS NOT NULL").dropDuplicates(["_root"]).select(*kept.columns))
+    return restore(plain.unionByName(marked.where("_root IS NOT NULL").dropDuplicates(["_root"]).select(*kept.columns)))

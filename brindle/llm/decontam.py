@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import sized
+from .shared import plain_columns, sized
 
 U64 = np.uint64
 WINDOW, COVERAGE, PASSAGE_WORDS = 5, 0.8, 13
@@ -348,6 +348,7 @@ def judge_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns, that hold no benchmark item."""
+    documents, restore = plain_columns(documents, "doc_id", "text")
     hits = find_contamination(documents, benchmark).select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest")).distinct()
     same = documents["doc_id"].eqNullSafe(F.col("_hit_id")) & (F.unhex(F.md5(documents["text"])) == F.col("_hit_digest"))
-    return documents.join(sized(hits), same, "left_anti")
+    return restore(documents.join(sized(hits), same, "left_anti"))

@@ -103,7 +103,7 @@ class Pieces:
         if known is None:
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
-            ids = self.library.encode(word[1:]) if word.startswith(" ") and self.dummy_prefix else self.raw.encode(word)
+            ids = self.library.encode(word[1:]) if len(word) > 1 and word[0] == " " and self.dummy_prefix else self.raw.encode(word)
             known = tuple(map(self.numbers.__getitem__, ids))
             if len(word) < 40:
                 self.memo[word] = known

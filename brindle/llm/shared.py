@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,12 @@ def sized(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     to ``most`` rows, else left to a shuffle join. It spares large texts the shuffle."""
     side = written(side, "join-side")
     return F.broadcast(side) if side.count() <= most else side
+
+
+def plain_columns(frame: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with all columns but ``kept`` under neutral names, so that no extra column
+    clashes with an operator's own, and the way back to the original columns."""
+    names = frame.columns
+    inner = {c: f"_c{k}" for k, c in enumerate(names) if c not in kept}
+    plain = frame.select(*[F.col(f"`{c}`").alias(inner.get(c, c)) for c in names])
+    return plain, lambda out: out.select(*[F.col(inner.get(c, c)).alias(c) for c in names])
