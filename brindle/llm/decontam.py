@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become templates: numbers, names (capitalised words inside a sentence) and
-units (unit words right after a number) turn into typed placeholders, everything
-else is lower-cased with punctuation at its ends removed. Windows of five template
+Words become templates: numbers, names (capitalised words inside a sentence, but not
+words in capitals throughout) and units (ambiguous ones right after a number only)
+turn into typed placeholders, everything else is lower-cased with punctuation at its
+ends removed. Windows of five template
 words of the documents are hash-joined with those of the benchmark items.
 
 A bitmap of fixed size over the benchmark's window hashes spares all other windows
@@ -44,13 +45,17 @@ U64 = np.uint64
 WINDOW, COVERAGE, PASSAGE_WORDS = 5, 0.8, 13
 BITMAP_BITS = 24
 
-#: Unit words, lower-cased.
+#: Unit words, lower-cased; the second list is ambiguous in prose and
+#: counts right after a number only.
 UNITS = (
-    "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
-    "kilometre kilometres g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes "
-    "ml l liter liters litre litres gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours "
-    "day days week weeks month months year years % percent degrees celsius fahrenheit kelvin k usd eur dollar dollars cent "
-    "cents euro euros $ € £ hz khz mhz ghz w kw kwh j kj cal kcal v volt volts a amp amps mph kmh km/h m/s"
+    "mm cm km mi inch inches mile miles meter meters metre metres kilometer kilometers kilometre kilometres kg mg lb lbs oz "
+    "gram grams kilogram kilograms ounce ounces tonne tonnes ml liter liters litre litres gallon gallons minute minutes hour "
+    "hours percent celsius fahrenheit kelvin usd eur dollar dollars cents euro euros hz khz mhz ghz kw kwh kj kcal volt volts "
+    "mph kmh km/h m/s"
+).split()
+UNITS_AFTER_NUMBERS = (
+    "in m g k s h w j a v l ft yd foot feet yard yards pound pounds ton tons min mins sec secs second seconds hr hrs day days "
+    "week weeks month months year years degrees cent cal amp amps % $ € £"
 ).split()
 
 NUMBER, NAME, UNIT = (textkit.mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
@@ -79,12 +84,11 @@ def _lower(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unit_hashes() -> np.ndarray:
-    text = " ".join(UNITS).encode()
-    return np.sort(textkit.word_hashes(np.frombuffer(text, np.uint8))[0])
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.sort(textkit.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))[0])
 
 
-UNIT_HASHES = _unit_hashes()
+UNIT_HASHES, AFTER_NUMBER_HASHES = _hashes(UNITS), _hashes(UNITS_AFTER_NUMBERS)
 
 
 def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -136,10 +140,11 @@ def templates(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndar
     number = (within(_NUMERIC[data]) == to - at) & (within(_DIGIT[data]) > 0)
     first, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
     capital = _UPPER[first] | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
+    small = ((data >= 97) & (data <= 122)) | (np.concatenate([[False], data[:-1] == 0xC3]) & (data >= 0x9F))
     unit = _member(value, UNIT_HASHES)
-    unit[1:] &= number[:-1]
-    unit[0] = False
-    template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(capital & ~start, NAME, value)))
+    unit[1:] |= _member(value[1:], AFTER_NUMBER_HASHES) & number[:-1]
+    name = capital & ~start & (within(small) > 0)  # words in capitals throughout are no names
+    template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
     return template, value, at, start
 
 

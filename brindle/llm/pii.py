@@ -255,7 +255,11 @@ def find_personal_data(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, pre
     """``doc_id``, the number of base spans of each kind, ``base_sha256`` of the joined
     base spans, and ``spans``, all spans joined as ``kind:start:end``."""
     rows = with_spans(documents.select("doc_id", "text"), sample_rows, precision)
-    counts = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
     return rows.select("doc_id", *counts, F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_all").alias("spans"))
 
 

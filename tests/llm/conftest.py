@@ -1,3 +1,5 @@
+import hashlib
+
 import public_tokenizers
 import pytest
 
@@ -6,9 +8,12 @@ LABELS = "doc_id long, quality int, toxic int, text string"
 
 
 def prose(k: int, n: int = 60) -> str:
-    """Plain sentences that differ with k."""
-    words = "amber bridge candle delta ember forest garden harbor island jungle kettle lantern meadow nectar orchard".split()
-    out = [words[(k * 7 + i * i + i * k) % 15] + chr(97 + (k + i) % 26) for i in range(n)]
+    """Plain sentences of words that differ with k and the place."""
+    parts = "am bri can del em for gar har is jun ket lan mea nec or".split()
+    out = []
+    for i in range(n):
+        h = hashlib.md5(f"{k}/{i}".encode()).digest()
+        out.append("".join(parts[x % 15] for x in h[: 2 + h[9] % 3]))
     return " ".join(w if i % 9 else w.capitalize() for i, w in enumerate(out)) + "."
 
 
