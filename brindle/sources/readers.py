@@ -16,7 +16,7 @@ from ..functions import text as X
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, ord, line``: whole files are read so that line numbers are exact. For
     corpora of many moderate files (dumps are written so)."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
     lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line"))
     return lines.select("file", F.col("ord").cast("long").alias("ord"), F.regexp_replace("line", r"\r$", "").alias("line"))
 
