@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,39 +46,48 @@ def spans_in_sentences(spans: DataFrame, sents: DataFrame) -> DataFrame:
     return spans.alias("x").join(sents.alias("s"), inside).select("x.*", "s.sent_idx", "s.sentence", "s.pos_start")
 
 
+PUNCTUATION = re.compile(r"[\W_]+")
+
+
 def ngrams(sents: DataFrame, n: int = 5) -> DataFrame:
     """``doc_id, sent_idx, size, start, ngram``: white-space n-grams with offsets in their
-    sentence, each once; none holds a punctuation-only token. Built inside the row: no
-    shuffle."""
-    rows = sents.select(
-        "doc_id", "sent_idx", F.split("sentence", r"\s+", -1).alias("t"), F.regexp_extract_all("sentence", F.lit(r"\s+"), F.lit(0)).alias("g")
-    )
-    token = "struct<t:string,start:int,bad:boolean>"
-    placed = F.aggregate(
-        F.arrays_zip(F.col("t").alias("t"), F.col("g").alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{token}>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["t"]) + F.coalesce(F.length(x["g"]), F.lit(0))).alias("at"),
-            F.when(x["t"] == "", acc["out"])
-            .otherwise(F.array_append(acc["out"], F.struct(x["t"].alias("t"), acc["at"].alias("start"), X.is_punctuation(x["t"]).alias("bad"))))
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    rows = rows.select("doc_id", "sent_idx", placed.alias("w")).where(F.size("w") > 0)
+    sentence, each once; none holds a punctuation-only token.
 
-    def sized(size: Column) -> Column:
-        last = F.size("w") - size
-        starts = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), last))
-        part = lambda i: F.slice("w", i + 1, size)
-        clean = F.filter(starts, lambda i: ~F.exists(part(i), lambda x: x["bad"]))
-        return F.transform(
-            clean,
-            lambda i: F.struct(size.alias("size"), F.get("w", i)["start"].alias("start"), F.array_join(F.transform(part(i), lambda x: x["t"]), " ").alias("ngram")),
-        )
+    An Arrow function: array expressions that grow a token list copy it for each token,
+    which is quadratic on long lines.
+    """
 
-    each = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), sized)))
-    return rows.select("doc_id", "sent_idx", each.alias("x")).select("doc_id", "sent_idx", "x.size", "x.start", "x.ngram")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                row: list[int] = []
+                sizes: list[int] = []
+                starts: list[int] = []
+                texts: list[str] = []
+                for k, sentence in enumerate(part.column(2).to_pylist()):
+                    tokens = [(m.start(), m[0]) for m in re.finditer(r"\S+", sentence or "")]
+                    clean = [PUNCTUATION.fullmatch(t) is None for _, t in tokens]
+                    for at in range(len(tokens)):
+                        text = ""
+                        for size in range(1, n + 1):
+                            if at + size > len(tokens) or not clean[at + size - 1]:
+                                break
+                            text = f"{text} {tokens[at + size - 1][1]}" if text else tokens[at][1]
+                            row.append(k)
+                            sizes.append(size)
+                            starts.append(tokens[at][0])
+                            texts.append(text)
+                index = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(index), part.column(1).take(index), pa.array(sizes, pa.int32()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())],
+                    ["doc_id", "sent_idx", "size", "start", "ngram"],
+                )
+
+    kind = dict(sents.dtypes)
+    return sents.select("doc_id", "sent_idx", "sentence").mapInArrow(
+        run, f"doc_id {kind['doc_id']}, sent_idx {kind['sent_idx']}, size int, start int, ngram string"
+    )
 
 
 def spelling_lookup(surfaces: DataFrame, index: DataFrame) -> DataFrame:
@@ -116,22 +129,37 @@ def spelling_lookup(surfaces: DataFrame, index: DataFrame) -> DataFrame:
 def longest_mentions(known: DataFrame) -> DataFrame:
     """Known n-grams of a sentence, longest first, without those nested in an accepted one.
 
-    ``known`` has ``doc_id, sent_idx, size, start, ngram, mention, freq``. A shorter n-gram
+    ``known`` has ``doc_id, sent_idx, size, start, ngram``. A shorter n-gram
     is dropped if it is part of an accepted text and their ranges meet; partly overlapping
-    ones both stay. The order matters, so it is a fold over a sentence's sorted n-grams.
+    ones both stay. The order matters, so it is a fold over a sentence's sorted n-grams;
+    accepted ones are kept by the stretches of text they touch, so it is linear.
     """
-    cells = F.struct((-F.col("size")).alias("rank"), "start", "ngram", "mention", "freq", "size")
+    cells = F.struct((-F.col("size")).alias("rank"), "start", "ngram")
     grouped = known.groupBy("doc_id", "sent_idx").agg(F.sort_array(F.collect_list(cells)).alias("all"))
-    kind = dict(grouped.dtypes)["all"]
-
-    def step(taken: Column, x: Column) -> Column:
-        meets = lambda t: (x["start"] < t["start"] + F.length(t["ngram"])) & (t["start"] < x["start"] + F.length(x["ngram"]))
-        nested = F.exists(taken, lambda t: F.contains(t["ngram"], x["ngram"]) & meets(t))
-        return F.when(nested, taken).otherwise(F.array_append(taken, x))
-
-    chosen = F.aggregate("all", F.array().cast(kind), step)
-    rows = grouped.select("doc_id", "sent_idx", F.explode(chosen).alias("x"))
-    return rows.select("doc_id", "sent_idx", "x.size", "x.start", "x.ngram", "x.mention", "x.freq")
+    kind = dict(known.dtypes)
+    schema = f"doc_id {kind['doc_id']}, sent_idx {kind['sent_idx']}, size {kind['size']}, start {kind['start']}, ngram string"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, sent, cells in zip(*(c.to_pylist() for c in batch.columns)):
+                touched: dict[int, list[tuple[int, int, str]]] = {}
+                for cell in cells:
+                    text, start = cell["ngram"], cell["start"]
+                    end = start + len(text)
+                    stretches = range(start // 64, (end - 1) // 64 + 1)
+                    if any(text in t and start < e and s < end for k in stretches for s, e, t in touched.get(k, ())):
+                        continue
+                    for k in stretches:
+                        touched.setdefault(k, []).append((start, end, text))
+                    out.append((doc, sent, -cell["rank"], start, text))
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, [*(f.type for f in list(batch.schema)[:2]), pa.int32(), pa.int32(), pa.string()])],
+                ["doc_id", "sent_idx", "size", "start", "ngram"],
+            )
+
+    return grouped.mapInArrow(fold, schema)
 
 
 def ngram_mentions(docs: DataFrame, index: DataFrame, n: int = 5) -> DataFrame:
@@ -143,8 +171,8 @@ def ngram_mentions(docs: DataFrame, index: DataFrame, n: int = 5) -> DataFrame:
     asked = grams.select(F.col("ngram").alias("surface"), F.explode(keys).alias("lower"))
     asked = asked.join(index.select("lower").distinct(), "lower", "left_semi")
     spelled = spelling_lookup(asked.select("surface"), index).where("freq > 0")
-    known = grams.join(spelled, grams.ngram == spelled.surface).select("doc_id", "sent_idx", "size", "start", "ngram", "mention", "freq")
-    found = longest_mentions(known)
+    known = grams.join(spelled.select(F.col("surface").alias("ngram")), "ngram", "left_semi")
+    found = longest_mentions(known).join(spelled.withColumnRenamed("surface", "ngram"), "ngram")
     return found.join(sents.select("doc_id", "sent_idx", "pos_start"), ["doc_id", "sent_idx"]).select(
         "doc_id",
         "sent_idx",
