@@ -77,8 +77,8 @@ def with_revisits(pages: DataFrame, min_revisit_bytes: int = 100) -> DataFrame:
     return rows.join(later, same, "left").select("page_id", "url", "payload", "digest", "n", F.col("first_id").alias("refers_to"))
 
 
-def record(row: DataFrame) -> Column:
-    """The text of one WARC record, without the separator after it."""
+def record() -> Column:
+    """The text of a row's WARC record, without the separator after it."""
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, records_per_archive: int = 1000)
     rows = with_revisits(pages)
     runs = rows.withColumn("key", url_key(F.col("url"))).sortWithinPartitions("key", capture_time(F.col("page_id")), "page_id")
     (
-        runs.select(record(runs).alias("value"))
+        runs.select(record().alias("value"))
         .write.option("lineSep", CRLF * 2)
         .option("compression", "gzip")
         .option("maxRecordsPerFile", records_per_archive)
