@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import checkpointed, plain_columns, sized, written
+from .shared import checkpointed, plain_columns, sized, small_batches, written
 
 U64 = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
@@ -154,7 +154,7 @@ def signatures(documents: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
                     ["doc_id", "node", "weight", "registers", "bands"],
                 )
     kind = documents.select("doc_id").dtypes[0][1]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, weight long, registers binary, bands array<long>")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, weight long, registers binary, bands array<long>")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -286,7 +286,7 @@ def bags(texts: DataFrame, shingle: int) -> DataFrame:
                     ["node", "grams", "counts"],
                 )
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, grams binary, counts binary")
+    return small_batches(texts).select("node", "text").mapInArrow(run, "node binary, grams binary, counts binary")
 
 
 def block_pairs(members: DataFrame, cost: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import plain_columns, sized
+from .shared import plain_columns, sized, small_batches
 
 U64 = np.uint64
 WINDOW, COVERAGE, PASSAGE_WORDS = 5, 0.8, 13
@@ -292,7 +292,7 @@ def candidate_windows(documents: DataFrame, bitmap: np.ndarray, short_words: set
                 )
 
     kind = documents.select("doc_id").dtypes[0][1]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, window long, place long, slots array<long>")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, window long, place long, slots array<long>")
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, passage_words: int = PASSAGE_WORDS) -> DataFrame:

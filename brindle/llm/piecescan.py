@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 from .tokencount import balanced
 
 CHUNK_CHARS = 32_768
@@ -352,7 +352,7 @@ def encode(documents: DataFrame, vocabulary: str, chunk_chars: int = CHUNK_CHARS
     library's ``encode`` gives; ``round_trip`` says whether decoding them gives the
     (normalised) text back."""
     kind = documents.select("doc_id").dtypes[0][1]
-    rows = documents.select("doc_id", "text")
+    rows = small_batches(documents).select("doc_id", "text")
     giant = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

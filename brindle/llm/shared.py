@@ -9,6 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch. Whole texts travel in them, so the default of 10,000 rows would
+#: hold tens of MB a task several times over, in the JVM and in Python.
+BATCH_ROWS = 500
+
 #: Rows (of an id and a digest) up to which a side is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -61,3 +65,15 @@ def plain_columns(frame: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[Da
     inner = {c: f"_c{k}" for k, c in enumerate(names) if c not in kept}
     plain = frame.select(*[F.col(f"`{c}`").alias(inner.get(c, c)) for c in names])
     return plain, lambda out: out.select(*[F.col(inner.get(c, c)).alias(c) for c in names])
+
+
+def small_batches(frame: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """Bounds the session's Arrow batches for functions over whole texts; the frame as it is.
+
+    The setting is read when a plan runs, so it stays; a smaller one is kept.
+    """
+    conf = frame.sparkSession.conf
+    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < now <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return frame

@@ -22,6 +22,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
+from .shared import small_batches
+
 BATCH_BYTES = 1 << 20
 MEMO_PIECES = 600_000
 MEMO_BYTES = 64
@@ -116,6 +118,6 @@ def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 1024) -> Da
             )
 
     kind = documents.select("doc_id").dtypes[0][1]
-    return documents.select("doc_id", "text").mapInArrow(
+    return small_batches(documents).select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"
     )
