@@ -42,7 +42,7 @@ PRECISION = 0.99
 #: change no match but keep the search linear.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[ -]?[0-9])++"
+CARD = r"[0-9](?:[ -]?[0-9]){12,}+"  # shorter runs of digits fail the length check anyway
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
