@@ -234,6 +234,19 @@ def test_deobfuscation_and_scores(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.where("doc_id >= 1000").collect()) == [1003, 1004, 1005]
 
 
+def test_short_toxic_words(spark):
+    rude = ["zq", "vub", "wojk"]
+    rows = [(k, f"{prose(k, 30)} {rude[k // 3 % 3] if k % 3 == 0 else 'pal'} {prose(k + 1, 30)}") for k in range(400)]
+    apart = [(1000 + k, f"{prose(k)} you {w} {prose(k + 9)}") for k, w in enumerate(rude)]
+    parts = [(1010, f"{prose(1)} zqa vubs avub wojkan"), (1011, f"{prose(2)} v0b vuuuub {prose(3)}")]
+    frame = spark.createDataFrame(rows + apart + parts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(frame, labels).collect()}
+    assert all(got[k] == int(k % 3 == 0) for k in range(400))
+    assert [got[1000 + k] for k in range(3)] == [1, 1, 1]
+    assert (got[1010], got[1011]) == (0, 1)
+
+
 def test_scores_of_odd_rows(odd_documents, labels):
     assert toxicity.score_toxicity(odd_documents, labels).count() == odd_documents.count()
     assert toxicity.score_toxicity(odd_documents.limit(0), labels).count() == 0
