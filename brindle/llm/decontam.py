@@ -20,7 +20,8 @@ other windows.
 A document is contaminated by an item when the consistent windows cover at least
 ``coverage`` (0.8) of the item's windows, or a run of ``passage_words`` (13) of its
 words. Items below five words are compared as a whole: one window of all their
-words must occur between sentence ends.
+words must occur between sentence ends. Where such an item is placeholders alone,
+a part of a document must have its values too; a whole document need not.
 
 Defined results: null or empty texts hold no windows; null ids are carried (rows
 are told apart by id and text digest); repeated rows are judged alike; empty
@@ -97,11 +98,11 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values if len(table) else np.zeros(len(values), bool)
 
 
-def templates(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def templates(data: np.ndarray, breaks: np.ndarray, begins: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Template hash, value hash, start of each word, and whether a sentence starts there.
 
     Words of edge punctuation alone are left out. The value hash stands for what a
-    placeholder replaces.
+    placeholder replaces. ``begins`` says whether the first word starts a sentence.
     """
     _, at, to = textkit.word_hashes(data, breaks)
     if not len(at):
@@ -113,7 +114,7 @@ def templates(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndar
     while len(trim := np.flatnonzero((at < to) & _EDGE[data[to - 1]])):
         to[trim] -= 1
     ended = np.zeros(len(at), bool)
-    ended[0] = True
+    ended[0] = begins
     new_line = np.zeros(len(data) + 1, np.int32)
     np.cumsum(data == 10, out=new_line[1:])
     ended[1:] = _STOP[data[whole_to[:-1] - 1]] | (new_line[whole_at[1:]] > new_line[whole_to[:-1]])
@@ -121,7 +122,7 @@ def templates(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndar
         ended[np.searchsorted(whole_at, breaks[breaks <= whole_at[-1]])] = True
     full = to > at
     carried = np.maximum.accumulate(np.where(full, np.arange(len(at)), -1))  # a lone mark hands its sentence end on
-    ended |= np.concatenate([[True], ~full[:-1] & ended[:-1] | (carried[:-1] < 0)])
+    ended |= np.concatenate([[begins], ~full[:-1] & ended[:-1] | begins & (carried[:-1] < 0)])
     at, to, start = at[full], to[full], ended[full]
     if not len(at):
         empty = np.zeros(0, np.uint64)
@@ -162,20 +163,30 @@ def _windows(template: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return total[whole], whole, (sums[whole + WINDOW] - sums[whole]) > 0
 
 
-def _row_templates(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(first row, end row, templates, values, row of each word)`` block by block."""
+def _ends_sentence(data: np.ndarray) -> bool:
+    """Whether a sentence ends where a piece of a text does."""
+    words = np.flatnonzero(~textkit.SPACE[data])
+    return not len(words) or bool(_STOP[data[words[-1]]]) or bool((data[words[-1] :] == 10).any())
+
+
+def _row_templates(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(first row, end row, templates, values, sentence starts, row of each word)`` block by block."""
     data, offsets = textkit.text_buffer(column)
     for row, end in textkit.blocks(offsets):
         own = data[offsets[row] : offsets[end]]
         if end > row + 1:
             inner = offsets[row : end + 1] - offsets[row]
-            template, value, at, _ = templates(own, inner[1:-1][inner[1:-1] < len(own)])
-            yield row, end, template, value, np.searchsorted(inner, at, side="right") - 1
+            template, value, at, start = templates(own, inner[1:-1][inner[1:-1] < len(own)])
+            yield row, end, template, value, start, np.searchsorted(inner, at, side="right") - 1
         else:
-            parts = [templates(own[a:b], np.zeros(0, np.int64))[:2] for a, b in textkit.pieces(own)]
+            parts, begins = [], True
+            for a, b in textkit.pieces(own):
+                parts.append(templates(own[a:b], np.zeros(0, np.int64), begins))
+                begins = _ends_sentence(own[a:b])
             t = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             v = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
-            yield row, end, t, v, np.zeros(len(t), np.int64)
+            start = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, bool)
+            yield row, end, t, v, start, np.zeros(len(t), np.int64)
 
 
 def _slots(template: np.ndarray, value: np.ndarray, at: int) -> list[int]:
@@ -189,12 +200,13 @@ _SLOTTED = "window long, place long, slots array<long>"
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """``item_id, item_windows, item_words, window, item_place, item_slots``; ``item_windows``
-    is the number of an item's usable windows. Short items have one window of all words."""
+    is the number of an item's usable windows. Short items have one window of all words,
+    and one of their values besides where they are placeholders alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for first, end, template, value, rows in _row_templates(batch.column(1)):
+            for first, end, template, value, _, rows in _row_templates(batch.column(1)):
                 h, at, usable = _windows(template, rows)
                 owner = rows[at] if len(at) else at
                 for r in range(end - first):
@@ -205,7 +217,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                         continue
                     item = batch.column(0)[first + r].as_py()
                     if words < WINDOW:
-                        out.append((item, 1, words, _short(template[start : start + words]), 0, []))
+                        span = slice(start, start + words)
+                        hashes = [template[span], value[span]] if _member(template[span], PLACEHOLDERS).all() else [template[span]]
+                        out += [(item, 1, words, int(_short(x, words).view(np.int64)[0]), 0, []) for x in hashes]
                         continue
                     own = own[usable[own]] if usable[own].any() else own
                     for k in own:
@@ -220,12 +234,28 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def _short(template: np.ndarray) -> int:
-    """The window value of a whole text of fewer than five words."""
-    total = np.zeros(1, np.uint64)
-    for t in template:
-        total = textkit.mix(total + t + U64(0x2545F4914F6CDD1D))
-    return int(textkit.mix(total + U64(len(template))).view(np.int64)[0])
+def _short(template: np.ndarray, size: int) -> np.ndarray:
+    """The values of the windows of ``size`` words, fewer than five."""
+    n = len(template) - size + 1
+    total = np.zeros(max(n, 0), np.uint64)
+    for k in range(size if n > 0 else 0):
+        total = textkit.mix(total + template[k : n + k] + U64(0x2545F4914F6CDD1D))
+    return textkit.mix(total + U64(size))
+
+
+def _sentence_windows(template: np.ndarray, value: np.ndarray, start: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Value and first word of the windows of ``size`` words between two sentence ends
+    of a row. Placeholders alone stand for their values unless they are the whole row."""
+    n = len(template) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    other = rows[1:] != rows[:-1]
+    first, last = np.concatenate([[True], other]), np.concatenate([other, [True]])
+    ends = last | np.append(start[1:], True)
+    at = np.flatnonzero((start | first)[:n] & ends[size - 1 :] & (rows[:n] == rows[size - 1 :]))
+    sums = np.concatenate([[0], np.cumsum(_member(template, PLACEHOLDERS))])
+    slots_only = (sums[at + size] - sums[at] == size) & ~(first[at] & last[at + size - 1])
+    return np.where(slots_only, _short(value, size)[at], _short(template, size)[at]), at
 
 
 def _bits(windows: np.ndarray) -> np.ndarray:
@@ -261,21 +291,16 @@ def candidate_windows(documents: DataFrame, bitmap: np.ndarray, short_words: set
         for batch in batches:
             texts = batch.column(1)
             data, offsets = textkit.text_buffer(texts)
-            for first, end, template, value, rows in _row_templates(texts):
+            for first, end, template, value, start, rows in _row_templates(texts):
                 h, at, _ = _windows(template, rows)
                 hit = np.flatnonzero(listed[_bits(h)]) if len(h) else np.zeros(0, np.int64)
                 windows, places, slots = h[hit].view(np.int64).tolist(), at[hit], [_slots(template, value, int(p)) for p in at[hit]]
-                if short_words:
-                    counts = np.bincount(rows, minlength=end - first)
-                    extra = []
-                    for size in short_words:
-                        n = len(template) - size + 1
-                        for k in range(max(n, 0)):
-                            if rows[k] == rows[k + size - 1] and counts[rows[k]] == size:
-                                extra.append((k, _short(template[k : k + size])))
-                    windows += [w for _, w in extra]
-                    places = np.concatenate([places, np.array([k for k, _ in extra], np.int64)])
-                    slots += [[] for _ in extra]
+                for size in short_words:
+                    short, k = _sentence_windows(template, value, start, rows, size)
+                    met = np.flatnonzero(listed[_bits(short)]) if len(short) else np.zeros(0, np.int64)
+                    windows += short[met].view(np.int64).tolist()
+                    places = np.concatenate([places, k[met]])
+                    slots += [[]] * len(met)
                 if not windows:
                     continue
                 owner = rows[places]

@@ -208,6 +208,26 @@ def test_contamination(spark, odd_documents):
     assert not decontam.judge_documents(frame, benchmark.limit(0)).where("contaminated").count()
 
 
+def test_short_items_inside_long_documents(spark):
+    items = [(1, "Seven grey owls sing"), (2, "Pluto."), (3, "4711"), (4, "Who? Nora Vance")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = {
+        1: f"{prose(1)} Seven grey owls sing. {prose(2)}",
+        2: f"{prose(3)} so seven grey owls sing. {prose(4)}",
+        3: f"{prose(5)}\nPluto\n{prose(6)}",
+        4: f"{prose(7)} 4711. {prose(8)}",
+        5: f"{prose(9)} 4712. {prose(10)}",
+        6: "9999",
+        7: f"{prose(11)} Who? Nora Brandt",
+        8: "Seven grey owls sing now. Pluto is far",
+        9: prose(12, 200_000) + " Seven grey owls sing.",
+        10: prose(13),
+    }
+    frame = spark.createDataFrame([*texts.items(), (None, texts[1])], "doc_id long, text string")
+    got = {r.doc_id: r.items for r in decontam.judge_documents(frame, benchmark).collect()}
+    assert got == {1: "1", 2: "", 3: "2", 4: "3", 5: "", 6: "3", 7: "4", 8: "", 9: "1", 10: "", None: "1"}
+
+
 def test_slots_must_agree(spark):
     item = "In May Anna bought 5 pens and Anna sold 5 pens to Bert before Anna lost 5 more pens"
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
