@@ -12,8 +12,10 @@ nothing else. It is the only thing that is broadcast, and its size does not depe
 on the data.
 
 Slot consistency: along one alignment (item, document, distance of positions) the
-same item value must always meet the same document value of the same type; so a
+same item value must meet the same document value of the same type; so a
 re-parameterised question is caught, while a chance meeting of placeholders is not.
+Where an item value meets several, the one of the most windows counts (of equally
+many, the item's own), and the windows that hold another are discarded.
 Windows of placeholders alone prove nothing and are not used, unless an item has no
 other windows.
 
@@ -36,10 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from .pii import let
 from .shared import plain_columns, sized, small_batches
 
 U64 = np.uint64
@@ -320,6 +323,30 @@ def candidate_windows(documents: DataFrame, bitmap: np.ndarray, short_words: set
     return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, window long, place long, slots array<long>")
 
 
+def _agreeing(windows: str) -> Column:
+    """The windows of an alignment without those that hold an outvoted slot."""
+    slots = F.flatten(F.transform(windows, lambda w: w["slots"]))
+
+    def outvoted(found: Column, bound: Column) -> Column:
+        torn = F.filter(bound, lambda s: F.size(F.filter(bound, lambda t: t["item"] == s["item"])) > 1)
+        votes = F.transform(
+            torn,
+            lambda s: F.struct(
+                s["item"].alias("item"),
+                F.struct(F.size(F.filter(found, lambda t: t == s)).alias("n"), (s["item"] == s["doc"]).alias("own"), s["doc"].alias("doc")).alias("rank"),
+            ),
+        )
+        lost = let(votes, lambda v: F.filter(v, lambda x: F.exists(v, lambda y: (y["item"] == x["item"]) & (y["rank"] > x["rank"]))))
+        return F.transform(lost, lambda x: F.struct(x["item"].alias("item"), x["rank"]["doc"].alias("doc")))
+
+    def kept(found: Column, bound: Column) -> Column:
+        consistent = F.size(bound) == F.size(F.array_distinct(F.transform(bound, lambda s: s["item"])))
+        without = let(outvoted(found, bound), lambda lost: F.filter(windows, lambda w: ~F.exists(w["slots"], lambda s: F.array_contains(lost, s))))
+        return F.when(consistent, F.col(windows)).otherwise(without)
+
+    return let(slots, lambda found: let(F.array_distinct(found), lambda bound: kept(found, bound)))
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """``doc_id, digest, item_id, n_windows, item_windows, longest_run, reworded`` of the
     contaminated pairs. ``reworded`` says that slot values differ."""
@@ -336,15 +363,14 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, coverage: flo
         F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("item"), b.alias("doc"))).alias("slots"),
     )
     aligned = met.groupBy(*pair, "shift").agg(
-        F.collect_set("item_place").alias("places"),
-        F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"),
+        F.collect_set(F.struct(F.col("item_place").alias("place"), "slots")).alias("windows"),
         F.first("item_windows").alias("item_windows"),
         F.first("item_words").alias("item_words"),
     )
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
-    pairs = aligned.where(consistent).groupBy(*pair).agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
-        F.max(F.exists("slots", lambda s: s["item"] != s["doc"])).alias("reworded"),
+    agreeing = aligned.withColumn("windows", _agreeing("windows")).where(F.size("windows") > 0)
+    pairs = agreeing.groupBy(*pair).agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.transform("windows", lambda w: w["place"]))))).alias("places"),
+        F.max(F.exists("windows", lambda w: F.exists(w["slots"], lambda s: s["item"] != s["doc"]))).alias("reworded"),
         F.first("item_windows").alias("item_windows"),
         F.first("item_words").alias("item_words"),
     )

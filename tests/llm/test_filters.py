@@ -237,6 +237,24 @@ def test_slots_must_agree(spark):
     assert {r.doc_id: r.contaminated for r in decontam.judge_documents(frame, benchmark).collect()} == {1: True, 2: False}
 
 
+def test_one_differing_slot_spares_the_other_windows(spark):
+    item = f"In May Anna paid 5 crowns {prose(70, 12).lower()} then 5 crowns {prose(71, 12).lower()} and Anna had 5 left"
+    sums = "What do you get when you add 5 to 5 " + prose(72, 14).lower()
+    benchmark = spark.createDataFrame([(1, item), (2, sums)], "item_id long, text string")
+    texts = {
+        1: item.replace("then 5", "then 6"),
+        2: item.replace("and Anna", "and Rita"),
+        3: item.replace("5", "8").replace("then 8", "then 6").replace("Anna", "Olga"),
+        4: sums.replace("5 to 5", "3 to 4"),
+        5: " ".join(w if k % 5 else "gap" for k, w in enumerate(item.split())),
+    }
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.items for r in decontam.judge_documents(frame, benchmark).collect()}
+    assert got == {1: "1", 2: "1", 3: "1", 4: "2", 5: ""}
+    pair = decontam.find_contamination(frame.where("doc_id = 1"), benchmark).collect()[0]
+    assert pair.n_windows == pair.item_windows - 5 and not pair.reworded
+
+
 # Toxicity -------------------------------------------------------------------------
 
 
