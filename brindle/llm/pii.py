@@ -11,15 +11,18 @@ propose overlapping spans; each gets features of its format (length, shares of
 digits and cases, distinct characters, hexadecimal) and its context (a credential
 word before it, an assignment or quote right before it). Gradient-boosted trees
 score them. There are no labels for this in the corpus, so a strict teacher (known
-key formats; assignments to credential words) labels a bounded sample of candidates
-(``sample_rows``, a documented parameter); half of it trains the trees, the other
-half calibrates the threshold: the lowest score at which the precision against the
-teacher is at least ``precision``. The trees then become one nested CASE expression
-that scores candidates where they are, without a shuffle. Selected spans that
+key formats; assignments to credential words) labels all candidates. The trees are
+fitted to a bounded sample (``sample_rows``, a documented parameter): each class has
+half as many buckets, and a bucket gives its candidate of the least hash, so the sample
+does not depend on where candidates stand. The threshold is the lowest score at which
+the precision against the teacher, over all candidates of the table, is at least
+``precision``. The trees become one nested CASE expression that scores candidates where
+they are, without a shuffle. Where trees cannot be fitted (one class only) or no score
+is that precise, the teacher's own verdicts are taken. Selected spans that
 overlap a base span or an earlier selected one are dropped; base spans stay.
 
 Defined results: null and empty texts have no spans; null ids are kept; repeated
-rows are judged alike; without candidates of both classes the method adds nothing;
+rows are judged alike; without candidates that the teacher knows the method adds nothing;
 empty tables give no rows; extra columns are ignored or, in ``redact``, kept.
 """
 
@@ -181,26 +184,38 @@ def model_score(description: str, weights: list[float]) -> Score:
     return score
 
 
-def teach(sample: DataFrame, precision: float = PRECISION, rounds: int = 8, depth: int = 3) -> tuple[Score, float] | None:
-    """Score and threshold, or None where a class is missing.
+def taught(c: Column) -> Column:
+    """The teacher's verdict on a candidate."""
+    return c["found"].rlike(KNOWN_KEY) | ((c["credential"] == 1) & (c["assigned"] == 1) & (c["length"] >= 8) & (c["distinct"] >= 0.3))
 
-    ``sample`` has one candidate ``c`` a row.
+
+def draw(proposals: DataFrame, sample_rows: int) -> DataFrame:
+    """At most ``sample_rows`` candidates' features and ``label``, half of each class.
+
+    ``proposals`` has one candidate ``c`` a row.
+    """
+    order = F.xxhash64("c.found", "c.start")
+    bucket = F.pmod(F.xxhash64(order), F.lit(max(sample_rows // 2, 1)))
+    rows = proposals.select(taught(F.col("c")).cast("double").alias("label"), bucket.alias("bucket"), F.struct(order.alias("order"), *[F.col(f"c.{f}").alias(f) for f in FEATURES]).alias("x"))
+    return rows.groupBy("label", "bucket").agg(F.min("x").alias("x")).select("label", *[F.col(f"x.{f}").alias(f) for f in FEATURES])
+
+
+def teach(proposals: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION, rounds: int = 8, depth: int = 3) -> tuple[Score, float] | None:
+    """Score and threshold, or None where a class is missing or no score is precise.
+
+    ``proposals`` has one candidate ``c`` a row.
     """
-    known = F.col("c.found").rlike(KNOWN_KEY)
-    assigned = (F.col("c.credential") == 1) & (F.col("c.assigned") == 1) & (F.col("c.length") >= 8) & (F.col("c.distinct") >= 0.3)
-    half = F.pmod(F.xxhash64("c.found", "c.start"), F.lit(2))
-    rows = sample.select(*[F.col(f"c.{f}").alias(f) for f in FEATURES], (known | assigned).cast("double").alias("label"), half.alias("half"))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label", "half").cache()
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(draw(proposals, sample_rows)).select("features", "label").cache()
     try:
-        train = rows.where("half = 0")
-        if len(train.select("label").distinct().take(2)) < 2:
+        if rows.select("label").distinct().count() < 2:
             return None
-        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, maxBins=32).fit(train)
-        scored = model.transform(rows.where("half = 1")).select(F.round(vector_to_array("probability")[1], 3).alias("score"), "label")
-        at = scored.groupBy("score").agg(F.sum("label").alias("right"), F.count("*").alias("n")).orderBy(F.desc("score")).collect()
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, maxBins=32).fit(rows)
     finally:
         rows.unpersist()
-    right = n = 0.0
+    score = model_score(model.toDebugString, list(model.treeWeights))
+    scored = proposals.select(F.round(score(F.col("c")), 3).alias("score"), taught(F.col("c")).cast("long").alias("label"))
+    at = scored.groupBy("score").agg(F.sum("label").alias("right"), F.count("*").alias("n")).orderBy(F.desc("score")).collect()
+    right = n = 0
     threshold = None
     for row in at:  # one row a distinct score: at most the 1001 roundings
         right, n = right + row["right"], n + row["n"]
@@ -208,15 +223,14 @@ def teach(sample: DataFrame, precision: float = PRECISION, rounds: int = 8, dept
             threshold = row.score
     if threshold is None:
         return None
-    return model_score(model.toDebugString, list(model.treeWeights)), max(threshold - 0.0005, 0.5)
+    return score, max(threshold - 0.0005, 0.5)
 
 
 def with_spans(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> DataFrame:
     """``documents`` and ``_base`` (kind number, start, end) and ``_all`` spans, both
     ordered by kind as listed, then start."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    proposals = documents.select(F.explode(candidates(text)).alias("c")).limit(sample_rows)
-    learnt = teach(proposals, precision)
+    learnt = teach(documents.select(F.explode(candidates(text)).alias("c")), sample_rows, precision)
 
     def numbered(kind: int, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
@@ -224,9 +238,10 @@ def with_spans(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, precision:
     base = F.concat(*[numbered(k, spans) for k, spans in enumerate(base_spans(text).values())])
     rows = documents.withColumn("_base", base)
     if learnt is None:
-        return rows.withColumn("_all", F.col("_base"))
-    score, threshold = learnt
-    chosen = F.filter(candidates(text), lambda c: score(c) >= threshold)
+        chosen = F.filter(candidates(text), taught)
+    else:
+        score, threshold = learnt
+        chosen = F.filter(candidates(text), lambda c: score(c) >= threshold)
     spans = F.sort_array(F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("end"))))
     kept = F.aggregate(
         spans,

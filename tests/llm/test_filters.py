@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from brindle.llm import cascade, chat, decontam, pii, toxicity, urlrules, warc
 
@@ -184,6 +185,23 @@ def test_secrets_are_learnt_and_redacted(spark):
     assert out[99].text is None
 
 
+def test_secrets_behind_a_hot_source(spark):
+    hot = [(k, f"order {hashlib.md5(bytes([k % 250, k // 250])).hexdigest()} of {hashlib.sha1(bytes([k % 250, k // 250])).hexdigest()}") for k in range(3000)]
+    found = secrets(60)
+    frame = spark.createDataFrame([*hot, *[(10_000 + k, t) for k, t in found]], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(frame).collect()}
+    assert sum(rows[10_000 + k].count("secret:") for k, _ in found) >= 110
+    assert not any("secret:" in rows[k] for k, _ in hot)
+
+
+def test_secrets_of_one_class_alone(spark):
+    frame = spark.createDataFrame([(k, f"password={hashlib.md5(bytes([k])).hexdigest()[:18]}.") for k in range(20)], "doc_id long, text string")
+    proposals = frame.select(F.explode(pii.candidates(F.col("text"))).alias("c"))
+    known = proposals.where(pii.taught(F.col("c")))
+    assert pii.teach(known) is None
+    assert all("secret:" in r.spans for r in pii.find_personal_data(frame).collect())
+
+
 # Decontamination ------------------------------------------------------------------
 
 
