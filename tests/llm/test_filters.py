@@ -65,6 +65,23 @@ def test_mined_rules_against_brute_force(spark):
         assert urlrules.block_confidence(tokens, index) == want
 
 
+def test_general_rules_outlast_many_implied_ones(spark):
+    block = urlrules.LABEL
+    rows = [([f"f{k}_{j}" for j in range(7)] + [block],) for k in range(165) for _ in range(5)]  # 63 raw rules a family
+    rows += [(["general", *[block] * (k % 5 > 0)],) for k in range(100)] + [([f"clean{k % 50}"],) for k in range(1500)]
+    rules = urlrules.mine_rules(spark.createDataFrame(rows, "items array<string>"))
+    want = {(f"f{k}_{j}",): 1.0 for k in range(165) for j in range(7)} | {("general",): 0.8}
+    assert len(rules) == len(want) and dict(rules) == want
+
+
+def test_implied_rules_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    rules = {tuple(sorted(r.choice(list("abcdef"), r.integers(1, 4), replace=False).tolist())): float(r.integers(5, 10)) / 10 for _ in range(60)}
+    want = {a: c for a, c in rules.items() if not any(set(b) < set(a) and d >= c for b, d in rules.items())}
+    got = urlrules.without_implied(spark.createDataFrame([*rules.items()], "antecedent array<string>, confidence double")).collect()
+    assert {tuple(x.antecedent): x.confidence for x in got} == want and len(got) == len(want) < len(rules)
+
+
 # WARC -----------------------------------------------------------------------------
 
 
