@@ -320,6 +320,16 @@ def test_short_toxic_words(spark):
     assert (got[1010], got[1011]) == (0, 1)
 
 
+def test_large_window_table_is_whole(spark):
+    letters = np.random.default_rng(1).integers(97, 123, (12_000, 8)).astype(np.uint8)
+    words = [w for w in (x.tobytes().decode() for x in letters) if not re.search(r"(.)\1\1", w)]  # others are restored
+    frame = spark.createDataFrame([(k, " ".join(words)) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 1) for k in range(20)], "doc_id long, quality int, toxic int")
+    known, weights = toxicity.window_table(frame, labels, toxicity.language_model(frame))
+    want = {f" {w} "[k : k + 5] for w in words for k in range(6)}
+    assert len(known) == len(weights) == len(want) > 50_000 and (weights >= 0.5).all()
+
+
 def test_scores_of_odd_rows(odd_documents, labels):
     assert toxicity.score_toxicity(odd_documents, labels).count() == odd_documents.count()
     assert toxicity.score_toxicity(odd_documents.limit(0), labels).count() == 0
