@@ -10,16 +10,19 @@ gives exactly what the library gives.
 
 The scan. A document above ``chunk_chars`` is cut every ``chunk_chars`` characters.
 A boundary state is the piece that crosses (or ends at) the cut. Each chunk yields a
-transfer matrix (entry state x exit state), the matrices of a document combine by
-the associative max-plus product, the best states at all cuts follow, and every
-chunk is then backtraced on its own. Chunks travel with ``reach`` characters of
+transfer matrix (entry state x exit state). Products are associative, so the matrices
+combine up a tree: each round multiplies ``FAN`` neighbours in a task of their own, until
+a document has no more than that; then the best boundary states go down the tree, round
+by round, to all cuts, and every chunk is backtraced on its own. No task holds more than
+``FAN`` matrices or one chunk, however long a document is. Chunks travel with ``reach`` characters of
 context on both sides only. No piece crosses from a non-space to a space (checked
 against the vocabulary), so such places are single states: a matrix needs the
 lattice near its chunk's ends only, and the middle is encoded in the backtrace.
 A chunk without such a place is scanned as a whole.
 
 Short documents are one chunk between two known states: nothing is to be combined,
-and the library encodes their words, which a bounded memo keeps.
+and the library encodes their words, which a bounded memo keeps. The model reads a
+literal U+2581 as a space, so words are cut at both.
 
 Defined results: null text counts as empty (no pieces); null ids are kept;
 repeated rows are encoded alike; empty tables give no rows; extra columns are
@@ -29,11 +32,12 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +47,8 @@ from .tokencount import balanced
 
 CHUNK_CHARS = 32_768
 MEMO_WORDS = 100_000
+#: Matrices that one task multiplies in a round.
+FAN = 16
 WORD = re.compile(r" *[^ ]+| +")
 NONE = -np.inf
 State = tuple[int, int]  # end of a piece, counted from the cut; the piece, -1 - code point for an unknown character
@@ -68,7 +74,8 @@ class Pieces:
         self.ids = {t: i for i, t in enumerate(self.text) if not skip[i]}
         self.scores = [self.library.get_score(i) for i in range(n)]
         self.reach = max(map(len, self.ids))
-        self.words_are_apart = not any(re.search("[^▁]▁", t) for t in self.ids)
+        plain = model.normalizer_spec.name == "identity" and not model.normalizer_spec.remove_extra_whitespaces
+        self.words_are_apart = plain and not any(re.search("[^▁]▁", t) for t in self.ids)
         self.memo: dict[str, tuple[int, ...]] = {}
         self.numbers = list(range(n))  # one object an id, shared by all memo entries
 
@@ -115,6 +122,7 @@ class Pieces:
             return []
         if not self.words_are_apart or self.unigram:
             return self.library.encode(text)
+        text = text.replace("▁", " ")
         out: list[int] = []
         extend, ids = out.extend, self.word_ids
         if self.dummy_prefix and "  " not in text and text[-1] != " " and text[0] != " ":
@@ -226,23 +234,35 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def boundary_states(chunks: list[tuple[list[State], list[State], np.ndarray]]) -> list[State]:
-    """The best path's state at every cut, document start and end included."""
-    prefix: list[np.ndarray] = []
-    for k, (entries, _, matrix) in enumerate(chunks):
-        if k:
-            order = {s: j for j, s in enumerate(chunks[k - 1][1])}
-            matrix_in = prefix[-1][:, [order[s] for s in entries]]
-            prefix.append(combine(matrix_in, matrix))
-        else:
-            prefix.append(matrix)
-    states = [chunks[-1][1][int(prefix[-1][0].argmax())]]
+Chunk = tuple[list[State], list[State], np.ndarray]
+
+
+def _entering(before: Chunk, after: Chunk) -> list[int]:
+    """Where the entry states of a chunk stand among the exit states of the one before."""
+    order = {s: j for j, s in enumerate(before[1])}
+    return [order[s] for s in after[0]]
+
+
+def product(chunks: list[Chunk]) -> Chunk:
+    """One chunk in the place of consecutive ones."""
+    matrix = chunks[0][2]
+    for before, after in zip(chunks, chunks[1:]):
+        matrix = combine(matrix[:, _entering(before, after)], after[2])
+    return chunks[0][0], chunks[-1][1], matrix
+
+
+def boundary_states(chunks: list[Chunk], entry: State | None = None, exit_: State | None = None) -> list[State]:
+    """The best path's state at every cut, both ends included. An end's state may be given."""
+    row = chunks[0][0].index(entry) if entry is not None else 0
+    prefix = [chunks[0][2][row]]
+    for before, after in zip(chunks, chunks[1:]):
+        prefix.append((prefix[-1][_entering(before, after)][:, None] + after[2]).max(axis=0))
+    states = [exit_ if exit_ is not None else chunks[-1][1][int(prefix[-1].argmax())]]
     for k in range(len(chunks) - 1, 0, -1):
         entries, exits, matrix = chunks[k]
-        order = {s: j for j, s in enumerate(chunks[k - 1][1])}
-        into = np.array([prefix[k - 1][0, order[s]] for s in entries]) + matrix[:, exits.index(states[-1])]
+        into = prefix[k - 1][_entering(chunks[k - 1], chunks[k])] + matrix[:, exits.index(states[-1])]
         states.append(entries[int(into.argmax())])
-    return [chunks[0][0][0], *reversed(states)]
+    return [chunks[0][0][row], *reversed(states)]
 
 
 def backtrace(pieces: Pieces, text: str, start: int, end: int, entry: State, exit_: State, last: bool) -> list[int]:
@@ -300,32 +320,73 @@ def _matrices(chunks: DataFrame, vocabulary: str) -> DataFrame:
             for digest, k, last, before, body, after in zip(*(c.to_pylist() for c in batch.columns)):
                 text, start = before + body + after, len(before)
                 entries, exits, matrix = transfer(pieces, text, start, start + len(body), k == 0, last)
-                flat = lambda states: [x for s in states for x in s]
-                out.append((digest, k, flat(entries), flat(exits), matrix.ravel().tolist()))
+                out.append((digest, k, _flat(entries), _flat(exits), matrix.ravel().tolist()))
             kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(5)], ["digest", "k", "entries", "exits", "matrix"])
 
-    return chunks.select("digest", "k", "last", "before", "body", "after").mapInArrow(
-        run, "digest string, k long, entries array<long>, exits array<long>, matrix array<double>"
-    )
+    return chunks.select("digest", "k", "last", "before", "body", "after").mapInArrow(run, _MATRICES)
+
+
+def _flat(states: list[State]) -> list[int]:
+    return [x for s in states for x in s]
+
+
+def _pairs(flat: Iterable[int]) -> list[State]:
+    values = [int(x) for x in flat]
+    return list(zip(values[::2], values[1::2]))
+
+
+def _group(table: pd.DataFrame) -> list[Chunk]:
+    """The chunks of a group in order."""
+    found = []
+    for entries, exits, matrix in zip(table.entries, table.exits, table.matrix):
+        entries, exits = _pairs(entries), _pairs(exits)
+        found.append((entries, exits, np.asarray(matrix).reshape(len(entries), len(exits))))
+    return found
+
+
+_MATRICES = "digest string, k long, entries array<long>, exits array<long>, matrix array<double>"
+
+
+def _products(matrices: DataFrame, fan: int) -> DataFrame:
+    """The products of every ``fan`` neighbours of a document."""
+
+    def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        entries, exits, matrix = product(_group(table.sort_values("k")))
+        return pd.DataFrame({"digest": [key[0]], "k": [key[1]], "entries": [_flat(entries)], "exits": [_flat(exits)], "matrix": [matrix.ravel()]})
+
+    up = F.expr(f"k div {fan}").alias("up")
+    return matrices.select("digest", up, "k", "entries", "exits", "matrix").groupBy("digest", "up").applyInPandas(run, _MATRICES)
 
 
-def _states(matrices: DataFrame) -> DataFrame:
-    """``digest, k, entry, exit``: the states at both ends of each chunk. A group is the
-    matrices of one document, smaller than that document's own text."""
-    import pandas as pd
+def _ends(matrices: DataFrame, bounds: DataFrame | None, fan: int) -> DataFrame:
+    """``digest, k, entry, exit``: the states at both ends of each chunk. ``bounds`` has
+    those of every ``fan`` neighbours together; without it a group is a whole document."""
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("k")
-        pairs = lambda flat: [(int(a), int(b)) for a, b in zip(flat[::2], flat[1::2])]
-        chunks = []
-        for entries, exits, matrix in zip(table.entries, table.exits, table.matrix):
-            entries, exits = pairs(entries), pairs(exits)
-            chunks.append((entries, exits, np.asarray(matrix).reshape(len(entries), len(exits))))
-        states = boundary_states(chunks)
+        given = [tuple(int(x) for x in table[n].iloc[0]) for n in ("entry", "exit")] if "entry" in table else [None, None]
+        states = boundary_states(_group(table), *given)
         return pd.DataFrame({"digest": table.digest, "k": table.k, "entry": [list(s) for s in states[:-1]], "exit": [list(s) for s in states[1:]]})
 
-    return matrices.groupBy("digest").applyInPandas(run, "digest string, k long, entry array<long>, exit array<long>")
+    rows = matrices.withColumn("up", F.expr(f"k div {fan}"))
+    if bounds is not None:
+        rows = rows.join(bounds.select("digest", F.col("k").alias("up"), "entry", "exit"), ["digest", "up"])
+    return rows.groupBy("digest", "up").applyInPandas(run, "digest string, k long, entry array<long>, exit array<long>")
+
+
+def _states(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """``digest, k, entry, exit`` of each chunk: products up the tree, states down."""
+    levels = [written(matrices, "piece-matrices")]
+    last = levels[0].agg(F.max("k")).first()[0] or 0
+    while last >= fan:
+        levels.append(written(_products(levels[-1], fan), "piece-products"))
+        last //= fan
+    ends = None
+    for level in reversed(levels):
+        ends = _ends(level, ends, fan)
+        ends = ends if level is levels[0] else written(ends, "piece-ends")
+    return ends
 
 
 def _encode_giants(giants: DataFrame, vocabulary: str, chunk_chars: int) -> DataFrame:

@@ -67,6 +67,30 @@ def test_scan_equals_library(vocabulary):
         assert pieces.encode(text) == want
 
     check()
+    for text in ("▁ ", " ▁", "▁", "a▁ b", "▁▁x ▁"):
+        assert pieces.encode(text) == pieces.library.encode(text), text
+
+
+def test_short_path_equals_library_on_any_text(vocabulary):
+    pieces = piecescan.load(vocabulary("piece_bpe_32k.model"))
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(max_size=60))
+    def check(text):
+        assert pieces.encode(text) == pieces.library.encode(text)
+
+    check()
+
+
+def test_whole_documents_equal_library(spark, vocabulary):
+    """The registered chunk size over a table of the test data, whole."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = vocabulary("piece_bpe_32k.model")
+    library = piecescan.load(path).library
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    got = piecescan.encode(documents, path).collect()
+    assert len(got) == len(texts)
+    assert all(list(r.ids) == library.encode(texts[r.doc_id] or "") for r in got)
 
 
 def test_unigram_scan_is_the_best_path():
@@ -107,6 +131,25 @@ def test_products_associate():
     assert np.allclose(piecescan.combine(piecescan.combine(a, b), c), piecescan.combine(a, piecescan.combine(b, c)))
 
 
+def test_tree_of_products(spark, vocabulary):
+    """Products up and states down a tree give the states of one pass over all chunks."""
+    path = vocabulary("piece_bpe_32k.model")
+    pieces = piecescan.load(path)
+    text = " ".join(random.Random(3).choice(["alpha", "beta▁", "x", "日本", "superfluous", "  ", "zz"]) for _ in range(400))
+    giants = spark.createDataFrame([("d", text), ("e", "y" * 500), ("f", "z")], "digest string, text string")
+    matrices = piecescan._matrices(piecescan._chunks(giants, path, 20), path).cache()
+    want = {}
+    for digest in ("d", "e", "f"):
+        table = matrices.where(f"digest = '{digest}'").orderBy("k").toPandas()
+        want[digest] = piecescan.boundary_states(piecescan._group(table))
+    for fan in (2, 3, 1000):
+        got = piecescan._states(matrices, fan).collect()
+        for digest, states in want.items():
+            own = sorted((r.k, tuple(r.entry), tuple(r.exit)) for r in got if r.digest == digest)
+            assert own == [(k, states[k], states[k + 1]) for k in range(len(states) - 1)]
+    assert pieces.reach > 1
+
+
 def test_encode_and_decode_odd_rows(odd_documents, vocabulary):
     path = vocabulary("piece_bpe_32k.model")
     library = piecescan.load(path).library
