@@ -43,10 +43,13 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .pii import let
-from .shared import plain_columns, sized, small_batches
+from .shared import plain_columns, sized, small_batches, written
 
 U64 = np.uint64
 WINDOW, COVERAGE, PASSAGE_WORDS = 5, 0.8, 13
+#: Words before a piece of a giant text that are read again; a word's template depends
+#: on the words right before it only.
+CONTEXT_WORDS = 8
 BITMAP_BITS = 24
 
 #: Unit words, lower-cased; the second list is ambiguous in prose and
@@ -166,26 +169,22 @@ def _windows(template: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
     return total[whole], whole, (sums[whole + WINDOW] - sums[whole]) > 0
 
 
-def _ends_sentence(data: np.ndarray) -> bool:
-    """Whether a sentence ends where a piece of a text does."""
-    words = np.flatnonzero(~textkit.SPACE[data])
-    return not len(words) or bool(_STOP[data[words[-1]]]) or bool((data[words[-1] :] == 10).any())
-
-
-def _row_templates(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _row_templates(column: pa.Array, block_bytes: int = textkit.BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """``(first row, end row, templates, values, sentence starts, row of each word)`` block by block."""
     data, offsets = textkit.text_buffer(column)
-    for row, end in textkit.blocks(offsets):
+    for row, end in textkit.blocks(offsets, block_bytes):
         own = data[offsets[row] : offsets[end]]
         if end > row + 1:
             inner = offsets[row : end + 1] - offsets[row]
             template, value, at, start = templates(own, inner[1:-1][inner[1:-1] < len(own)])
             yield row, end, template, value, start, np.searchsorted(inner, at, side="right") - 1
         else:
-            parts, begins = [], True
-            for a, b in textkit.pieces(own):
-                parts.append(templates(own[a:b], np.zeros(0, np.int64), begins))
-                begins = _ends_sentence(own[a:b])
+            parts = []
+            for a, b in textkit.pieces(own, block_bytes):
+                seen = textkit.words_before(own, a, CONTEXT_WORDS) if a else 0
+                found = templates(own[seen:b], np.zeros(0, np.int64), not a)
+                fresh = found[2] >= a - seen
+                parts.append([x[fresh] for x in found])
             t = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
             v = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
             start = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, bool)
@@ -350,7 +349,7 @@ def _agreeing(windows: str) -> Column:
 def find_contamination(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """``doc_id, digest, item_id, n_windows, item_windows, longest_run, reworded`` of the
     contaminated pairs. ``reworded`` says that slot values differ."""
-    items = item_windows(benchmark).cache()
+    items = written(item_windows(benchmark), "item-windows")
     short_words = {r[0] for r in items.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()}
     found = candidate_windows(documents, window_bitmap(items), short_words)
     pair = ["doc_id", "digest", "item_id"]

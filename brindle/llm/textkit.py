@@ -98,21 +98,39 @@ def blocks(offsets: np.ndarray, block_bytes: int = BLOCK_BYTES) -> Iterator[tupl
         row = end
 
 
-def pieces(data: np.ndarray, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of one long text that end between words."""
+def pieces(data: np.ndarray, block_bytes: int = BLOCK_BYTES, least_bytes: int = 1) -> Iterator[tuple[int, int]]:
+    """Ranges of one long text that end after a word of at least ``least_bytes`` bytes."""
     at = 0
     while at < len(data):
-        end = min(at + block_bytes, len(data))
+        end, seen = min(at + block_bytes, len(data)), at
         while end < len(data):
-            found = np.flatnonzero(SPACE[data[at:end]])
+            here = max(at, seen - least_bytes)
+            space = SPACE[data[here:end]]
+            stop = space.copy()
+            for k in range(1, least_bytes + 1):
+                stop[k:] &= ~space[:-k]
+                stop[:k] = False
+            found = np.flatnonzero(stop)
             if len(found):
-                end = at + int(found[-1]) + 1
+                end = here + int(found[-1]) + 1
                 break
-            end = min(end + block_bytes, len(data))
+            seen, end = end, min(end + block_bytes, len(data))
         yield at, end
         at = end
 
 
+def words_before(data: np.ndarray, at: int, words: int) -> int:
+    """Where the last ``words`` words before a place begin."""
+    seen = 256
+    while True:
+        start = max(0, at - seen)
+        inside = ~SPACE[data[start:at]]
+        begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        if len(begins) > words or not start:
+            return start + int(begins[-words]) if len(begins) >= words else start
+        seen *= 4
+
+
 def words_by_row(column: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, word hashes, row of each word from the first row on)``, block by block."""
     data, offsets = text_buffer(column)

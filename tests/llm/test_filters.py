@@ -3,9 +3,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from brindle.llm import cascade, chat, decontam, pii, toxicity, urlrules, warc
+from brindle.llm import cascade, chat, decontam, pii, textkit, toxicity, urlrules, warc
 
 from .conftest import prose
 
@@ -263,6 +264,94 @@ def test_short_items_inside_long_documents(spark):
     assert got == {1: "1", 2: "", 3: "2", 4: "3", 5: "", 6: "3", 7: "4", 8: "", 9: "1", 10: "", None: "1"}
 
 
+def test_templates_do_not_depend_on_pieces():
+    text = (prose(3, 400) + " Then - Anna ran 5 km. Bert saw * 7 min? New York 12,5 % of Ulm\nRome 3 s.").replace(" am", " 9 m") * 3
+    column = pa.array([text])
+    whole = list(decontam._row_templates(column))[0][2:5]
+    for size in (16, 64, 300):
+        parts = list(decontam._row_templates(column, size))
+        assert len(parts) == 1 and all((a == b).all() for a, b in zip(whole, parts[0][2:5])), size
+
+
+def plain_templates(text):
+    """Template and value of each word, by plain loops; values that a sentence start forbids stay."""
+    edge, out, begins, gap = ".,;:!?\"'()[]{}<>*_", [], True, ""
+    for m in re.finditer(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)", text):
+        whole, start = m[1], begins or "\n" in gap
+        word = whole.strip(edge)
+        begins, gap = whole[-1] in ".!?:" or (start and not word), m[2]
+        if not word:
+            continue
+        low = word.lower()
+        number = re.fullmatch(r"[0-9.,/:+-]*[0-9][0-9.,/:+-]*", word) is not None
+        after = bool(out) and out[-1][0] == "<n>"
+        unit = low in decontam.UNITS or after and low in decontam.UNITS_AFTER_NUMBERS
+        name = re.match("[A-ZÀ-ÖØ-Þ]", word) and re.search("[a-zß-ÿ]", word) and not start
+        out.append(("<n>" if number else "<u>" if unit else "<p>" if name else low, low))
+    return out
+
+
+def plain_matches(texts, items):
+    """(document, item) pairs by enumeration of all alignments."""
+    size, marks, found = decontam.WINDOW, {"<n>", "<u>", "<p>"}, set()
+    coded = {k: plain_templates(t) for k, t in items.items()}
+    windows = {}
+    for k, words in coded.items():
+        own = [i for i in range(len(words) - size + 1)]
+        literal = [i for i in own if any(t not in marks for t, _ in words[i : i + size])]
+        for i in literal or own:
+            windows.setdefault(tuple(t for t, _ in words[i : i + size]), []).append((k, i, len(literal or own)))
+    for d, text in texts.items():
+        words, aligned = plain_templates(text), {}
+        for at in range(len(words) - size + 1):
+            for k, i, n in windows.get(tuple(t for t, _ in words[at : at + size]), ()):
+                slots = [(b[1], a[1]) for a, b in zip(words[at : at + size], coded[k][i : i + size]) if a[0] in marks]
+                aligned.setdefault((k, n, at - i), []).append((i, slots))
+        places = {}
+        for (k, n, _), own in aligned.items():
+            votes = {}
+            for _, slots in own:
+                for a, b in slots:
+                    votes.setdefault(a, {}).setdefault(b, 0)
+                    votes[a][b] += 1
+            best = {a: max(v, key=lambda b: (v[b], b == a, hash64(b))) for a, v in votes.items()}
+            places.setdefault((k, n), set()).update(i for i, slots in own if all(best[a] == b for a, b in slots))
+        for (k, n), own in places.items():
+            run = best_run = 0
+            for i in range(max(own, default=-1) + 1):
+                run = run + 1 if i in own else 0
+                best_run = max(best_run, run)
+            if len(own) >= decontam.COVERAGE * n or best_run >= decontam.PASSAGE_WORDS - size + 1:
+                found.add((d, k))
+    return found
+
+
+def hash64(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(textkit.word_hashes(data)[0].view(np.int64)[0])
+
+
+def test_matches_equal_brute_force(spark):
+    """All documents and items of a table, with planted changes of the items."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    items = {r.item_id: r.text for r in benchmark.collect() if r.text}
+    planted = {}
+    for n, (k, text) in enumerate(sorted(items.items())[:40]):
+        words = text.split()
+        words[len(words) // 2] = "altered" if n % 2 else "7"
+        planted[10_000 + n] = f"{prose(n)} {' '.join(words[n % 3 :])} {prose(n + 500)}"
+    questions = {9001: "A train leaves Ulm at 9 and runs 80 km to Bonn in 2 hours , how fast is it on average then ?"}
+    planted |= {11_000: "Well. A train leaves Graz at 7 and runs 60 km to Linz in 3 hours , how fast is it on average then ?"}
+    planted |= {11_001: "Well. A train leaves Graz at 7 and sails 60 km to Linz in 3 hours , how slow is it on average now ?"}
+    documents = documents.unionByName(spark.createDataFrame(list(planted.items()), "doc_id long, text string"))
+    benchmark = benchmark.unionByName(spark.createDataFrame(list(questions.items()), "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(documents, benchmark).collect()}
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    assert got == plain_matches(texts, items | questions)
+    assert (11_000, 9001) in got and (11_001, 9001) not in got and len(got) > 20
+
+
 def test_slots_must_agree(spark):
     item = "In May Anna bought 5 pens and Anna sold 5 pens to Bert before Anna lost 5 more pens"
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -320,6 +409,22 @@ def test_short_toxic_words(spark):
     assert (got[1010], got[1011]) == (0, 1)
 
 
+def test_windows_do_not_depend_on_pieces():
+    decoder = toxicity.Decoder(np.log(np.full((27,) * 4, 1 / 27)))
+    text = (prose(4, 150) + " you are a s t u p i d m o r o n and an 1d10t , " + "a " * 40).encode()
+    data = np.frombuffer(text, np.uint8)
+
+    def keys(block_bytes):
+        found = []
+        for own, inner in toxicity._parts(data, np.array([0, len(data)]), 0, 1, block_bytes):
+            (g, _), (first, last, _) = toxicity.windows(own, inner, decoder)
+            found.append(np.concatenate([g, first, last]))
+        return len(found), set(np.concatenate(found).tolist())
+
+    assert keys(1 << 20)[0] == 1 and keys(64)[0] > 5
+    assert keys(64)[1] == keys(1 << 20)[1] == keys(200)[1]
+
+
 def test_large_window_table_is_whole(spark):
     letters = np.random.default_rng(1).integers(97, 123, (12_000, 8)).astype(np.uint8)
     words = [w for w in (x.tobytes().decode() for x in letters) if not re.search(r"(.)\1\1", w)]  # others are restored
