@@ -417,8 +417,8 @@ def test_windows_do_not_depend_on_pieces():
     def keys(block_bytes):
         found = []
         for own, inner in toxicity._parts(data, np.array([0, len(data)]), 0, 1, block_bytes):
-            (g, _), (first, last, _) = toxicity.windows(own, inner, decoder)
-            found.append(np.concatenate([g, first, last]))
+            (g, _), (word, _), (begin, _), (first, last, _) = toxicity.windows(own, inner, decoder)
+            found.append(np.concatenate([g, first, last, -word, -toxicity.HASHED - begin]))
         return len(found), set(np.concatenate(found).tolist())
 
     assert keys(1 << 20)[0] == 1 and keys(64)[0] > 5
@@ -430,9 +430,38 @@ def test_large_window_table_is_whole(spark):
     words = [w for w in (x.tobytes().decode() for x in letters) if not re.search(r"(.)\1\1", w)]  # others are restored
     frame = spark.createDataFrame([(k, " ".join(words)) for k in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, 1, 1) for k in range(20)], "doc_id long, quality int, toxic int")
-    known, weights = toxicity.window_table(frame, labels, toxicity.language_model(frame))
+    known, weights = toxicity.feature_table(toxicity.training_rows(frame, labels)[0], toxicity.language_model(frame))
     want = {f" {w} "[k : k + 5] for w in words for k in range(6)}
-    assert len(known) == len(weights) == len(want) > 50_000 and (weights >= 0.5).all()
+    assert (known < toxicity.CELLS5).sum() == len(want) > 50_000 and len(known) == len(weights) and (weights >= 0.5).all()
+    own = known[(known >= toxicity.CELLS5) & (known < toxicity.CELLS5 + toxicity.HASHED)]
+    assert len(words) - len(own) < 50  # words that share a cell
+
+
+def test_held_out_quality(spark):
+    """Recall, precision and order of scores on rows that were not learnt from, on whole tables."""
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(documents, labels).where("held_out")
+    rows = scored.join(labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").toPandas()
+    bad, found, rank = rows.toxic == 1, rows.predicted == 1, rows.score.rank()
+    auc = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
+    assert found[bad].mean() >= 0.8 and bad[found].mean() >= 0.97 and auc >= 0.95
+
+
+def test_letters_of_other_scripts():
+    def word(text):
+        return toxicity.letters(text)
+
+    assert word("Ĕÿ") == "ey" and word("сор") == "cop" and word("e\u0301t\u0308") == "et" and word("日本") != "" and word("…€") == ""
+    data = "日本 жук x".encode()
+    codes, rows = toxicity.fold(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert "".join("x" if c else " " for c in codes[rows == 0]) == " xx xxx x "
+
+
+def test_best_cut():
+    clean, toxic = np.zeros(101), np.zeros(101)
+    clean[[0, 30, 40]], toxic[[0, 60, 80]] = [50, 5, 5], [1, 5, 5]
+    assert toxicity.best_cut(clean, toxic) == 0.505  # the middle of 0.41 and 0.60
+    assert toxicity.best_cut(clean, 0 * toxic) == 0.5
 
 
 def test_scores_of_odd_rows(odd_documents, labels):
