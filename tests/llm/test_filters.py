@@ -29,6 +29,29 @@ def test_perspectives(spark):
     assert chat.rotate_perspectives(frame.limit(0)).count() == 0
 
 
+def test_pieces_of_a_dialogue_concatenate(spark):
+    """Long, tied, repeated and empty-role turns: the pieces at any size are the whole rendering."""
+    turns = [(1, k // 2, ["ann", "bob", "", None][k % 4], f"t{k % 5}" * (k % 7)) for k in range(900)]
+    turns += [(2, 5, r, t) for r in ("x", "y") for t in ("same", "same", None, "")] + [(3, -3, "a", "z" * 300_000), (3, 400, "b", "q")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+
+    def whole(size):
+        found = {}
+        for r in sorted(chat.rotate_perspectives(frame, size).collect(), key=lambda r: (r.conv_id, r.speaker, r.segment)):
+            text, mask, spans = found.get((r.conv_id, r.speaker), ("", "", []))
+            assert r.start == len(text)
+            found[r.conv_id, r.speaker] = (text + r.rendered, mask + r.mask, spans + [s for s in r.mask_spans.split(",") if s])
+        return found
+
+    one = whole(10**6)
+    assert set(one) == {(1, "ann"), (1, "bob"), (2, "x"), (2, "y"), (3, "a"), (3, "b")}
+    assert one == whole(chat.TURNS_PER_SEGMENT) == whole(7)
+    text, mask, spans = one[1, "bob"]
+    assert len(mask) == 900 and len(spans) == mask.count("1") == 225
+    own = sorted((t, c or "") for _, t, r, c in turns[:900] if r == "bob")
+    assert [text[int(a) : int(b)] for a, b in (s.split(":") for s in spans)] == [c for _, c in own]
+
+
 # URLs -----------------------------------------------------------------------------
 
 
