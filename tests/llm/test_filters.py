@@ -169,6 +169,19 @@ def test_cascade_order_is_rejection_per_cost_and_changes_nothing(spark, odd_docu
     assert answers[0] == answers[1]
 
 
+def test_slow_rules_come_after_free_ones(spark):
+    """Two rules that reject the same texts: the one that reads finished columns comes first."""
+    frame = spark.createDataFrame([(k, prose(k, 1500)) for k in range(60)], "doc_id long, text string")
+    sample = cascade.measured(frame).cache()
+    same = F.col("doc_id") % 2 == 0
+    rules = {"a_slow": same & (F.size(F.regexp_extract_all("text", F.lit(r"(\w+)\W+(\w+)"), F.lit(0))) > 0), "b_free": same & (F.col("n_words") > 0)}
+    found = cascade.measure_rules(sample, rules)
+    assert found["a_slow"][1] == found["b_free"][1] == 0.5 and found["a_slow"][0] > 2 * found["b_free"][0]
+    assert cascade.cascade_order(found) == ["b_free", "a_slow"]
+    assert cascade.measure_rules(sample.limit(0), rules)["a_slow"][1] == 0.0
+    sample.unpersist()
+
+
 # Personal data --------------------------------------------------------------------
 
 BASE = {
