@@ -6,20 +6,24 @@ give code-point offsets.
 
 Base kinds (email, ip, card, phone) are fixed patterns with checks of their matches.
 
-The method adds ``secret`` spans (keys, tokens, passwords). High-recall generators
-propose overlapping spans; each gets features of its format (length, shares of
-digits and cases, distinct characters, hexadecimal) and its context (a credential
-word before it, an assignment or quote right before it). Gradient-boosted trees
-score them. There are no labels for this in the corpus, so a strict teacher (known
-key formats; assignments to credential words) labels all candidates. The trees are
-fitted to a bounded sample (``sample_rows``, a documented parameter): each class has
-half as many buckets, and a bucket gives its candidate of the least hash, so the sample
-does not depend on where candidates stand. The threshold is the lowest score at which
-the precision against the teacher, over all candidates of the table, is at least
-``precision``. The trees become one nested CASE expression that scores candidates where
-they are, without a shuffle. Where trees cannot be fitted (one class only) or no score
-is that precise, the teacher's own verdicts are taken. Selected spans that
-overlap a base span or an earlier selected one are dropped; base spans stay.
+The method adds ``secret`` spans (keys, tokens, passwords), ``iban`` spans (account
+numbers) and ``address`` spans (spelled-out addresses). High-recall generators propose
+overlapping spans; each gets features of its format (shares of digits, cases and vowels,
+changes between kinds of characters, the longest run of digits, the generator) and its
+context (quotes, the mark and the word before it, letters around it). Gradient-boosted
+trees score them. There are no labels for this in the corpus, so a strict teacher labels
+all candidates: known key formats, assignments to credential words, the check digits of
+account numbers, bracketed spellings. What the teacher looks at - formats by name, the
+credential word, the assignment, length, variety of characters, check digits - is no
+feature, so the trees have to learn other traits of the same spans and find spans that
+look alike beyond the teacher's rules. The trees are fitted to a bounded sample
+(``sample_rows``, a documented parameter): each class has half as many buckets, and a
+bucket gives its candidate of the least hash, so the sample does not depend on where
+candidates stand. The threshold is the lowest score at which the precision against the
+teacher, over all candidates of the table, is at least ``precision``. The trees become
+one nested CASE expression that scores candidates where they are, without a shuffle.
+A candidate is selected by the trees or by the teacher. Selected spans that overlap a
+base span or an earlier selected one are dropped; base spans stay.
 
 Defined results: null and empty texts have no spans; null ids are kept; repeated
 rows are judged alike; without candidates that the teacher knows the method adds nothing;
@@ -33,11 +37,12 @@ from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+from .shared import written
+
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "address")
 SAMPLE_ROWS = 4000
 PRECISION = 0.99
 
@@ -54,9 +59,19 @@ CREDENTIAL = r"(?:password|passwd|passphrase|pwd|secret|token|api[ _-]?key|acces
 ASSIGNED = rf"(?i){CREDENTIAL}\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"']{{6,}}"
 HEXADECIMAL = r"(?<![0-9A-Za-z])[0-9a-f]{16,}+(?![0-9A-Za-z])"
 CODE = r"(?<![0-9A-Za-z])(?=[A-Za-z]*+[0-9])[0-9A-Za-z]{12,}+"
-KNOWN_KEY = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^sk[-_][0-9A-Za-z]{20,}$"
+DOTTED = r"(?<![0-9A-Za-z_-])eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+(?:\.[0-9A-Za-z_-]{8,}+)?"
+KNOWN_KEY = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^sk[-_][0-9A-Za-z]{20,}$|^eyJ[0-9A-Za-z_-]+\.eyJ"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}+(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
+ADDRESS = r"(?<![0-9A-Za-z._%+-])[0-9A-Za-z._%+-]{2,}+ ?[\[({ ]at[\])} ] ?[0-9A-Za-z-]{2,}+(?: ?[\[({ ]dot[\])} ] ?[0-9A-Za-z-]{2,}+)++"
+BRACKETED = r"[\[({]at[\])}].*[\[({]dot[\])}]"
 
-FEATURES = ("length", "digits", "upper", "lower", "distinct", "hexadecimal", "credential", "assigned")
+#: What the trees see of a candidate; the teacher sees none of it.
+FEATURES = ("generator", "digits", "upper", "lower", "vowels", "marks", "changes", "longest_digits", "first_digit", "quoted", "mark_before", "word_before", "letters_before", "letters_after")
+GENERATORS = ("assigned", "hexadecimal", "code", "dotted", "iban", "address")
+#: Rows a leaf needs: the few spans that the teacher overlooks are not split off from those it knows.
+LEAF_ROWS = 20
+#: Matches placed in one fold; longer lists are placed group by group, so the cost stays linear.
+GROUP = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,24 +79,61 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+Found = "array<struct<start:int,end:int,found:string,before:string,after:string>>"
+#: Code points of context before and after a match, at most, and not past the next match.
+BEFORE, AFTER = 24, 8
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, found>>`` of a pattern's matches, in order."""
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    """``array<struct<start, end, found, before, after>>`` of a pattern's matches, in order.
+
+    Places are sums of lengths. An array that grows by one is copied each time, so the
+    matches are placed in groups of ``GROUP``, and the groups one after another.
+    """
+
+    def cells(found: Column, parts: Column) -> Column:
+        return F.transform(
+            found,
+            lambda hit, k: let(
+                F.get(parts, k),
+                lambda part: F.struct(
+                    F.length(part).alias("gap"),
+                    F.length(hit).alias("size"),
+                    hit.alias("found"),
+                    F.right(part, F.lit(BEFORE)).alias("before"),
+                    F.left(F.get(parts, k + 1), F.lit(AFTER)).alias("after"),
+                ),
+            ),
+        )
 
-    def place(found: Column, parts: Column) -> Column:
-        first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), empty.alias("out"))
+    def placed(own: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(Found).alias("out"))
 
-        def step(acc: Column, part: Column) -> Column:
-            hit = F.get(found, acc["k"])
-            start = acc["at"] + F.length(part)
-            end = start + F.coalesce(F.length(hit), F.lit(0))
-            more = F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), hit.alias("found")))
-            return F.struct(end.alias("at"), (acc["k"] + 1).alias("k"), F.when(hit.isNull(), acc["out"]).otherwise(more).alias("out"))
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            span = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["found"].alias("found"), x["before"].alias("before"), x["after"].alias("after"))
+            return F.struct((start + x["size"]).alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-        return F.aggregate(parts, first, step, lambda acc: acc["out"])
+        return F.aggregate(own, first, step)
+
+    def shifted(spans: Column, by: Column) -> Column:
+        return F.transform(spans, lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["found"], x["before"], x["after"]))
+
+    def joined_groups(groups: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{Found}>").alias("out"))
+
+        def step(acc: Column, g: Column) -> Column:
+            return F.struct((acc["at"] + g["at"]).alias("at"), F.array_append(acc["out"], shifted(g["out"], acc["at"]).cast(Found)).alias("out"))
+
+        return F.flatten(F.aggregate(groups, first, step, lambda acc: acc["out"]))
 
     def located(found: Column) -> Column:
-        return F.when(F.size(found) == 0, empty).otherwise(place(found, F.split(text, pattern, -1)))
+        def in_groups(all_cells: Column) -> Column:
+            numbers = F.sequence(F.lit(0), F.floor((F.size(all_cells) - 1) / GROUP).cast("int"))
+            return joined_groups(F.transform(numbers, lambda g: placed(F.slice(all_cells, g * GROUP + 1, F.lit(GROUP)))))
+
+        several = let(let(F.split(text, pattern, -1), lambda parts: cells(found, parts)), in_groups)
+        return F.when(F.size(found) == 0, F.array().cast(Found)).otherwise(several)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
 
@@ -95,7 +147,7 @@ def luhn(digits: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Kind -> ``array<struct<start, end, found>>`` of the valid base spans."""
-    none = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    none = F.array().cast(Found)
     digits = text.rlike("[0-9]")
 
     def when(condition: Column, value: Column) -> Column:
@@ -115,40 +167,79 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def iban_valid(found: Column) -> Column:
+    """Whether the check digits of an account number are right."""
+    plain = F.replace(found, F.lit(" "), F.lit(""))
+    turned = F.split(F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4))), "")
+    figures = F.transform(turned, lambda c: F.conv(c, 36, 10).cast("int"))
+    rest = F.aggregate(figures, F.lit(0), lambda acc, x: F.when(x > 9, acc * 100 + x).otherwise(acc * 10 + x) % 97)
+    return (F.length(plain) >= 15) & (rest == 1)
+
+
 def candidates(text: Column) -> Column:
-    """``array<struct<start, end, found, features...>>`` of possible secrets, overlaps included."""
+    """``array<struct<start, end, found, kind, credential, assigned, features...>>`` of
+    possible personal data beyond the base kinds, overlaps included."""
     value = r"[=:]\s{0,3}[\"']?([^\s\"']{6,})$"
 
     def value_only(x: Column) -> Column:
         return let(
             F.regexp_extract(x["found"], value, 1),
-            lambda v: F.struct((x["end"] - F.length(v)).alias("start"), x["end"].alias("end"), v.alias("found")),
+            lambda v: F.struct(
+                (x["end"] - F.length(v)).alias("start"),
+                x["end"].alias("end"),
+                v.alias("found"),
+                F.right(F.left(x["found"], F.length(x["found"]) - F.length(v)), F.lit(BEFORE)).alias("before"),
+                x["after"],
+            ),
         )
 
-    proposed = F.concat(F.transform(matches(text, ASSIGNED), value_only), matches(text, HEXADECIMAL), matches(text, CODE))
-
     def share(x: Column, other: str) -> Column:
         return F.length(F.regexp_replace(x["found"], other, "")) / F.length(x["found"])
 
-    def described(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+    def described(x: Column, generator: int) -> Column:
+        kind = {"iban": "iban", "address": "address"}.get(GENERATORS[generator], "secret")
+        before, found = x["before"], x["found"]
+        shape = F.regexp_replace(F.regexp_replace(found, "[0-9]+", "9"), "[A-Za-z]+", "a")
+        values = (
+            F.lit(float(generator)),
+            share(x, "[^0-9]"),
+            share(x, "[^A-Z]"),
+            share(x, "[^a-z]"),
+            share(x, "(?i)[^aeiou]"),
+            share(x, "[0-9A-Za-z]"),
+            F.length(shape) / F.length(found),
+            F.array_max(F.transform(F.split(found, "[^0-9]+"), F.length)) / F.length(found),
+            found.rlike("^[0-9]").cast("double"),
+            (before.rlike("[\"'`]$") & x["after"].rlike("^[\"'`]")).cast("double"),
+            F.coalesce(F.ascii(F.right(F.regexp_replace(before, r"[\s\"'`]+$", ""), F.lit(1))), F.lit(0)).cast("double"),
+            F.pmod(F.xxhash64(F.lower(F.regexp_extract(before, r"(\p{L}+)\P{L}*$", 1))), F.lit(61)).cast("double"),
+            F.length(F.regexp_replace(before, r"\P{L}", "")).cast("double"),
+            F.length(F.regexp_replace(x["after"], r"\P{L}", "")).cast("double"),
+        )
         return F.struct(
             x["start"].alias("start"),
             x["end"].alias("end"),
-            x["found"].alias("found"),
-            F.length(x["found"]).cast("double").alias("length"),
-            share(x, "[^0-9]").alias("digits"),
-            share(x, "[^A-Z]").alias("upper"),
-            share(x, "[^a-z]").alias("lower"),
-            (F.size(F.array_distinct(F.split(x["found"], ""))) / F.length(x["found"])).alias("distinct"),
-            x["found"].rlike("^[0-9a-f]+$").cast("double").alias("hexadecimal"),
-            before.rlike(rf"(?i){CREDENTIAL}\W{{0,8}}$").cast("double").alias("credential"),
-            before.rlike(r"[=:]\s{0,3}[\"']?$").cast("double").alias("assigned"),
+            found.alias("found"),
+            F.lit(kind).alias("kind"),
+            before.rlike(rf"(?i){CREDENTIAL}\W{{0,8}}$").alias("credential"),
+            before.rlike(r"[=:]\s{0,3}[\"']?$").alias("assigned"),
+            *[v.alias(f) for f, v in zip(FEATURES, values)],
         )
 
-    kind = "array<struct<start:int,end:int,found:string," + ",".join(f"{f}:double" for f in FEATURES) + ">>"
-    likely = text.rlike(rf"[0-9]|(?i){CREDENTIAL}\s{{0,3}}[=:]")
-    return F.when(likely, F.transform(F.filter(proposed, lambda x: x["end"] > x["start"]), described)).otherwise(F.array().cast(kind))
+    def of(generator: int, spans: Column, when: Column) -> Column:
+        kept = F.filter(spans, lambda x: x["end"] > x["start"])
+        return F.when(when, F.transform(kept, lambda x: described(x, generator))).otherwise(F.array().cast(kind))
+
+    kind = "array<struct<start:int,end:int,found:string,kind:string,credential:boolean,assigned:boolean," + ",".join(f"{f}:double" for f in FEATURES) + ">>"
+    digits = text.rlike("[0-9]")
+    return F.concat(
+        of(0, F.transform(matches(text, ASSIGNED), value_only), text.rlike(rf"(?i){CREDENTIAL}\s{{0,3}}[=:]")),
+        of(1, matches(text, HEXADECIMAL), digits),
+        of(2, matches(text, CODE), digits),
+        of(3, matches(text, DOTTED), F.instr(text, "eyJ") > 0),
+        of(4, matches(text, IBAN), digits),
+        of(5, matches(text, ADDRESS), text.rlike(r"[\[({ ]dot[\])} ]")),
+    )
 
 
 Score = Callable[[Column], Column]
@@ -186,34 +277,38 @@ def model_score(description: str, weights: list[float]) -> Score:
 
 def taught(c: Column) -> Column:
     """The teacher's verdict on a candidate."""
-    return c["found"].rlike(KNOWN_KEY) | ((c["credential"] == 1) & (c["assigned"] == 1) & (c["length"] >= 8) & (c["distinct"] >= 0.3))
+    varied = let(F.split(c["found"], ""), lambda chars: F.size(F.array_distinct(chars)) >= 0.3 * F.size(chars))
+    secret = c["found"].rlike(KNOWN_KEY) | (c["credential"] & c["assigned"] & (F.length(c["found"]) >= 8) & varied)
+    return F.when(c["kind"] == "iban", iban_valid(c["found"])).when(c["kind"] == "address", c["found"].rlike(BRACKETED)).otherwise(secret)
 
 
-def draw(proposals: DataFrame, sample_rows: int) -> DataFrame:
-    """At most ``sample_rows`` candidates' features and ``label``, half of each class.
+def proposed(documents: DataFrame) -> DataFrame:
+    """``label, order`` (a hash) and the features of every candidate of a table."""
+    each = documents.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("c"))
+    return each.select(taught(F.col("c")).cast("int").alias("label"), F.xxhash64("c.found", "c.start").alias("order"), *[F.col(f"c.{f}").alias(f) for f in FEATURES])
 
-    ``proposals`` has one candidate ``c`` a row.
-    """
-    order = F.xxhash64("c.found", "c.start")
-    bucket = F.pmod(F.xxhash64(order), F.lit(max(sample_rows // 2, 1)))
-    rows = proposals.select(taught(F.col("c")).cast("double").alias("label"), bucket.alias("bucket"), F.struct(order.alias("order"), *[F.col(f"c.{f}").alias(f) for f in FEATURES]).alias("x"))
+
+def draw(proposals: DataFrame, sample_rows: int) -> DataFrame:
+    """At most ``sample_rows`` candidates' features and ``label``, half of each class."""
+    bucket = F.pmod(F.xxhash64("order"), F.lit(max(sample_rows // 2, 1)))
+    rows = proposals.select(F.col("label").cast("double").alias("label"), bucket.alias("bucket"), F.struct("order", *FEATURES).alias("x"))
     return rows.groupBy("label", "bucket").agg(F.min("x").alias("x")).select("label", *[F.col(f"x.{f}").alias(f) for f in FEATURES])
 
 
-def teach(proposals: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION, rounds: int = 8, depth: int = 3) -> tuple[Score, float] | None:
+def teach(proposals: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION, rounds: int = 8, depth: int = 4) -> tuple[Score, float] | None:
     """Score and threshold, or None where a class is missing or no score is precise.
 
-    ``proposals`` has one candidate ``c`` a row.
+    ``proposals`` as from ``proposed``.
     """
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(draw(proposals, sample_rows)).select("features", "label").cache()
     try:
         if rows.select("label").distinct().count() < 2:
             return None
-        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, maxBins=32).fit(rows)
+        model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7, maxBins=64, minInstancesPerNode=LEAF_ROWS).fit(rows)
     finally:
         rows.unpersist()
     score = model_score(model.toDebugString, list(model.treeWeights))
-    scored = proposals.select(F.round(score(F.col("c")), 3).alias("score"), taught(F.col("c")).cast("long").alias("label"))
+    scored = proposals.select(F.round(score(F.struct(*FEATURES)), 3).alias("score"), F.col("label").cast("long").alias("label"))
     at = scored.groupBy("score").agg(F.sum("label").alias("right"), F.count("*").alias("n")).orderBy(F.desc("score")).collect()
     right = n = 0
     threshold = None
@@ -230,19 +325,21 @@ def with_spans(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, precision:
     """``documents`` and ``_base`` (kind number, start, end) and ``_all`` spans, both
     ordered by kind as listed, then start."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    learnt = teach(documents.select(F.explode(candidates(text)).alias("c")), sample_rows, precision)
+    learnt = teach(written(proposed(documents), "proposals"), sample_rows, precision)
 
     def numbered(kind: int, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
     base = F.concat(*[numbered(k, spans) for k, spans in enumerate(base_spans(text).values())])
     rows = documents.withColumn("_base", base)
-    if learnt is None:
-        chosen = F.filter(candidates(text), taught)
-    else:
+    chosen = F.filter(candidates(text), taught)
+    if learnt is not None:
         score, threshold = learnt
-        chosen = F.filter(candidates(text), lambda c: score(c) >= threshold)
-    spans = F.sort_array(F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("end"))))
+        chosen = F.filter(candidates(text), lambda c: taught(c) | (score(c) >= threshold))
+    names = F.array(*[F.lit(k) for k in KINDS])
+    spans = F.sort_array(
+        F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("end"), F.array_position(names, c["kind"]).cast("int").alias("kind")))
+    )
     kept = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<kind:int,start:int,end:int>>").alias("out")),
@@ -251,10 +348,10 @@ def with_spans(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, precision:
         ).otherwise(
             F.struct(
                 (-x["end"]).alias("to"),
-                F.array_append(acc["out"], F.struct(F.lit(KINDS.index("secret")).alias("kind"), x["start"].alias("start"), (-x["end"]).alias("end"))).alias("out"),
+                F.array_append(acc["out"], F.struct((x["kind"] - 1).alias("kind"), x["start"].alias("start"), (-x["end"]).alias("end"))).alias("out"),
             )
         ),
-        lambda acc: acc["out"],
+        lambda acc: F.sort_array(acc["out"]),
     )
     return rows.withColumn("_all", F.concat("_base", kept))
 

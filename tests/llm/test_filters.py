@@ -250,12 +250,51 @@ def test_secrets_behind_a_hot_source(spark):
 
 def test_secrets_of_one_class_alone(spark):
     frame = spark.createDataFrame([(k, f"password={hashlib.md5(bytes([k])).hexdigest()[:18]}.") for k in range(20)], "doc_id long, text string")
-    proposals = frame.select(F.explode(pii.candidates(F.col("text"))).alias("c"))
-    known = proposals.where(pii.taught(F.col("c")))
-    assert pii.teach(known) is None
+    assert pii.teach(pii.proposed(frame).where("label = 1")) is None
     assert all("secret:" in r.spans for r in pii.find_personal_data(frame).collect())
 
 
+def test_trees_find_what_the_teacher_does_not(spark):
+    """Keys assigned to names the teacher does not know, in the format of those it knows."""
+    key = lambda k: hashlib.sha1(bytes([k % 256, k // 256])).hexdigest()
+    texts = {k: f'{prose(k, 12)} token = "{key(k)}" {prose(k + 1, 9)}' for k in range(150)}
+    texts |= {500 + k: f"{prose(k, 12)} build {key(500 + k)[:24]} of {prose(k + 1, 9)}" for k in range(150)}
+    texts |= {900 + k: f'{prose(k, 12)} clave = "{key(900 + k)}" {prose(k + 1, 9)}' for k in range(7)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(frame, precision=0.9).collect()}
+
+    def right(k):
+        text, own = texts[k], key(k)
+        return f"secret:{text.index(own)}:{text.index(own) + 40}" in rows[k].split(",")
+
+    assert all(right(k) for k in range(150))
+    assert sum(right(900 + k) for k in range(7)) == 7
+    assert sum("secret" in rows[500 + k] for k in range(150)) == 0
+
+
+def test_other_kinds(spark):
+    texts = [
+        "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 now", "not DE88 3704 0044 0532 0130 00 either",
+        "write ann.b [at] example [dot] co [dot] uk soon", "look at it and dot the rest", "key eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJlMTIz end",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.find_personal_data(frame).collect()}
+    found = {k: [(x[0], texts[k][int(x[1]) : int(x[2])]) for x in own] for k, own in rows.items()}
+    assert found[0] == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")]
+    assert not [x for x in found[1] + found[3] if x[0] in ("iban", "address")]
+    assert found[2] == [("address", "ann.b [at] example [dot] co [dot] uk")]
+    assert found[4] == [("secret", "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJlMTIz")]
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"u{k}@é.org 10.0.{k % 256}.1" for k in range(6000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find_personal_data(frame).first()
+    assert (row.n_email, row.n_ip) == (sum(x.startswith("email") for x in brute_spans(text)), 6000)
+    assert row.base_sha256 == hashlib.sha256(",".join(brute_spans(text)).encode()).hexdigest()
+    assert pii.redact(frame).first().text.count("<IP>") == 6000
+
+
 # Decontamination ------------------------------------------------------------------
 
 
