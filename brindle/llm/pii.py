@@ -285,7 +285,7 @@ def taught(c: Column) -> Column:
 def proposed(documents: DataFrame) -> DataFrame:
     """``label, order`` (a hash) and the features of every candidate of a table."""
     each = documents.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("c"))
-    return each.select(taught(F.col("c")).cast("int").alias("label"), F.xxhash64("c.found", "c.start").alias("order"), *[F.col(f"c.{f}").alias(f) for f in FEATURES])
+    return each.select(taught(F.col("c")).cast("int").alias("label"), F.xxhash64("c.found", "c.start", "c.generator").alias("order"), *[F.col(f"c.{f}").alias(f) for f in FEATURES])
 
 
 def draw(proposals: DataFrame, sample_rows: int) -> DataFrame:
