@@ -98,6 +98,41 @@ def test_general_rules_outlast_many_implied_ones(spark):
     assert len(rules) == len(want) and dict(rules) == want
 
 
+def test_mining_against_enumeration(spark):
+    """Support, confidence, lift and pruning of all token combinations, counted one by one."""
+    from itertools import combinations
+
+    draw = np.random.default_rng(11)
+    baskets = []
+    for _ in range(220):
+        tokens = {t for t, p in zip("abcdefg", (0.9, 0.6, 0.5, 0.3, 0.2, 0.1, 1.0)) if draw.random() < p}
+        bad = draw.random() < 0.1 + 0.5 * ("b" in tokens and "d" in tokens) + 0.3 * ("e" in tokens)
+        baskets.append(sorted(tokens) + [urlrules.LABEL] * bool(bad))
+    n, least = len(baskets), max(0.03 * len(baskets), 5)
+    base = sum(urlrules.LABEL in b for b in baskets) / n
+    found = {}
+    for size in (1, 2, 3):
+        for own in combinations("abcdef", size):
+            with_own = [b for b in baskets if set(own) <= set(b)]
+            bad = sum(urlrules.LABEL in b for b in with_own)
+            if bad >= least and bad / len(with_own) >= 0.3 and bad / len(with_own) / base > 1 + 1e-9:
+                found[own] = bad / len(with_own)
+    want = {own: c for own, c in found.items() if not any(found.get(sub, -1) >= c for k in range(1, len(own)) for sub in combinations(own, k))}
+    got = urlrules.mine_rules(spark.createDataFrame([(b,) for b in baskets], "items array<string>"), min_support=0.03, min_confidence=0.3)
+    assert {a: round(c, 9) for a, c in got} == {a: round(c, 9) for a, c in want.items()} and len(want) > 3
+
+
+def test_odd_urls(spark):
+    urls = ["http://a.net/" + "x/" * 20_000 + "?" + "&".join(f"k{i}=1" for i in range(2000)), "plain text", "", None, "http://", "://", "http://bad.net/p/1", "http://bad.net/p/1"]
+    frame = spark.createDataFrame([(k % 7, u, "h") for k, u in enumerate(urls)] + [(100 + k, f"http://bad.net/p/{k}", "x") for k in range(40)] + [(200 + k, f"http://fine.net/q/{k}", "x") for k in range(40)], "page_id long, url string, tokens string")
+    labels = spark.createDataFrame([(100 + k, 0, 0) for k in range(40)] + [(200 + k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    rows = urlrules.judge_urls(frame, labels).collect()
+    assert len(rows) == frame.count()
+    assert {r.verdict for r in rows if r.host == "bad.net"} == {"block"} and {r.verdict for r in rows if r.host != "bad.net"} == {"allow"}
+    tokens = frame.select(urlrules.url_tokens(F.lit(""), F.lit(""), F.col("url")).alias("t"), "url").collect()
+    assert all(not r.t for r in tokens if r.url is None or "://" not in r.url)
+
+
 def test_implied_rules_against_brute_force(spark):
     r = np.random.default_rng(5)
     rules = {tuple(sorted(r.choice(list("abcdef"), r.integers(1, 4), replace=False).tolist())): float(r.integers(5, 10)) / 10 for _ in range(60)}
