@@ -5,15 +5,21 @@ a page with a smaller id, and has at least ``min_revisit_bytes`` bytes, become
 revisit records without the payload. Spark's own text writer stores the records
 (the record separator CRLF CRLF is its line separator), so archives land through
 Hadoop's committers on any file system and survive a lost executor. Each task
-sorts its captures by URL key, time and id first: an archive is a sorted run.
+sorts its captures by URL key, time and id first: the archives of a task, one after
+another, are a sorted run. Records are written by size class, so that an archive has
+about 64 MiB before compression at most, or one record.
 
 Reading: archives are parsed by their Content-Length headers, never by searching
-for separators inside payloads.
+for separators inside payloads. An entry has its record's byte offset in the
+(decompressed) archive; ``record_at`` reads one record from there.
 
-Index merge: the entries are range-partitioned by (URL key, timestamp, id); each
-range merges its slices of the runs with a loser tree. Since the time is part of
-the range key, a URL with a third of all captures spreads over many ranges. The
-ranges one after another are the global order.
+Index merge: the entries are range-partitioned by (URL key, timestamp, id); the number
+of ranges follows the number of entries, so a range has a bounded number of them. Inside
+a range Spark's external sort puts the slices of the runs one after another, each in its
+order, and a loser tree merges them; a run is read ahead by ``READ_AHEAD`` entries, the
+rest stays in Arrow buffers. Since the time is part of the range key, a URL with a third
+of all captures spreads over many ranges. The ranges one after another are the global
+order.
 
 Defined results: null html is an empty payload; null url has no target URI and an
 empty URL key; null ids are kept (such a record has no id to refer to, and it
@@ -37,6 +43,10 @@ from .shared import shared_dir, written
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = 1_700_000_000
+#: Size classes: payload bytes at most (None: no limit), records of an archive at most.
+SIZES = ((64 << 10, 1000), (4 << 20, 16), (None, 1))
+#: Index entries of a range, and of a run that are Python rows at a time.
+RANGE_ENTRIES, READ_AHEAD = 200_000, 256
 
 
 def url_key(url: Column) -> Column:
@@ -99,7 +109,7 @@ def record() -> Column:
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Date", stamp),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x1f\x7f]", "%0A")),
+        line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Profile", F.when(revisit, PROFILE)),
         line("WARC-Refers-To", urn(F.col("refers_to"))),
@@ -110,21 +120,30 @@ def record() -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, records_per_archive: int = 1000) -> None:
-    """Write the pages as gzip-compressed WARC archives under ``path``."""
-    rows = with_revisits(pages)
-    runs = rows.withColumn("key", url_key(F.col("url"))).sortWithinPartitions("key", capture_time(F.col("page_id")), "page_id")
-    (
-        runs.select(record().alias("value"))
-        .write.option("lineSep", CRLF * 2)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", records_per_archive)
-        .text(path)
-    )
-
-
-def parse_archive(data: bytes, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of one gzip-compressed archive, in order.
+def write_archives(pages: DataFrame, path: str, sizes: Sequence[tuple[int | None, int]] = SIZES) -> None:
+    """Write the pages as gzip-compressed WARC archives under ``path``, a folder a size class."""
+    length = F.coalesce(F.octet_length("html"), F.lit(0))
+    lows = [0, *(most + 1 for most, _ in sizes[:-1])]
+    inside = [(F.col("n") >= low) & (F.lit(True) if most is None else F.col("n") <= most) for low, (most, _) in zip(lows, sizes)]
+    occurs = pages.select(length.alias("n")).agg(*[F.coalesce(F.bool_or(x), F.lit(False)).alias(f"c{k}") for k, x in enumerate(inside)]).first()
+    rows = with_revisits(pages).withColumn("url", F.regexp_replace("url", r"[\x00-\x1f\x7f]", "%0A"))
+    for k, (_, records) in enumerate(sizes):
+        if k and not occurs[k]:
+            continue
+        own = rows if sum(occurs) <= occurs[k] else rows.where(inside[k])
+        runs = own.withColumn("key", url_key(F.col("url"))).sortWithinPartitions("key", capture_time(F.col("page_id")), "page_id")
+        (
+            runs.select(record().alias("value"))
+            .write.option("lineSep", CRLF * 2)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", records)
+            .text(f"{path}/size-{k}")
+        )
+
+
+def parse_archive(data: bytes, chunk: int = 1 << 20, skip: int = 0) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """Headers, block and byte offset of each record of one gzip-compressed archive, in
+    order, from the offset ``skip`` on (which has to be a record's).
 
     Inflates piecewise: at most one record and one chunk are in memory besides
     the compressed bytes.
@@ -146,6 +165,11 @@ def parse_archive(data: bytes, chunk: int = 1 << 20) -> Iterator[tuple[dict[str,
                     break
         return len(held) >= need
 
+    place = 0
+    while place < skip and fill(1):
+        passed = min(len(held), skip - place)
+        del held[:passed]
+        place += passed
     while fill(1):
         end, need = held.find(b"\r\n\r\n"), 4096
         while end < 0:
@@ -159,15 +183,21 @@ def parse_archive(data: bytes, chunk: int = 1 << 20) -> Iterator[tuple[dict[str,
         size = int(headers["Content-Length"])
         if not fill(end + 4 + size + 4):
             raise ValueError("a record's block ends early")
-        yield headers, bytes(held[end + 4 : end + 4 + size])
+        yield headers, bytes(held[end + 4 : end + 4 + size]), place
         del held[: end + 4 + size + 4]
+        place += end + 4 + size + 4
+
+
+def record_at(data: bytes, offset: int) -> tuple[dict[str, str], bytes]:
+    """Headers and block of the record at a byte offset of an archive."""
+    return next(parse_archive(data, skip=offset))[:2]
 
 
 def _number(urn: str | None) -> int | None:
     return int(urn[len("<urn:page:") : -1]) if urn else None
 
 
-ENTRY = "page_id long, url string, stamp string, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, place long"
+ENTRY = "page_id long, url string, stamp string, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, place long, offset long"
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -180,8 +210,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for where, data in zip(batch.column("path"), batch.column("content")):
                 rows: list[tuple] = []
-                archive = where.as_py().rpartition("/")[2]
-                for place, (headers, block) in enumerate(parse_archive(data.as_buffer())):
+                archive = "/".join(where.as_py().split("/")[-2:])
+                for place, (headers, block, offset) in enumerate(parse_archive(data.as_buffer())):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     kind = headers["WARC-Type"]
                     if kind == "response":
@@ -189,11 +219,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     else:
                         digest = headers["WARC-Payload-Digest"].partition(":")[2]
                         size = int(head.rpartition(b"Content-Length: ")[2])
-                    rows.append((_number(headers.get("WARC-Record-ID")), headers.get("WARC-Target-URI"), headers["WARC-Date"], kind, _number(headers.get("WARC-Refers-To")), digest, size, archive, place))
+                    rows.append((_number(headers.get("WARC-Record-ID")), headers.get("WARC-Target-URI"), headers["WARC-Date"], kind, _number(headers.get("WARC-Refers-To")), digest, size, archive, place, offset))
                 columns = zip(*rows) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, ENTRY)
 
 
@@ -245,36 +275,55 @@ class LoserTree:
             self.tree[0] = now
 
 
-def merge_runs(index: DataFrame) -> DataFrame:
+def merge_runs(index: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFrame:
     """Globally ordered capture histories from locally sorted runs.
 
     ``index`` as from ``read_index``; adds ``key``. Output partitions are
     consecutive ranges of (key, stamp, page_id), each sorted.
     """
     keyed = index.withColumn("key", url_key(F.col("url")))
-    names = keyed.columns
-    at = {n: k for k, n in enumerate(names)}
+    at = {n: k for k, n in enumerate(keyed.columns)}
 
     def order(row: tuple) -> tuple:
         page = row[at["page_id"]]
-        return (row[at["key"]], row[at["stamp"]], page is not None, page or 0, row[at["archive"]], row[at["place"]])
+        return (row[at["key"]], row[at["stamp"]], page is not None, page or 0)
+
+    def entries(slices: list[pa.RecordBatch]) -> Iterator[tuple]:
+        last = None
+        for batch in slices:
+            for start in range(0, batch.num_rows, READ_AHEAD):
+                for row in zip(*(c.to_pylist() for c in batch.slice(start, READ_AHEAD).columns)):
+                    if last is not None and order(row) < last:
+                        raise ValueError(f"the run of {row[at['archive']]} is not sorted")
+                    last = order(row)
+                    yield row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        schema = None
+        runs: list[list[pa.RecordBatch]] = []
+        last = schema = None
         for batch in batches:
-            schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(row[at["archive"]], []).append(row)
-        for rows in runs.values():
-            if any(order(a) > order(b) for a, b in zip(rows, rows[1:])):
-                rows.sort(key=order)  # the shuffle may interleave a run's blocks
-        merged = LoserTree((runs[name] for name in sorted(runs)), order)
-        for rows in _batched(merged, 5000):
+            names = batch.column(0).to_pylist()
+            own = batch.select(list(at))
+            schema = own.schema
+            cuts = [k for k in range(1, len(names)) if names[k] != names[k - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(names)]):
+                if b > a and names[a] != last:
+                    runs.append([])
+                    last = names[a]
+                if b > a:
+                    runs[-1].append(own.slice(a, b - a))
+        for rows in _batched(LoserTree(map(entries, runs), order), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    ranged = keyed.repartitionByRange("key", "stamp", "page_id", "archive")
-    return ranged.mapInArrow(run, keyed.schema)
+    n = index.count()
+    spread = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-n // range_entries), min(spread, -(-n // (range_entries // 10 or 1))))
+    ordered = (
+        keyed.select(F.regexp_extract("archive", r"^(.*)-c[0-9]+[^/]*$", 1).alias("run"), F.regexp_extract("archive", r"-c([0-9]+)[^/]*$", 1).cast("long").alias("file"), *keyed.columns)
+        .repartitionByRange(ranges, "key", "stamp", "page_id", "archive")
+        .sortWithinPartitions("run", "file", "place")
+    )
+    return ordered.mapInArrow(run, keyed.schema)
 
 
 def _batched(items: Iterable, size: int) -> Iterator[Sequence]:

@@ -163,6 +163,28 @@ def test_archives_round_trip(spark):
     assert warc.archive_and_merge(frame.limit(0)).count() == 0
 
 
+def test_archives_of_all_sizes(spark, tmp_path):
+    """Size classes, offsets, several ranges and archives, one URL with a third of all captures."""
+    pages = [(k, "http://hot.org/x" if k % 3 == 0 else f"http://h{k % 11}.org/{k}", "<p>" + chr(65 + k % 26) * (k * 7 % 400)) for k in range(900)]
+    pages += [(2000, "http://l.org/1", "é" * 3000), (2001, "http://l.org/2", "z" * 40_000), (2002, "http://l.org/3", "é" * 3000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    path = str(tmp_path / "warc")
+    warc.write_archives(frame, path, ((2000, 50), (10_000, 2), (None, 1)))
+    index = warc.read_index(spark, path).cache()
+    files = {r.archive for r in index.collect()}
+    assert {f.split("/")[0] for f in files} == {"size-0", "size-1", "size-2"} and len(files) > 18
+    rows = warc.merge_runs(index, 100).collect()
+    order = [(r.key, r.stamp, r.page_id) for r in rows]
+    assert order == sorted(order) and len(order) == len(pages)
+    html = {k: h.encode() for k, _, h in pages}
+    for r in rows[::50] + [r for r in rows if r.page_id >= 2000]:
+        with open(f"{path}/{r.archive}", "rb") as file:
+            headers, block = warc.record_at(file.read(), r.offset)
+        assert headers["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+        assert r.record_type == "revisit" or block.endswith(html[r.page_id])
+        assert r.payload_digest == hashlib.sha256(html[r.page_id]).hexdigest()
+
+
 def test_loser_tree():
     r = np.random.default_rng(3)
     for k in (0, 1, 2, 3, 7, 16):
