@@ -14,14 +14,17 @@ are filled, so the cost is the number of distinct levels plus O(m log m).
 Bands of the registers propose, an exact comparison of the multisets decides.
 
 Groups. Texts are compared by their 128-bit digest, so exact copies are one node
-before any band is looked at. Each bucket (band value) has a hub, its member of
-most bucket mates; the members of all buckets of one hub form a group, which holds
-every pair that shares a bucket. A group is cut into blocks of bounded rows and
-bytes, and each pair of blocks is a task: register agreement of a pair of blocks
-is one matrix operation. First only the nodes with a partner of enough agreement
-are found (signatures only), then these nodes' multisets are compared. A block
-pair emits no pairs but a spanning forest of its verified links, at most one row a
-node; links within one class are not tested again. No cap is set on group sizes.
+before any band is looked at; nodes have a number each. Each bucket (band value) has a
+hub, its member of most bucket mates; the members of all buckets of one hub form a group,
+which holds every pair that shares a bucket. A group is first compared with its hub: what
+is linked to it is of its class, and pairs of such members need no test. Then every other
+member is compared with the whole group. Both times the group is cut into blocks of
+bounded rows and bytes, and each pair of blocks that holds pairs to be tested is a task:
+register agreement of a pair of blocks is one matrix operation. First only the nodes with
+a partner of enough agreement are found (signatures only), then these nodes' multisets
+are compared. A block pair emits no pairs but a spanning forest of its verified links, at
+most one row a node; links within one class are not tested again. So n near copies of a
+text cost n comparisons, not n^2. No cap is set on group sizes.
 
 Classes are the connected components of the links, found by alternating large-star
 and small-star steps with a reliable checkpoint each; nothing is collected.
@@ -41,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -54,6 +57,8 @@ REGISTERS = BANDS * ROWS
 BLOCK_NODES, BLOCK_BYTES = 256, 8 << 20
 #: Standard deviations of register agreement below the threshold that still pass.
 SLACK = 5.0
+#: Parts of a group, by number of the node, when members meet the sizes of large groups.
+SALT = 64
 
 
 def _run_processes(times: np.ndarray, m: int, seed: np.ndarray, row: np.ndarray, stop: np.ndarray, low: int, size: int, limit: np.ndarray | None) -> None:
@@ -228,16 +233,20 @@ def similar_nodes(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
         left, right = _sides(table)
         a, b, _ = agreeing_pairs(_prints(table), table.column("weight").to_numpy(), left, right, similarity)
         if len(a):
-            yield from table.select(["hub", "node"]).take(pa.array(np.unique(np.concatenate([a, b])))).to_batches()
+            yield from table.select(["hub", "id"]).take(pa.array(np.unique(np.concatenate([a, b])))).to_batches()
 
 
-def verified_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each block pair's links of at least ``similarity``."""
+def verified_links(batches: Iterator[pa.RecordBatch], similarity: float, known: bool) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of each block pair's links of at least ``similarity``. ``known``
+    says that the members which are not open are of one class already."""
     for table in sorted_groups(batches, ["hub", "i", "j"]):
         left, right = _sides(table)
         a, b, n = agreeing_pairs(_prints(table), table.column("weight").to_numpy(), left, right, similarity)
         bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         root = list(range(table.num_rows))
+        if known and len(one := np.flatnonzero(~table.column("open").to_numpy())):
+            for k in one.tolist():
+                root[k] = int(one[0])
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -261,15 +270,12 @@ def verified_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iter
                 root[ry] = rx
                 found.append((x, y))
         if found:
-            nodes = table.column("node")
-            yield pa.RecordBatch.from_arrays(
-                [nodes.take(pa.array([f[0] for f in found])).combine_chunks(), nodes.take(pa.array([f[1] for f in found])).combine_chunks()],
-                ["a", "b"],
-            )
+            ids = table.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[[f[0] for f in found]]), pa.array(ids[[f[1] for f in found]])], ["a", "b"])
 
 
 def bags(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node, grams, counts`` of each ``(node, text)``."""
+    """``id, grams, counts`` of each ``(id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,43 +289,55 @@ def bags(texts: DataFrame, shingle: int) -> DataFrame:
                         pa.array([h[x:y].tobytes() for x, y in spans], pa.binary()),
                         pa.array([w[x:y].astype(np.uint32).tobytes() for x, y in spans], pa.binary()),
                     ],
-                    ["node", "grams", "counts"],
+                    ["id", "grams", "counts"],
                 )
 
-    return small_batches(texts).select("node", "text").mapInArrow(run, "node binary, grams binary, counts binary")
+    return small_batches(texts).select("id", "text").mapInArrow(run, "id long, grams binary, counts binary")
 
 
 def block_pairs(members: DataFrame, cost: str) -> DataFrame:
-    """Cuts each hub's members into blocks of bounded rows and ``cost`` bytes and deals
-    every pair of blocks (``i`` <= ``j``) to a task of its own, sorted by pair."""
-    sizes = members.groupBy("hub").agg(F.count("*").alias("n"), F.sum(cost).alias("bytes"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    placed = members.join(sizes.select("hub", blocks.alias("blocks")), "hub").withColumn(
-        "block", F.expr("pmod(xxhash64(node), blocks)").cast("long")
+    """Cuts each hub's members (``hub, id, open, ...``) into blocks of bounded rows and
+    ``cost`` bytes, open members apart from others, and deals every pair of blocks
+    (``i`` <= ``j``) with an open one to a task of its own, sorted by pair.
+
+    Groups of one block each are not looked up; members of larger ones meet their group's
+    figures in ``SALT`` parts, so that no task gets a whole group.
+    """
+
+    def blocks(kind: str) -> Column:
+        return F.greatest(F.ceil(F.col(f"n_{kind}") / BLOCK_NODES), F.ceil(F.col(f"bytes_{kind}") / BLOCK_BYTES)).cast("long")
+
+    sizes = members.groupBy("hub").agg(
+        *[F.sum(F.when(c, 1).otherwise(0)).alias(f"n_{k}") for k, c in (("open", F.col("open")), ("shut", ~F.col("open")))],
+        *[F.sum(F.when(c, F.col(cost)).otherwise(0)).alias(f"bytes_{k}") for k, c in (("open", F.col("open")), ("shut", ~F.col("open")))],
     )
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    counts = sizes.select("hub", blocks("open").alias("n_i"), blocks("shut").alias("n_j"))
+    several = counts.where("n_i != 1 OR n_j > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    one = F.lit(1).cast("long")
+    placed = members.withColumn("salt", F.expr(f"pmod(xxhash64(id), {SALT})")).join(several, ["hub", "salt"], "left")
+    placed = placed.withColumns({"n_i": F.coalesce("n_i", one), "n_j": F.coalesce("n_j", one)}).where("n_i > 0")
+    spread = F.expr("CASE WHEN open THEN pmod(xxhash64(id, 1), n_i) ELSE n_i + pmod(xxhash64(id, 1), greatest(n_j, 1)) END")
+    placed = placed.withColumn("block", spread.cast("long"))
+    last = F.expr("CASE WHEN open THEN n_i + n_j - 1 ELSE n_i - 1 END")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return dealt.drop("blocks", "other").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return dealt.drop("n_i", "n_j", "other", "salt").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
 
 def hub_members(nodes: DataFrame) -> DataFrame:
-    """``hub, node``: all nodes of the buckets of one hub. ``nodes`` has ``node, bands``."""
-    placed = nodes.select("node", F.explode("bands").alias("band"))
+    """``hub, id``: all nodes of the buckets of one hub. ``nodes`` has ``id, bands``."""
+    placed = nodes.select("id", F.explode("bands").alias("band"))
     full = placed.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
     mates = written(placed.join(full, "band"), "bucket-mates")
-    degree = mates.groupBy("node").agg(F.sum("mates").alias("degree"))
-    hubs = (
-        mates.select("band", "node")
-        .join(degree, "node")
-        .groupBy("band")
-        .agg(F.max(F.struct("degree", "node")).alias("best"))
-        .select("band", F.col("best.node").alias("hub"))
-    )
-    return mates.select("band", "node").join(hubs, "band").select("hub", "node").distinct()
+    degree = mates.groupBy("id").agg(F.sum("mates").alias("degree"))
+    by_degree = mates.select("band", "id").join(degree, "id")
+    most = by_degree.groupBy("band").agg(F.max("degree").alias("degree"))
+    hubs = by_degree.join(most, ["band", "degree"]).groupBy("band").agg(F.max("id").alias("hub"))
+    return mates.select("band", "id").join(hubs, "band").select("hub", "id").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` of every node of ``links`` (a, b), by alternating star steps."""
+    """``id, root`` of every node of ``links`` (a, b), by alternating star steps."""
 
     def both(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -339,31 +357,38 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpointed(small.where("a != b").distinct())
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         seen = now
 
 
+def open_links(members: DataFrame, nodes: DataFrame, documents: DataFrame, similarity: float, shingle: int, known: bool) -> DataFrame:
+    """Links (``a, b``) of every open member of ``members`` (``hub, id, open``) with the
+    members of its group."""
+    signed = members.join(nodes.select("id", "weight", "registers"), "id").withColumn("cost", F.lit(2 * REGISTERS))
+    pairs = block_pairs(signed, "cost").select("hub", "i", "j", "block", "id", "weight", "registers")
+    likely = written(pairs.mapInArrow(lambda x: similar_nodes(x, similarity), "hub long, id long").distinct(), "likely-nodes")
+    wanted = sized(likely.select("id").distinct().join(nodes.select("id", "node"), "id"))
+    texts = documents.select(F.unhex(F.md5("text")).alias("node"), "text").join(wanted, "node").dropDuplicates(["id"])
+    full = members.join(likely, ["hub", "id"]).join(nodes.select("id", "weight", "registers"), "id").join(bags(texts, shingle), "id")
+    full = full.withColumn("cost", F.octet_length("grams") + F.octet_length("counts"))
+    pairs = block_pairs(full, "cost").select("hub", "i", "j", "block", "id", "open", "weight", "registers", "grams", "counts")
+    return written(pairs.mapInArrow(lambda x: verified_links(x, similarity, known), "a long, b long"), "links")
+
+
 def _classes(documents: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``doc_id, node, root, class_id`` for every row; null node without words."""
     signed = written(signatures(documents, shingle), "bag-signatures")
     worded = signed.where("node IS NOT NULL")
     first = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    nodes = worded.dropDuplicates(["node"]).select("node", "weight", "registers", "bands")
-    nodes = written(nodes, "bag-nodes")
-    members = hub_members(nodes).join(nodes.select("node", "weight", "registers"), "node")
-    pairs = block_pairs(members.withColumn("cost", F.lit(2 * REGISTERS)), "cost")
-    kind = "hub binary, node binary"
-    likely = written(pairs.select("hub", "i", "j", "block", "node", "weight", "registers").mapInArrow(lambda x: similar_nodes(x, similarity), kind).distinct(), "likely-nodes")
-
-    wanted = sized(likely.select("node").distinct())
-    texts = documents.select(F.unhex(F.md5("text")).alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    likely = likely.join(nodes.select("node", "weight", "registers"), "node").join(bags(texts, shingle), "node")
-    pairs = block_pairs(likely.withColumn("cost", F.octet_length("grams") + F.octet_length("counts")), "cost")
-    links = pairs.select("hub", "i", "j", "block", "node", "weight", "registers", "grams", "counts").mapInArrow(
-        lambda x: verified_links(x, similarity), "a binary, b binary"
-    )
+    distinct = worded.dropDuplicates(["node"]).select(F.monotonically_increasing_id().alias("id"), "node", "weight", "registers", "bands")
+    nodes = written(distinct, "bag-nodes")  # written, so the numbers stay
+    members = written(hub_members(nodes), "hub-members")
+    stars = open_links(members.withColumn("open", F.expr("id = hub")), nodes, documents, similarity, shingle, known=False)
+    joined = stars.select(F.explode(F.array(F.struct(F.col("a").alias("hub"), F.col("b").alias("id")), F.struct(F.col("b").alias("hub"), F.col("a").alias("id")))).alias("x")).select("x.*").distinct()
+    rest = members.join(joined.withColumn("met", F.lit(True)), ["hub", "id"], "left").select("hub", "id", F.expr("met IS NULL AND id != hub").alias("open"))
+    links = stars.unionByName(open_links(rest, nodes, documents, similarity, shingle, known=True))
     roots = components(links)
-    linked = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = nodes.select("id", "node").join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("root")).join(first, "node")
     least = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = linked.join(least, "root").select("node", "root", "class_id")
     return (

@@ -79,15 +79,57 @@ def test_blocks_lose_no_links(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in b.near_duplicate_classes(frame).collect()} == dict(enumerate(brute_classes(texts)))
 
 
+def test_star_then_rest(spark, monkeypatch):
+    """Near copies of one text, and chains that leave it step by step, in many small blocks."""
+    monkeypatch.setattr(b, "BLOCK_NODES", 5)
+    draw = random.Random(8)
+    base = prose(1, 90).split()
+    texts = []
+    for k in range(60):
+        words = list(base)
+        words[draw.randrange(90)] = f"one{k}"
+        texts.append(" ".join(words))
+    for chain in range(4):
+        words = list(base)
+        for k in range(12):
+            words[(chain * 20 + 7 * k) % 90] = f"c{chain}x{k}"
+            texts.append(" ".join(words))
+    draw.shuffle(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in b.near_duplicate_classes(frame).collect()} == dict(enumerate(brute_classes(texts)))
+
+
+def test_recall_at_the_threshold():
+    """Pairs just above the similarity share a band and pass the agreement test."""
+    draw = np.random.default_rng(12)
+    n, size, lost, agree = 1500, 180, 0, 0
+    for start in range(0, n, 250):
+        hashes, rows = [], []
+        for k in range(250):
+            common, own = draw.integers(1, 2**63, size).astype(np.uint64), draw.integers(1, 2**63, (2, size // 8)).astype(np.uint64)
+            for side in (0, 1):  # size / (size + 2 * size / 8) = 0.8
+                grams = np.sort(np.concatenate([common, own[side][: size // 8]]))
+                hashes.append(grams)
+                rows.append(np.full(len(grams), 2 * k + side))
+        h, r = np.concatenate(hashes), np.concatenate(rows)
+        registers = b.bag_signatures(h, r, np.ones(len(h), np.int64), 500)
+        bands = b.band_values(registers, b.BANDS, b.ROWS)
+        lost += int((bands[::2] != bands[1::2]).all(axis=1).sum())
+        same = (registers[::2] == registers[1::2]).sum(axis=1)
+        m = b.REGISTERS
+        agree += int((same < m * 0.8 - b.SLACK * np.sqrt(m * 0.8 * 0.2)).sum())
+    assert lost <= 1 and agree == 0
+
+
 def test_components(spark):
     draw = random.Random(6)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)]
-    frame = spark.createDataFrame([(bytes([a]), bytes([c])) for a, c in edges], "a binary, b binary")
+    frame = spark.createDataFrame(edges, "a long, b long")
     root = {v: v for e in edges for v in e}
     for _ in root:
         for a, c in edges:
             root[a] = root[c] = min(root[a], root[c])
-    got = {r.node[0]: r.root[0] for r in b.components(frame).collect()}
+    got = {r.id: r.root for r in b.components(frame).collect()}
     assert got == {v: r for v, r in root.items() if v != r}
 
 
