@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,21 @@ BATCH_ROWS = 500
 BROADCAST_ROWS = 1_000_000
 
 
+#: Folders written inside the open ``temporary`` blocks, innermost last.
+_open: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` when the session
-    names one. Only where it is unset (single-machine tests) a temporary folder
-    is made and registered with the context."""
+    names one, else the context's. Only on a local master (single-machine tests) a
+    temporary folder is made where there is none; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named is None:
         named = context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoints-")
         context.setCheckpointDir(named)
     elif context.getCheckpointDir() is None:
@@ -33,20 +40,41 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what ``written`` wrote inside, so frames read from there must
+    have been consumed or written elsewhere (``keep``) by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """A reliable checkpoint of a small frame (loop state)."""
     shared_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
-    """Write a frame as Parquet in the shared folder and read it back.
+def written(frame: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write a frame as Parquet in the shared folder and read it back. Inside ``temporary``
+    it is deleted at the block's end unless kept.
 
     Columnar and compressed, so it suits large intermediate tables better than
     a checkpoint does.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _open and not keep:
+        _open[-1].append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

@@ -5,7 +5,9 @@ character follows. Byte-level pre-tokenisation attaches such a space to what
 follows it, so no token crosses the boundary and the pieces' counts add up. This
 also cuts long texts: no call encodes more than one piece at a time, and the
 pieces a worker has met before come from a bounded memo. Pieces not met before
-are encoded in batches balanced by bytes.
+are encoded in batches balanced by bytes. A long piece (text without spaces) is cut
+further where the vocabulary's own pre-tokeniser cuts it, unless it holds an added
+token; only a run that the pre-tokeniser keeps whole is encoded whole.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); null ids are
 kept; repeated rows are counted once each; an empty table gives no rows; extra
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +30,7 @@ from .shared import small_batches
 BATCH_BYTES = 1 << 20
 MEMO_PIECES = 600_000
 MEMO_BYTES = 64
+LONG_PIECE = 8192
 
 #: Memo keys are pieces without the space they start with. The first piece of a
 #: text has none; a lone surrogate, which no text can hold, marks it.
@@ -55,11 +59,25 @@ class PieceCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.batch_bytes = batch_bytes
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, int] = {}
 
+    def long_piece(self, text: str) -> int:
+        """Tokens of a long piece, by the pre-tokeniser's cuts."""
+        cuts = self.tokenizer.pre_tokenizer.pre_tokenize_str(text) if self.tokenizer.normalizer is None and not any(t in text for t in self.added) else []
+        if len(cuts) < 2:
+            return len(self.tokenizer.encode(text, add_special_tokens=False))
+        parts = Counter(text[a:b] for _, (a, b) in cuts)
+        return sum(n * len(self.tokenizer.encode(part, add_special_tokens=False)) for part, n in parts.items())
+
     def learn(self, keys: list[str]) -> None:
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
+        text = lambda key: key[1:] if key.startswith(FIRST) else " " + key
+        for key in keys:
+            if len(key) > LONG_PIECE:
+                self.memo[key] = self.long_piece(text(key))
+        keys = [k for k in keys if len(k) <= LONG_PIECE]
         at = 0
         while at < len(keys):
             size, end = 0, at
@@ -67,8 +85,7 @@ class PieceCounter:
                 size += len(keys[end])
                 end += 1
             own = keys[at:end]
-            texts = [k[1:] if k.startswith(FIRST) else " " + k for k in own]
-            for key, coded in zip(own, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            for key, coded in zip(own, self.tokenizer.encode_batch_fast([text(k) for k in own], add_special_tokens=False)):
                 self.memo[key] = len(coded)
             at = end
 

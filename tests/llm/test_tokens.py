@@ -25,6 +25,17 @@ def test_pieces_add_up(vocabulary):
         assert counter.count([text])[0] == len(tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_long_pieces_are_cut_by_the_pretokeniser(vocabulary):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    counter = tokencount.PieceCounter(vocabulary("byte_bpe_50k.json"))
+    draw = random.Random(2)
+    for letters in ("日本語。、it's", "ab1'!\n\t\u00a0", "x", "a<|endoftext|>9"):
+        text = "".join(draw.choice(letters) if "<" not in letters else draw.choice([letters, "z1", "\n"]) for _ in range(12_000))
+        assert counter.count([text]) == [len(tokenizer.encode(text, add_special_tokens=False).ids)], letters
+
+
 def test_balanced_ranges():
     texts = pa.array(["a" * 10, None, "b" * 25, "c", "d" * 9])
     assert list(tokencount.balanced(texts, 20)) == [(0, 2), (2, 3), (3, 5)]
