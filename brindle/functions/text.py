@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,6 +73,16 @@ def to_ascii(s: Column) -> Column:
     return F.replace(F.translate(s, ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
+def ascii_words(s: Column) -> Column:
+    """Word runs without accents."""
+    return F.transform(word_tokens(s), to_ascii)
+
+
+def ascii_tokens(s: Column) -> Column:
+    """White-space tokens without accents."""
+    return F.transform(space_tokens(s), to_ascii)
+
+
 def word_tokens(s: Column) -> Column:
     """Runs of letters, digits and underscores."""
     return F.regexp_extract_all(s, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -158,28 +167,72 @@ def tail(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.lit(1), F.size(array) - (n - 1)), n)
 
 
+#: Elements summed in one fold; a growing array is copied each time, so long lists go group by group.
+GROUP = 64
+
+
+def exclusive_sums(sizes: Column) -> Column:
+    """``array<long>``: the sum of all elements before each one. Linear: sums inside groups
+    of ``GROUP`` elements, then the groups one after another."""
+    empty = F.array().cast("array<bigint>")
+
+    def grown(acc: Column, size: Column, more: Column) -> Column:
+        return F.struct((acc["at"] + size).alias("at"), more.alias("out"))
+
+    def inside(group: Column) -> Column:
+        return F.aggregate(group, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), lambda acc, x: grown(acc, x.cast("long"), F.array_append(acc["out"], acc["at"])))
+
+    def across(groups: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+        moved = lambda acc, g: F.array_append(acc["out"], F.transform(g["out"], lambda x: x + acc["at"]))
+        return F.flatten(F.aggregate(groups, start, lambda acc, g: grown(acc, g["at"], moved(acc, g)), lambda acc: acc["out"]))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / GROUP).cast("int"))
+    return F.when(F.size(sizes) == 0, empty).otherwise(across(F.transform(numbers, lambda g: inside(F.slice(sizes, g * GROUP + 1, F.lit(GROUP))))))
+
+
+def named(value: Column, body) -> Column:
+    """Evaluates ``value`` once for all its uses in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
+def flattened(lists: Column) -> tuple[Column, Column]:
+    """All elements of a list of lists, and where each list begins."""
+    return F.flatten(lists), exclusive_sums(F.transform(lists, F.size))
+
+
 def pad_right(array: Column, n: int, filler: Column) -> Column:
     cut = F.slice(array, 1, n)
     return F.concat(cut, F.array_repeat(filler, n - F.size(cut)))
 
 
+def pad_left(array: Column, n: int, filler: Column) -> Column:
+    cut = tail(array, n)
+    return F.concat(F.array_repeat(filler, n - F.size(cut)), cut)
+
+
+def pad_mask_left(array: Column, n: int) -> Column:
+    kept = F.least(F.size(array), F.lit(n))
+    return F.concat(F.array_repeat(F.lit(0.0), n - kept), F.array_repeat(F.lit(1.0), kept))
+
+
 def pad_mask(array: Column, n: int) -> Column:
     """1.0 for every element kept, 0.0 for padding."""
     kept = F.least(F.size(array), F.lit(n))
     return F.concat(F.array_repeat(F.lit(1.0), kept), F.array_repeat(F.lit(0.0), n - kept))
 
 
-@F.pandas_udf(T.StringType())
-def unescape_unicode(s: pd.Series) -> pd.Series:
-    r"""``\uXXXX`` escapes decoded (surrogate pairs joined). A pandas UDF: no built-in does it."""
+def unescape_unicode(s: Column) -> Column:
+    r"""``\uXXXX`` escapes decoded, surrogate pairs joined: a run of escapes is UTF-16."""
+    run = r"(?:\\u[0-9a-fA-F]{4})+"
 
-    def one(text: str | None) -> str | None:
-        if text is None or "\\u" not in text:
-            return text
-        out = re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
-        return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    def decoded(found: Column) -> Column:
+        return F.decode(F.unhex(F.replace(found, F.lit("\\u"), F.lit(""))), F.lit("UTF-16BE"))
 
-    return s.map(one)
+    hits = F.transform(F.regexp_extract_all(s, F.lit(run), F.lit(0)), decoded)
+    parts = F.split(s, run, -1)
+    whole = F.array_join(F.flatten(F.zip_with(parts, hits, lambda p, h: F.array(p, F.coalesce(h, F.lit(""))))), "")
+    return F.when(F.instr(s, "\\u") > 0, whole).otherwise(s)
 
 
 @F.pandas_udf(T.StringType())

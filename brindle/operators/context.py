@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -13,15 +13,20 @@ def sentence_contexts(sents: DataFrame, words: int = 100) -> DataFrame:
     """``doc_id, sent_idx, before, after``: the last and first ``words`` words of the other
     sentences around each sentence.
 
-    Sentences without words drop out first, so ``words`` neighbours on a side always
-    suffice; frames stay bounded however long a document is.
+    A document's words are one array; a sentence takes two bounded slices of it, by the
+    number of words before it. Sentences without words drop out.
     """
-    rows = sents.select("doc_id", "sent_idx", X.space_tokens(F.col("sentence")).alias("w"))
-    worded = rows.where(F.size("w") > 0).select("doc_id", "sent_idx", F.slice("w", 1, words).alias("head"), X.tail(F.col("w"), words).alias("end"))
-    order = Window.partitionBy("doc_id").orderBy("sent_idx")
-    before = F.flatten(F.collect_list("end").over(order.rowsBetween(-words, -1)))
-    after = F.flatten(F.collect_list("head").over(order.rowsBetween(1, words)))
-    return worded.select("doc_id", "sent_idx", X.tail(before, words).alias("before"), F.slice(after, 1, words).alias("after"))
+    rows = sents.select("doc_id", "sent_idx", X.space_tokens(F.col("sentence")).alias("w")).where(F.size("w") > 0)
+    docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "w"))).alias("s"))
+    every, starts = X.flattened(F.transform("s", lambda x: x["w"]))
+    docs = docs.select("doc_id", "s", every.alias("every"), starts.alias("starts"))
+
+    def around(x: Column, at: Column) -> Column:
+        first = F.greatest(at.cast("int") - words, F.lit(0))
+        before = F.slice("every", first + 1, at.cast("int") - first)
+        return F.struct(x["sent_idx"].alias("sent_idx"), before.alias("before"), F.slice("every", at.cast("int") + F.size(x["w"]) + 1, F.lit(words)).alias("after"))
+
+    return docs.select("doc_id", F.explode(F.zip_with("s", "starts", around)).alias("x")).select("doc_id", "x.*")
 
 
 def mention_contexts(mentions: DataFrame, sents: DataFrame, words: int = 100) -> DataFrame:

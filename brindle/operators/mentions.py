@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,28 +19,30 @@ from ..functions import text as X
 SENTENCE_END = r"\n+|(?<=[.?!])(?<!\b[A-Z][a-z]?\.)\s+(?=[\p{Lu}\"'(0-9])"
 
 
+def _cut(text: Column, boundary: str) -> Column:
+    """``array<struct<sentence, pos_start>>`` of a text's sentences that are not blank."""
+    parts, gaps = F.split(text, boundary, -1), F.regexp_extract_all(text, F.lit(boundary), F.lit(0))
+    sizes = F.zip_with(parts, gaps, lambda s, g: F.length(s) + F.coalesce(F.length(g), F.lit(0)))
+
+    def placed(cut: Column) -> Column:
+        return F.zip_with(cut, X.exclusive_sums(sizes), lambda s, at: F.struct(s.alias("sentence"), at.cast("int").alias("pos_start")))
+
+    return X.named(parts, lambda cut: F.filter(placed(cut), lambda x: F.trim(x["sentence"]) != ""))
+
+
 def sentences(docs: DataFrame, boundary: str = SENTENCE_END, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, sent_idx, sentence, pos_start, pos_end`` (code points of the document).
 
-    Offsets come from the lengths of sentences and boundaries between them, so no
-    search is needed. Blank sentences are dropped before numbering.
+    Offsets are sums of the lengths of sentences and boundaries, taken inside the row: no
+    search and no shuffle. Blank sentences are dropped before numbering.
     """
-    text = F.coalesce("text", F.lit(""))
-    cut = F.split(text, boundary, -1)
-    gaps = F.regexp_extract_all(text, F.lit(boundary), F.lit(0))
-    rows = docs.select("doc_id", *carry, F.posexplode(F.arrays_zip(cut.alias("s"), gaps.alias("g"))).alias("part", "x"))
-    order = Window.partitionBy("doc_id").orderBy("part")
-    length = F.length("x.s") + F.coalesce(F.length("x.g"), F.lit(0))
-    placed = rows.withColumn("pos_start", (F.sum(length).over(order) - length).cast("int"))
-    kept = placed.where("trim(x.s) <> ''")
-    return kept.select(
-        "doc_id",
-        *carry,
-        (F.row_number().over(order) - 1).alias("sent_idx"),
-        F.col("x.s").alias("sentence"),
-        "pos_start",
-        (F.col("pos_start") + F.length("x.s")).alias("pos_end"),
-    )
+    rows = docs.select("doc_id", *carry, F.posexplode(_cut(F.coalesce("text", F.lit("")), boundary)).alias("sent_idx", "x"))
+    return rows.select("doc_id", *carry, "sent_idx", "x.sentence", "x.pos_start", (F.col("x.pos_start") + F.length("x.sentence")).alias("pos_end"))
+
+
+def place_number(document: str, *order: str) -> Column:
+    """0, 1, 2, ... of the mentions of a document."""
+    return F.row_number().over(Window.partitionBy(document).orderBy(*order)) - 1
 
 
 def spans_in_sentences(spans: DataFrame, sents: DataFrame) -> DataFrame:
@@ -49,15 +54,63 @@ def spans_in_sentences(spans: DataFrame, sents: DataFrame) -> DataFrame:
 PUNCTUATION = re.compile(r"[\W_]+")
 
 
-def ngrams(sents: DataFrame, n: int = 5) -> DataFrame:
-    """``doc_id, sent_idx, size, start, ngram``: white-space n-grams with offsets in their
-    sentence, each once; none holds a punctuation-only token.
+#: Bits of the filter over the spellings of an index: a fixed size, whatever the index has.
+FILTER_BITS = 26
+
+
+def _bit(text: str) -> int:
+    return zlib.crc32(text.lower().encode()) & ((1 << FILTER_BITS) - 1)
+
+
+class SpellingFilter:
+    """Which n-grams may be found in an index: a bitmap over its lower-cased spellings and
+    the most words one has. It passes some others, and loses none."""
+
+    def __init__(self, bits: bytes, words: int):
+        self.bits, self.words = bits, words
+
+    @classmethod
+    def of(cls, index: DataFrame) -> SpellingFilter:
+        """Every task sends its packed bitmap (8 MiB), one after another."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = np.zeros(1 << FILTER_BITS, bool)
+            words = 0
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    if text:
+                        flags[_bit(text)] = True
+                        words = max(words, len(text.split()))
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), pa.array([words])], ["bits", "words"])
+
+        total, words = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 0
+        for row in index.select("mention").coalesce(16).mapInArrow(run, "bits binary, words long").toLocalIterator():
+            total |= np.frombuffer(row.bits, np.uint8)
+            words = max(words, row.words)
+        return cls(total.tobytes(), words)
+
+    def may_hold(self, text: str) -> bool:
+        k = _bit(text)
+        return bool(self.bits[k >> 3] >> (k & 7) & 1)
+
+
+STRIPPED = str.maketrans("", "", X.NOISE)
+
+
+def ngrams(sents: DataFrame, n: int = 5, known: SpellingFilter | None = None) -> DataFrame:
+    """``doc_id, sent_idx, [carried,] size, start, ngram``: white-space n-grams with offsets in
+    their sentence, each once; none holds a punctuation-only token. With a filter only those
+    that an index may know, spelled as they are or without noise; columns of ``sents``
+    other than the sentence are carried.
 
     An Arrow function: array expressions that grow a token list copy it for each token,
     which is quadratic on long lines.
     """
+    carried = [c for c in sents.columns if c != "sentence"]
+    shared = None if known is None else sents.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = None if shared is None else shared.value
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -65,7 +118,7 @@ def ngrams(sents: DataFrame, n: int = 5) -> DataFrame:
                 sizes: list[int] = []
                 starts: list[int] = []
                 texts: list[str] = []
-                for k, sentence in enumerate(part.column(2).to_pylist()):
+                for k, sentence in enumerate(part.column("sentence").to_pylist()):
                     tokens = [(m.start(), m[0]) for m in re.finditer(r"\S+", sentence or "")]
                     clean = [PUNCTUATION.fullmatch(t) is None for _, t in tokens]
                     for at in range(len(tokens)):
@@ -74,20 +127,21 @@ def ngrams(sents: DataFrame, n: int = 5) -> DataFrame:
                             if at + size > len(tokens) or not clean[at + size - 1]:
                                 break
                             text = f"{text} {tokens[at + size - 1][1]}" if text else tokens[at][1]
+                            if passes is not None and not (passes.may_hold(text) or passes.may_hold(text.translate(STRIPPED).strip(" "))):
+                                continue
                             row.append(k)
                             sizes.append(size)
                             starts.append(tokens[at][0])
                             texts.append(text)
                 index = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(index), part.column(1).take(index), pa.array(sizes, pa.int32()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())],
-                    ["doc_id", "sent_idx", "size", "start", "ngram"],
+                    [*(part.column(c).take(index) for c in carried), pa.array(sizes, pa.int32()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())],
+                    [*carried, "size", "start", "ngram"],
                 )
 
     kind = dict(sents.dtypes)
-    return sents.select("doc_id", "sent_idx", "sentence").mapInArrow(
-        run, f"doc_id {kind['doc_id']}, sent_idx {kind['sent_idx']}, size int, start int, ngram string"
-    )
+    schema = ", ".join([*(f"{c} {kind[c]}" for c in carried), "size int", "start int", "ngram string"])
+    return sents.select(*carried, "sentence").mapInArrow(run, schema)
 
 
 def spelling_lookup(surfaces: DataFrame, index: DataFrame) -> DataFrame:
@@ -129,51 +183,52 @@ def spelling_lookup(surfaces: DataFrame, index: DataFrame) -> DataFrame:
 def longest_mentions(known: DataFrame) -> DataFrame:
     """Known n-grams of a sentence, longest first, without those nested in an accepted one.
 
-    ``known`` has ``doc_id, sent_idx, size, start, ngram``. A shorter n-gram
-    is dropped if it is part of an accepted text and their ranges meet; partly overlapping
-    ones both stay. The order matters, so it is a fold over a sentence's sorted n-grams;
-    accepted ones are kept by the stretches of text they touch, so it is linear.
+    ``known`` has ``doc_id, sent_idx, size, start, ngram`` and columns to carry. A shorter
+    n-gram is dropped if it is part of an accepted text and their ranges meet; partly
+    overlapping ones both stay. The order matters, so it is a fold over a sentence's sorted
+    n-grams; accepted ones are kept by the stretches of text they touch, so it is linear.
     """
-    cells = F.struct((-F.col("size")).alias("rank"), "start", "ngram")
-    grouped = known.groupBy("doc_id", "sent_idx").agg(F.sort_array(F.collect_list(cells)).alias("all"))
-    kind = dict(known.dtypes)
-    schema = f"doc_id {kind['doc_id']}, sent_idx {kind['sent_idx']}, size {kind['size']}, start {kind['start']}, ngram string"
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, sent, cells in zip(*(c.to_pylist() for c in batch.columns)):
-                touched: dict[int, list[tuple[int, int, str]]] = {}
-                for cell in cells:
-                    text, start = cell["ngram"], cell["start"]
-                    end = start + len(text)
-                    stretches = range(start // 64, (end - 1) // 64 + 1)
-                    if any(text in t and start < e and s < end for k in stretches for s, e, t in touched.get(k, ())):
-                        continue
-                    for k in stretches:
-                        touched.setdefault(k, []).append((start, end, text))
-                    out.append((doc, sent, -cell["rank"], start, text))
-            columns = zip(*out) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, [*(f.type for f in list(batch.schema)[:2]), pa.int32(), pa.int32(), pa.string()])],
-                ["doc_id", "sent_idx", "size", "start", "ngram"],
-            )
-
-    return grouped.mapInArrow(fold, schema)
+    more = [c for c in known.columns if c not in ("doc_id", "sent_idx", "size", "start", "ngram")]
+    cells = F.struct((-F.col("size")).alias("rank"), "start", "ngram", *more)
+    grouped = known.groupBy("doc_id", "sent_idx").agg(F.sort_array(F.collect_list(cells)).alias("cells"))
+    places = F.transform("cells", lambda c: F.struct(c["start"].alias("start"), c["ngram"].alias("ngram")))
+
+    @F.pandas_udf("array<int>")
+    def accepted(lists: pd.Series) -> pd.Series:
+        out = []
+        for cells in lists:
+            touched: dict[int, list[tuple[int, int, str]]] = {}
+            kept = []
+            for k, cell in enumerate(cells):
+                text, start = cell["ngram"], cell["start"]
+                end = start + len(text)
+                stretches = range(start // 64, (end - 1) // 64 + 1)
+                if any(text in t and start < e and s < end for j in stretches for s, e, t in touched.get(j, ())):
+                    continue
+                for j in stretches:
+                    touched.setdefault(j, []).append((start, end, text))
+                kept.append(k)
+            out.append(kept)
+        return pd.Series(out)
+
+    chosen = grouped.select("doc_id", "sent_idx", "cells", F.explode(accepted(places)).alias("k"))
+    rows = chosen.select("doc_id", "sent_idx", F.col("cells")[F.col("k")].alias("x"))
+    return rows.select("doc_id", "sent_idx", (-F.col("x.rank")).alias("size"), *[f"x.{c}" for c in ("start", "ngram", *more)])
 
 
 def ngram_mentions(docs: DataFrame, index: DataFrame, n: int = 5) -> DataFrame:
-    """``doc_id, sent_idx, pos, surface, mention, freq, tag`` found by the n-gram tagger."""
-    sents = sentences(docs)
-    grams = ngrams(sents, n)
-    # Whatever the decision list finds equals the n-gram, or the n-gram without noise, but for case.
-    keys = F.array_distinct(F.array(F.lower("ngram"), F.lower(X.strip_noise(F.col("ngram")))))
-    asked = grams.select(F.col("ngram").alias("surface"), F.explode(keys).alias("lower"))
-    asked = asked.join(index.select("lower").distinct(), "lower", "left_semi")
-    spelled = spelling_lookup(asked.select("surface"), index).where("freq > 0")
-    known = grams.join(spelled.select(F.col("surface").alias("ngram")), "ngram", "left_semi")
-    found = longest_mentions(known).join(spelled.withColumnRenamed("surface", "ngram"), "ngram")
-    return found.join(sents.select("doc_id", "sent_idx", "pos_start"), ["doc_id", "sent_idx"]).select(
+    """``doc_id, sent_idx, pos, surface, mention, freq, tag`` found by the n-gram tagger.
+
+    Whatever the decision list finds equals the n-gram, or the n-gram without noise, but for
+    case; so a filter over the index's spellings stops all others where they arise. Positions
+    and what was found travel with the n-grams.
+    """
+    sents = sentences(docs).select("doc_id", "sent_idx", "pos_start", "sentence")
+    known = SpellingFilter.of(index)
+    grams = ngrams(sents, min(n, max(known.words, 1)), known)
+    spelled = spelling_lookup(grams.select(F.col("ngram").alias("surface")), index).where("freq > 0")
+    met = grams.join(spelled.select(F.col("surface").alias("ngram"), "mention", "freq"), "ngram")
+    return longest_mentions(met).select(
         "doc_id",
         "sent_idx",
         (F.col("pos_start") + F.col("start")).alias("pos"),

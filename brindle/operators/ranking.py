@@ -1,9 +1,7 @@
-"""Embedding look-ups, preranking, joint scoring, decisions and calibration."""
+"""Embedding look-ups, preranking, decisions and calibration."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -75,103 +73,15 @@ def thresholded_f1(rows: DataFrame, threshold: float = 0.3) -> DataFrame:
     return out.withColumn("f1", F.try_divide(2.0 * F.col("tp"), F.col("found") + F.col("gold")))
 
 
-# The joint model ------------------------------------------------------------------
-
-
-def initial_parameters(dim: int, relations: int = 3, hidden: int = 100, seed: int = 1) -> dict[str, np.ndarray]:
-    """Seeded parameters: unit diagonals, near-zero relations but a first one near one."""
-    r = np.random.default_rng(seed)
-    rel = 0.01 * r.standard_normal((relations, dim))
-    rel[0] += 1.0
-    return {
-        "attention": np.ones(dim),
-        "local": np.ones(dim),
-        "context": 0.1 * r.standard_normal((3 * dim, dim)),
-        "context_bias": np.zeros(dim),
-        "relation": rel,
-        "entity_relation": rel.copy(),
-        "hidden": r.standard_normal((2, hidden)) / 2,
-        "hidden_bias": np.zeros(hidden),
-        "output": r.standard_normal(hidden) / hidden,
-        "output_bias": np.zeros(1),
-    }
-
-
-def _softmax(x: np.ndarray, axis: int) -> np.ndarray:
-    e = np.exp(x - x.max(axis=axis, keepdims=True))
-    return e / e.sum(axis=axis, keepdims=True)
-
-
-def local_scores(tokens: np.ndarray, entities: np.ndarray, mask: np.ndarray, p: dict[str, np.ndarray], keep: int = 25) -> np.ndarray:
-    """Attention score of each candidate of one mention against its context tokens."""
-    weights = ((entities * p["attention"]) @ tokens.T).max(axis=0)
-    best = np.sort(np.argpartition(-weights, min(keep, len(weights)) - 1)[:keep])
-    context = _softmax(weights[best], 0) @ tokens[best]
-    return np.where(mask > 0, entities @ (p["local"] * context), -1e10)
-
-
-def relation_weights(mentions: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    """Relations x mentions x mentions: softmax over neighbours, symmetrised."""
-    n, dim = mentions.shape
-    raw = np.einsum("id,rd,jd->rij", mentions, p["relation"], mentions) / np.sqrt(dim)
-    raw[:, np.arange(n), np.arange(n)] = -1e10
-    soft = _softmax(raw, 2)
-    return soft + soft.transpose(0, 2, 1)
-
-
-def belief_propagation(local: np.ndarray, pair: np.ndarray, rounds: int = 10, damping: float = 0.3) -> np.ndarray:
-    """Max-product messages between all mentions of a chunk. ``pair[i, c, j, d]``."""
-    n, c = local.shape
-    log_messages = np.zeros((n, c, n))
-    others = ~np.eye(n, dtype=bool)
-    for _ in range(rounds):
-        heard = np.where(others[:, None, :], log_messages, 0.0)  # j, d, k without k = j
-        total = heard.sum(axis=2)
-        into = total[None, :, :] - log_messages.transpose(2, 0, 1)  # i, j, d without k = i
-        value = pair + local[None, None, :, :] + into[:, None, :, :]
-        best = value.max(axis=3)
-        fresh = _softmax(best, 1)
-        log_messages = np.log(damping * fresh + (1 - damping) * np.exp(log_messages))
-    heard = np.where(others[:, None, :], log_messages, 0.0).sum(axis=2)
-    return _softmax(local + heard, 1)
-
-
-def score_chunk(tokens: list[np.ndarray], entities: np.ndarray, mask: np.ndarray, prior: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    """Final scores (mentions x candidates) of one chunk: local scores, pairwise coherence
-    through relations, belief propagation, and a small network over belief and prior.
-    A padding mention gives every chunk two mentions at least."""
-    n, c, dim = entities.shape
-    local = np.stack([local_scores(t, e, m, p) for t, e, m in zip(tokens, entities, mask)])
-    context = np.stack([np.tanh(np.concatenate([t.mean(0), e[0], t.mean(0)]) @ p["context"] + p["context_bias"]) for t, e in zip(tokens, entities)])
-    pad_local = np.zeros((1, c))
-    local, context = np.concatenate([local, pad_local]), np.concatenate([context, np.zeros((1, dim))])
-    ents, valid = np.concatenate([entities, np.zeros((1, c, dim))]), np.concatenate([mask, np.ones((1, c))])
-    weights = relation_weights(context, p)
-    coherence = np.zeros((n + 1, c, n + 1, c))
-    for r, vector in enumerate(p["entity_relation"]):
-        coherence += weights[r][:, None, :, None] * np.einsum("icd,jed->icje", ents * vector, ents)
-    coherence /= len(weights)
-    coherence *= valid[None, None, :, :]
-    belief = belief_propagation(local, coherence)[:n]
-    features = np.stack([belief, np.log(prior + 1e-20)], axis=-1)
-    hidden = np.maximum(features @ p["hidden"] + p["hidden_bias"], 0.0)
-    return hidden @ p["output"] + p["output_bias"][0]
-
-
-def joint_scores(rows: DataFrame, parameters: dict[str, np.ndarray]) -> DataFrame:
-    """``doc_id, chunk, mention_ord, scores`` of mentions with equal numbers of candidates.
-
-    ``rows``: ``doc_id, chunk, mention_ord, tokens (array<array<float>>), entities
-    (array<array<float>>), mask, prior``. A group is a chunk, so its tensors are bounded.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(parameters)
-
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("mention_ord")
-        stack = lambda values: np.stack([np.stack([np.asarray(v, float) for v in x]) for x in values])
-        tokens = [np.stack([np.asarray(v, float) for v in x]) for x in table.tokens]
-        scores = score_chunk(tokens, stack(table.entities), np.stack(table["mask"]), np.stack(table.prior), shared.value)
-        return pd.DataFrame({"doc_id": table.doc_id, "chunk": table.chunk, "mention_ord": table.mention_ord, "scores": list(scores)})
-
-    kind = dict(rows.dtypes)
-    return rows.groupBy("doc_id", "chunk").applyInPandas(run, f"doc_id {kind['doc_id']}, chunk long, mention_ord {kind['mention_ord']}, scores array<double>")
+def decode(names: Column, mask: Column, scores: Column) -> Column:
+    """The candidate with the best score (the first of equals); candidate 0 where padding
+    wins, ``NIL`` where that is padding too."""
+    best = F.array_position(scores, F.array_max(scores)).cast("int") - 1
+    return F.when(F.get(mask, best) == 1, F.get(names, best)).when(F.get(mask, F.lit(0)) == 1, F.get(names, F.lit(0))).otherwise(F.lit("NIL"))
+
+
+def log_probabilities(cands: DataFrame, keys: list[str], score: str = "ctx_score") -> DataFrame:
+    """``score`` replaced by its log-softmax over the candidates of each mention."""
+    own = Window.partitionBy(*keys)
+    top = F.max(score).over(own)
+    return cands.withColumn(score, F.col(score) - top - F.log(F.sum(F.exp(F.col(score) - top)).over(own)))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, counts, kb, markup, mentions, pem, ranking, results
+from ..operators import context, counts, features, joint, kb, markup, mentions, pem, ranking, results
 from ..sources import readers
-from . import linking
+from . import disambiguation, linking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,12 +594,67 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ranker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 12").alias("m"), "embedding")
-    own = rows.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v")).where(F.size("v") == 12)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 16").alias("m"), "embedding")
+    own = rows.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v")).where(F.size("v") == 16)
     vectors = F.transform("v", lambda x: x["embedding"])
     shaped = own.select(
-        F.expr("m div 8").alias("doc_id"), F.lit(0).cast("long").alias("chunk"), F.col("m").alias("mention_ord"),
-        F.slice(vectors, 1, 5).alias("tokens"), F.slice(vectors, 6, 7).alias("entities"), F.array_repeat(F.lit(1.0), 7).alias("mask"), F.array_repeat(F.lit(1.0 / 7), 7).alias("prior"),
+        F.expr("m div 8").alias("doc_id"), F.lit(0).cast("long").alias("chunk"), F.col("m").alias("mention_ord"), F.slice(vectors, 1, 5).alias("tokens"),
+        F.slice(vectors, 6, 2).alias("left"), F.slice(vectors, 8, 1).alias("inside"), F.slice(vectors, 9, 2).alias("right"),
+        F.slice(vectors, F.lit(11), (F.col("m") % 6 + 1).cast("int")).alias("entities"), F.array_repeat(F.lit(0.25), (F.col("m") % 6 + 1).cast("int")).alias("prior"),
     )
-    scored = ranking.joint_scores(shaped, ranking.initial_parameters(64))
+    scored = joint.joint_scores(shaped, joint.initial_parameters(64), np.full(64, 0.01))
     return scored.select("doc_id", "mention_ord", F.posexplode("scores").alias("k", "s")).select("doc_id", "mention_ord", "k", F.round("s", 6).alias("score"))
+
+
+# Disambiguation -------------------------------------------------------------------------
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
+
+def _knowledge(spark: SparkSession, sf_dir: str) -> disambiguation.KnowledgeBase:
+    """An ambiguous index over words of the turns (a word, and four words that it may stand
+    for), vectors of nine in ten of these by hash, three words as persons."""
+    words = _turns(spark, sf_dir).select(F.explode(X.space_tokens(F.col("text"))).alias("mention")).groupBy("mention").agg(F.count("*").alias("freq"))
+    entity = lambda k: F.concat(F.lit("E"), F.pmod(F.crc32("mention") + 7 * k, F.lit(97)).cast("string"))
+    cands = F.array(*[F.struct(entity(k).alias("entity"), F.lit(p).alias("p")) for k, p in ((0, 0.4), (1, 0.3), (2, 0.2), (3, 0.1))])
+    index = words.where("length(mention) > 2").select("mention", F.lower("mention").alias("lower"), "freq", cands.alias("cands"))
+    keys = words.select(F.col("mention").alias("word")).union(spark.range(97).select(F.concat(F.lit("ENTITY/E"), F.col("id").cast("string"))))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("emb"))
+    known = keys.where("crc32(word) % 10 <> 0").withColumn("v", F.crc32("word") % F.lit(rows.count()))
+    unknown = spark.createDataFrame([(w,) for w in features.UNKNOWN.values()], "word string").withColumn("v", F.lit(0).cast("long"))
+    vectors = known.unionByName(unknown).join(rows, "v").select("word", "emb")
+    return disambiguation.KnowledgeBase(index, vectors, spark.createDataFrame([("E1",), ("E2",), ("E3",)], "name string"))
+
+
+@query()
+def ed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns to mentions, contexts, candidates, coreference, features, joint scores, decisions."""
+    linker = disambiguation.Linker(_knowledge(spark, sf_dir), joint.initial_parameters(64), (0.5, -0.1))
+    return linker.results(linker.found_mentions(_turns(spark, sf_dir)))
+
+
+@query("""WITH e AS (SELECT vec_id // 10 AS m, vec_id % 10 AS idx, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 10 <= vec_id // 10 % 9),
+q AS (SELECT vec_id AS m, CAST(embedding AS DOUBLE[]) AS c FROM embeddings),
+s AS (SELECT e.m, idx, list_dot_product(x, c) AS s FROM e JOIN q ON e.m = q.m),
+t AS (SELECT *, max(s) OVER (PARTITION BY m) AS top FROM s)
+SELECT m, idx, round(s - top - ln(sum(exp(s - top)) OVER (PARTITION BY m)), 6) AS log_p FROM t""")
+def prerank_log_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    cands = rows.select(F.expr("vec_id div 10").alias("m"), (F.col("vec_id") % 10).alias("idx"), F.col("embedding").alias("emb")).where("idx <= m % 9")
+    scored = cands.join(rows.select(F.col("vec_id").alias("m"), F.col("embedding").alias("ctx")), "m").withColumn("ctx_score", X.dot(F.col("emb"), F.col("ctx")))
+    return ranking.log_probabilities(scored, ["m"]).select("m", "idx", F.round("ctx_score", 6).alias("log_p"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS m, list(CAST(l_suppkey AS VARCHAR) ORDER BY l_linenumber, l_partkey, l_suppkey) AS names,
+  list(CASE WHEN l_linenumber <= l_orderkey % 4 THEN 1.0 ELSE 0.0 END ORDER BY l_linenumber, l_partkey, l_suppkey) AS mask,
+  list(l_extendedprice ORDER BY l_linenumber, l_partkey, l_suppkey) AS scores FROM lineitem GROUP BY 1)
+SELECT m, CASE WHEN mask[list_position(scores, list_max(scores))] = 1 THEN names[list_position(scores, list_max(scores))]
+  WHEN mask[1] = 1 THEN names[1] ELSE 'NIL' END AS entity FROM c""")
+def decode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.when(F.col("l_linenumber") <= F.col("l_orderkey") % 4, 1.0).otherwise(0.0)
+    cells = F.struct("l_linenumber", "l_partkey", "l_suppkey", mask.alias("mask"), "l_extendedprice")
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("m")).agg(F.sort_array(F.collect_list(cells)).alias("c"))
+    pick = lambda f: F.transform("c", lambda x: f(x))
+    return own.select("m", ranking.decode(pick(lambda x: x["l_suppkey"].cast("string")), pick(lambda x: x["mask"]), pick(lambda x: x["l_extendedprice"])).alias("entity"))

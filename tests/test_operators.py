@@ -184,29 +184,6 @@ def test_micro_scores(spark):
     assert none.precision is None and none.f1 is None
 
 
-def slow_propagation(local, pair, rounds=10, damping=0.3):
-    """The message rule written out with loops."""
-    n, c = local.shape
-    messages = np.zeros((n, c, n))
-    for _ in range(rounds):
-        fresh = np.zeros_like(messages)
-        for i in range(n):
-            for j in range(n):
-                m = np.array([max(pair[i, a, j, d] + local[j, d] + sum(messages[j, d, k] for k in range(n) if k not in (i, j)) for d in range(c)) for a in range(c)])
-                e = np.exp(m - m.max())
-                fresh[i, :, j] = e / e.sum()
-        messages = np.log(damping * fresh + (1 - damping) * np.exp(messages))
-    total = local + np.array([[sum(messages[i, a, j] for j in range(n) if j != i) for a in range(c)] for i in range(n)])
-    e = np.exp(total - total.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def test_belief_propagation():
-    r = np.random.default_rng(2)
-    local, pair = r.normal(size=(4, 3)), r.normal(size=(4, 3, 4, 3))
-    assert np.allclose(ranking.belief_propagation(local, pair), slow_propagation(local, pair))
-
-
 def test_calibration(spark):
     r = np.random.default_rng(1)
     score = r.normal(size=400)
