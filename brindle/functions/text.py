@@ -227,7 +227,7 @@ def unescape_unicode(s: Column) -> Column:
     run = r"(?:\\u[0-9a-fA-F]{4})+"
 
     def decoded(found: Column) -> Column:
-        return F.decode(F.unhex(F.replace(found, F.lit("\\u"), F.lit(""))), F.lit("UTF-16BE"))
+        return F.decode(F.unhex(F.replace(found, F.lit("\\u"), F.lit(""))), "UTF-16BE")
 
     hits = F.transform(F.regexp_extract_all(s, F.lit(run), F.lit(0)), decoded)
     parts = F.split(s, run, -1)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-ANCHOR = r'<a href="(.*?)">(.*?)</a>'
+ANCHOR = r'<a href="(.*?)">(.*?)(?:</a>|$)'
 
 
 def anchors(lines: DataFrame, keys: list[str], column: str = "line") -> DataFrame:
-    """``keys, k, target, mention`` of every link of a line, in order. Targets are decoded."""
+    """``keys, k, target, mention`` of every link of a line, in order. Targets are decoded; a
+    link that is not closed goes on to the end of its line."""
     body = F.col(column)
     pairs = F.arrays_zip(
         F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(1)).alias("target"), F.regexp_extract_all(body, F.lit(ANCHOR), F.lit(2)).alias("mention")
@@ -52,9 +53,11 @@ def running_documents(lines: DataFrame, order: list[str], shard: str | None = No
     return marked.where("_in").drop("_ok", "_in", "_earlier")
 
 
-def pair_counts(links: DataFrame, entity: str = "entity") -> DataFrame:
-    """``mention, entity, cnt``."""
-    return links.groupBy("mention", F.col(entity).alias("entity")).agg(F.count("*").alias("cnt"))
+def pair_counts(links: DataFrame, entity: str = "entity", place: list[str] | None = None) -> DataFrame:
+    """``mention, entity, cnt``, and ``first``, the place (by some columns) where a pair was
+    seen first, if asked for."""
+    first = [] if place is None else [F.min(F.struct(*place)).alias("first")]
+    return links.groupBy("mention", F.col(entity).alias("entity")).agg(F.count("*").alias("cnt"), *first)
 
 
 def merge_counts(*sources: DataFrame) -> DataFrame:

@@ -6,14 +6,25 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import wikitext
+
 DISAMBIGUATION = r"(?m)^(?:\{\{disambig(?:uation)?(?:\|[^}]*)?\}\}|__DISAMBIG__)"
-#: Elements whose contents are not prose.
-DROPPED = "gallery timeline noinclude pre table tr td th caption div form input select option textarea ul li ol dl dt dd menu dir ref references img imagemap source small".split()
+#: Names of elements that the dump format's extractors discard with what they
+#: hold, by what they are for; and prefixes of links that count as text.
+DROPPED = (
+    "table caption tr th td",
+    "ul ol li dl dt dd menu dir",
+    "form input select option textarea",
+    "ref references sup sub small indicator",
+    "gallery img imagemap timeline source",
+    "div pre noinclude",
+)
 KEPT_NAMESPACES = ("w", "wiktionary", "wikt")
+IMAGE = re.compile(r"(?:https?|ftp)://\S+\.(?:gif|png|jpe?g|svg|webp)", re.I)
 
 
 def page_counters(pages: DataFrame) -> DataFrame:
@@ -29,6 +40,19 @@ def page_counters(pages: DataFrame) -> DataFrame:
     )
 
 
+def long_enough(text: Column, least: int) -> Column:
+    """Whether a page's paragraphs have at least ``least`` characters together."""
+    return F.length(F.replace(text, F.lit("\n"), F.lit(""))) >= least
+
+
+def consecutive_once(pages: DataFrame, order: str = "ord") -> DataFrame:
+    """Pages without those that repeat the id of the page right before them in their file.
+
+    ``pages`` has ``file, id`` and the order inside the file."""
+    before = F.lag("id").over(Window.partitionBy("file").orderBy(order))
+    return pages.withColumn("_before", before).where("NOT _before <=> id").drop("_before")
+
+
 def category_selected(cats: Column, include: list[str], exclude: list[str]) -> Column:
     """No excluded category and, if any are listed, an included one."""
     strings = lambda x: F.array(*[F.lit(c) for c in x]).cast("array<string>")
@@ -37,10 +61,10 @@ def category_selected(cats: Column, include: list[str], exclude: list[str]) -> C
 
 
 def drop_nested(text: str, opening: str, closing: str) -> str:
-    """Without the outermost balanced regions; unclosed ones stay."""
+    """Without the outermost balanced regions between two patterns; unclosed ones stay."""
     out, depth, start, last = [], 0, 0, 0
-    for m in re.finditer(f"{re.escape(opening)}|{re.escape(closing)}", text):
-        if m[0] == opening:
+    for m in re.finditer(f"(?P<open>{opening})|{closing}", text, re.I):
+        if m["open"]:
             if not depth:
                 start = m.start()
             depth += 1
@@ -52,6 +76,12 @@ def drop_nested(text: str, opening: str, closing: str) -> str:
     return "".join(out) + text[last:]
 
 
+def external_link(m: re.Match) -> str:
+    """A bracketed link as its label; an image as its label shows nothing."""
+    label = (m[1] or "").strip()
+    return "" if IMAGE.fullmatch(label) else label
+
+
 def replace_links(text: str) -> str:
     """``[[target|label]]`` to its label (the last one; letters that follow belong to it);
     links into other namespaces vanish. Nested links count as one."""
@@ -83,9 +113,9 @@ def _balanced(text: str, opening: str, closing: str):
                 yield start, m.end()
 
 
-def clean_wikitext(text: str, lists: bool = False) -> str:
+def clean_wikitext(text: str, lists: bool = False, sections: bool = False) -> str:
     """Plain paragraphs of a page: templates, tables, comments, references and tags gone,
-    links and quotes resolved, headings dropped, list lines kept only on request."""
+    links and quotes resolved; headings and list items only on request."""
     text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
     protected: list[str] = []
 
@@ -94,103 +124,25 @@ def clean_wikitext(text: str, lists: bool = False) -> str:
         return f"\x00{len(protected) - 1}\x00"
 
     text = re.sub(r"<nowiki>(.*?)</nowiki>", keep, text, flags=re.S | re.I)
-    text = drop_nested(drop_nested(text, "{{", "}}"), "{|", "|}")
+    text = drop_nested(drop_nested(text, r"\{\{", r"\}\}"), r"\{\|", r"\|\}")
     text = re.sub(r"'{5}|'{3}|''", "", text)
     text = re.sub(r"__[A-Z]+__", "", text)
     text = re.sub(r"<(?:br|hr|ref|references|nowiki)\b[^<>]*/\s*>", "", text, flags=re.I)
-    for tag in DROPPED:
-        text = re.sub(rf"<{tag}\b[^>]*>.*?</{tag}\s*>", "", text, flags=re.S | re.I)
+    for tag in " ".join(DROPPED).split():
+        text = drop_nested(text, rf"<\s*{tag}\b[^>/]*>", rf"<\s*/\s*{tag}\s*>")
     text = replace_links(text)
-    text = re.sub(r"\[(?:https?|ftp)://\S+(?: ([^\]]*))?\]", lambda m: m[1] or "", text)
+    text = re.sub(r"\[(?:https?|ftp|mailto)://[^\s\]]+([^\]]*)\]", external_link, text)
     text = html.unescape(re.sub(r"</?[a-zA-Z][^<>]*>", "", text)).replace("\xa0", " ")
-    lines = []
-    for line in text.split("\n"):
-        line = re.sub(r"[ \t]{2,}", " ", line).strip()
-        if not line or re.fullmatch(r"=+[^=].*?=+", line) or line[0] in ":{|!}" or (line[0] in "*#;" and not lists):
-            continue
-        line = re.sub(r" ([,:.)\]»])", r"\1", re.sub(r"\(\s*[,;]*\s*\)", "", line.lstrip("*#; ")))
-        if re.search(r"\w", line):
-            lines.append(line)
-    return re.sub("\x00(\\d+)\x00", lambda m: protected[int(m[1])], "\n".join(lines))
+    text = re.sub(r"\(\s*[,;]*\s*\)", "", text.replace("<<", "«").replace(">>", "»"))
+    for pattern, to in ((r"[ \t]{2,}|\t", " "), (r"\.{4,}", "..."), (r" ([,:.)\]»])", r"\1"), (r"([\[(«]) ", r"\1"), (",,", ","), (r",\.", ".")):
+        text = re.sub(pattern, to, text)
+    text = "\n".join(line.rstrip() for line in text.split("\n"))
+    text = wikitext.compact(text, lists, sections)
+    text = "\n".join(line for line in text.split("\n") if re.search(r"\w|\x00", line))
+    return re.sub("\x00(\\d+)\x00", lambda m: protected[int(m[1])], text)
 
 
 @F.pandas_udf(T.StringType())
 def clean_text(texts: pd.Series) -> pd.Series:
     """``clean_wikitext`` as a column function; null stays null."""
     return texts.map(lambda x: None if x is None else clean_wikitext(x))
-
-
-def expand_templates(text: str, templates: dict[str, str], depth: int = 0, limit: int = 30) -> str:
-    """``{{name|a|key=b}}`` by template bodies with ``{{{1|default}}}`` arguments; the basic
-    parser functions if, ifeq, switch, lc, uc, lcfirst, ucfirst; unknown templates vanish."""
-    if depth > limit:
-        return ""
-    out, last = [], 0
-    for start, end in _balanced(text, "{{", "}}"):
-        parts = _split_parts(text[start + 2 : end - 2])
-        parts = [expand_templates(p, templates, depth + 1, limit) for p in parts]
-        out.append(text[last:start] + _call(parts, templates, depth, limit))
-        last = end
-    return "".join(out) + text[last:]
-
-
-def _split_parts(inner: str) -> list[str]:
-    parts, depth, start = [], 0, 0
-    for m in re.finditer(r"\{\{|\}\}|\[\[|\]\]|\|", inner):
-        if m[0] in ("{{", "[["):
-            depth += 1
-        elif m[0] != "|":
-            depth -= 1
-        elif not depth:
-            parts.append(inner[start : m.start()])
-            start = m.end()
-    return [*parts, inner[start:]]
-
-
-def _call(parts: list[str], templates: dict[str, str], depth: int, limit: int) -> str:
-    name, colon, first = parts[0].strip().partition(":")
-    arg = lambda k: (first if k == 0 else parts[k] if k < len(parts) else "").strip()
-    if colon:
-        match name.lower():
-            case "#if":
-                return arg(1) if arg(0) else arg(2)
-            case "#ifeq":
-                return arg(2) if arg(0) == arg(1) else arg(3)
-            case "#switch":
-                options = [p.partition("=") for p in parts[1:]]
-                waiting = False
-                for key, equal, value in options:
-                    waiting |= key.strip() == arg(0)
-                    if waiting and equal:
-                        return value.strip()
-                return next((v.strip() for k, e, v in options if e and k.strip() == "#default"), "")
-            case "lc":
-                return arg(0).lower()
-            case "uc":
-                return arg(0).upper()
-            case "lcfirst":
-                return arg(0)[:1].lower() + arg(0)[1:]
-            case "ucfirst":
-                return arg(0)[:1].upper() + arg(0)[1:]
-    title = parts[0].strip().replace("_", " ")
-    body = templates.get(title[:1].upper() + title[1:])
-    if body is None:
-        return ""
-    given: dict[str, str] = {}
-    position = 0
-    for part in parts[1:]:
-        key, equal, value = part.partition("=")
-        if equal and "[[" not in key:
-            given[key.strip()] = value.strip()
-        else:
-            position += 1
-            given[str(position)] = part
-    filled = re.sub(r"\{\{\{([^{}|]*)(?:\|([^{}]*))?\}\}\}", lambda m: given.get(m[1].strip(), m[2] if m[2] is not None else m[0]), _included(body))
-    return expand_templates(filled, templates, depth + 1, limit)
-
-
-def _included(body: str) -> str:
-    only = re.findall(r"<onlyinclude>(.*?)</onlyinclude>", body, re.S)
-    if only:
-        return "".join(only)
-    return re.sub(r"</?includeonly>", "", re.sub(r"<noinclude>.*?</noinclude>", "", body, flags=re.S))

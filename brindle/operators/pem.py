@@ -10,12 +10,13 @@ TOP = 100
 
 def top_entities(counts: DataFrame, k: int = TOP) -> DataFrame:
     """``mention, entity, cnt, rank, p``: the k most frequent entities of a mention with
-    shares among those kept. Ties go by entity, ascending.
+    shares among those kept. Ties go by where a pair was seen first, where ``counts`` says
+    so (``first``), else by entity.
 
     The rank filter becomes a group limit before the shuffle's sort, so a hot mention
     sends k rows from each task only.
     """
-    order = Window.partitionBy("mention").orderBy(F.desc("cnt"), "entity")
+    order = Window.partitionBy("mention").orderBy(F.desc("cnt"), *(["first"] if "first" in counts.columns else []), "entity")
     ranked = counts.where("length(mention) > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     total = F.sum("cnt").over(Window.partitionBy("mention"))
     return ranked.withColumn("_total", total).where("_total >= 1").withColumn("p", F.col("cnt") / F.col("_total")).drop("_total")

@@ -24,6 +24,21 @@ def with_vectors(rows: DataFrame, vectors: DataFrame, key: str, unknown: Column
     return joined if unknown is None else joined.withColumn("emb", F.coalesce("emb", unknown))
 
 
+def appended_vectors(vectors: DataFrame, more: DataFrame) -> DataFrame:
+    """The vectors and those of ``more`` whose words are new."""
+    return vectors.select("word", "emb").unionByName(more.join(vectors.select("word"), "word", "left_anti").select("word", "emb"))
+
+
+def vocabulary(words: DataFrame) -> DataFrame:
+    """``word, id``: distinct words numbered from 0 in their order."""
+    return words.select("word").distinct().withColumn("id", F.row_number().over(Window.orderBy("word")) - 1)
+
+
+def word_ids(tokens: DataFrame, known: DataFrame, unknown: int = -1) -> DataFrame:
+    """Adds ``id`` by ``word``; unknown words get that of the unknown word."""
+    return tokens.join(known.select("word", "id"), "word", "left").withColumn("id", F.coalesce("id", F.lit(unknown)))
+
+
 def context_mean(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, ctx``: the mean vector of a group's token vectors (``emb``)."""
     each = tokens.select(*keys, F.posexplode("emb").alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))

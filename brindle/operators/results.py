@@ -47,3 +47,23 @@ def timing_statistics(log: DataFrame, by: list[str], *columns: str) -> DataFrame
     for c in columns:
         cells += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.sum(c).alias(f"{c}_sum")]
     return log.groupBy(*by).agg(*cells)
+
+
+def mentions_by_document(mentions: DataFrame) -> DataFrame:
+    """``doc_id, n_mentions, mentions``: each document's mention rows in order, and their number."""
+    nested = F.sort_array(F.collect_list(F.struct("mention_ord", *[c for c in mentions.columns if c not in ("doc_id", "mention_ord")])))
+    return mentions.groupBy("doc_id").agg(F.count("*").alias("n_mentions"), nested.alias("mentions"))
+
+
+def relocated(results: DataFrame, sents: DataFrame, docs: DataFrame) -> DataFrame:
+    """Result rows (``doc_id, sent_idx, start`` in the sentence, ...) with ``start`` counted in
+    the document: where the sentence's text first stands there."""
+    rows = results.join(sents.select("doc_id", "sent_idx", "sentence"), ["doc_id", "sent_idx"]).join(docs.select("doc_id", "text"), "doc_id")
+    return rows.withColumn("start", F.col("start") + F.expr("locate(sentence, text) - 1")).drop("sentence", "text")
+
+
+def sentence_only(mentions: DataFrame) -> DataFrame:
+    """Mentions with contexts cut to their own sentence and all text lower-cased, as linkers
+    without document context take them."""
+    left, right = F.expr("substring(sentence, 1, start)"), F.expr("substring(sentence, end + 1, length(sentence))")
+    return mentions.withColumns({"left_ctx": F.lower(F.trim(left)), "right_ctx": F.lower(F.trim(right)), "surface": F.lower("surface")})

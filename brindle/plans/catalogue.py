@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, counts, features, joint, kb, markup, mentions, pem, ranking, results
+from ..operators import context, counts, features, joint, kb, markup, mentions, pem, ranking, results, wikitext
 from ..sources import readers
 from . import disambiguation, linking
 
@@ -577,6 +577,26 @@ def wikitext_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", markup.clean_text("html").alias("text"))
 
 
+#: Templates of the expansion query.
+_TEMPLATES = {
+    "Card": "<{{{kind}}}> {{#ifeq:{{{1}}}|7|seven|{{uc:n}}{{{1}}}}}{{Mark|{{{2|none}}}}}",
+    "Mark": "#REDIRECT [[Template:Real mark]]",
+    "Real mark": "<noinclude>doc</noinclude> ({{#if:{{{1}}}|{{#invoke:String|sub|{{{1}}}|1|3}}|-}})",
+}
+
+
+@query("""SELECT page_id, '<' || CASE page_id % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'many' END || '> ' || CASE WHEN page_id = 7 THEN 'seven' ELSE 'N' || CAST(page_id AS VARCHAR) END
+  || ' (' || CASE WHEN page_id % 2 = 0 THEN 'P ' || left(CAST(page_id AS VARCHAR), 1) ELSE 'non' END || ')' || ' = ' || CAST(page_id * 2 + 1 AS VARCHAR) AS text FROM pages""")
+def wikitext_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("page_id").cast("string")
+    second = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("|{{PAGENAME}}"))).otherwise("")
+    text = F.concat(
+        F.lit("{{Card|"), number, F.lit("|kind={{#switch:{{#expr:"), number, F.lit(" mod 3}}|0=zero|1=one|#default=many}}"), second, F.lit("}} = {{#expr:"), number, F.lit("*2+1}}")
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("P "), number).alias("title"), text.alias("text"))
+    return wikitext.expand_pages(pages, _TEMPLATES).select("page_id", "text")
+
+
 @query("""SELECT conv_id * 1000 + turn AS doc_id, replace(text, '&amp;', '&') AS text, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS n_spans,
   CASE WHEN turn % 2 = 0 THEN 'ED' ELSE 'EL' END AS mode FROM conversations""")
 def request_route(spark: SparkSession, sf_dir: str) -> DataFrame:

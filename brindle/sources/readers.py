@@ -1,24 +1,64 @@
 """Readers of the line-oriented and structured inputs of a knowledge-base build.
 
-Every reader has a fixed schema. ``ord`` numbers lines in file order where a later
-operator needs an order: it is the file name and the line's offset rank inside it,
-assigned per file in one read of the file's lines, never by partition order.
+Every reader has a fixed schema. ``ord`` is a line's number in its file where a later
+operator needs an order. Files are read in splits, so one large file is many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import counts
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, ord, line``: whole files are read so that line numbers are exact. For
-    corpora of many moderate files (dumps are written so)."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "line"))
-    return lines.select("file", F.col("ord").cast("long").alias("ord"), F.regexp_replace("line", r"\r$", "").alias("line"))
+    """``file, ord, line``: lines with their numbers, exact across splits.
+
+    A split's rows are consecutive in its task, so a line's place in its split is the
+    distance of its row id from the split's first; the lines of earlier splits of the file
+    are counted by a scan without text. There is one row a split to join.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row"), "value"
+    )
+    splits = raw.groupBy("file", "_split").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_split", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rows = raw.join(splits, ["file", "_split"])
+    return rows.select("file", (F.col("_row") - F.col("_first") + F.col("_before")).cast("long").alias("ord"), F.regexp_replace("value", r"\r$", "").alias("line"))
+
+
+def document_id(line: Column) -> Column:
+    """The id in a document's header line, null on other lines."""
+    return F.regexp_extract(line, '<doc id="([0-9]+)"', 1).try_cast("bigint")
+
+
+def anchor_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, ord, doc_id, line`` of the body lines of a folder of extracted articles.
+    Documents whose id does not exceed all ids before them (files by name) are left out."""
+    lines = numbered_lines(spark, path).withColumn("header_id", document_id(F.col("line")))
+    kept = counts.running_documents(lines, ["ord"], "file")
+    return kept.where("header_id IS NULL").select("file", "ord", "doc_id", "line")
+
+
+def query_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, text, spans``: one request a line, blank lines left out."""
+    rows = numbered_lines(spark, path).where("trim(line) <> ''")
+    return rows.select(F.concat_ws("#", "file", F.col("ord").cast("string")).alias("doc_id"), F.col("line").alias("text"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
+
+
+def site_information(spark: SparkSession, path: str) -> DataFrame:
+    """``sitename, base, namespaces`` of a dump."""
+    schema = "sitename string, base string, namespaces struct<namespace:array<struct<_key:int,_VALUE:string>>>"
+    rows = spark.read.format("xml").option("rowTag", "siteinfo").schema(schema).load(path)
+    return rows.select("sitename", "base", F.transform("namespaces.namespace", lambda n: F.struct(n["_key"].alias("key"), n["_VALUE"].alias("name"))).alias("namespaces"))
+
+
+def single_article(pages: DataFrame, page_id: int | None = None, title: str | None = None) -> DataFrame:
+    """The page of an id or title."""
+    return pages.where(F.col("id") == page_id) if page_id is not None else pages.where(F.col("title") == title)
 
 
 def name_map(spark: SparkSession, path: str, disambiguation: DataFrame) -> DataFrame:
@@ -51,7 +91,7 @@ def redirects(spark: SparkSession, path: str) -> DataFrame:
 def cross_counts(lines: DataFrame) -> DataFrame:
     """``mention, target_id, cnt`` of ragged ``mention<TAB>total<TAB>id,cnt<TAB>...`` lines."""
     parts = lines.select(F.split("line", "\t").alias("p")).where(F.size("p") > 2)
-    rows = parts.select(X.percent_decode(F.col("p")[0]).alias("mention"), F.explode(F.slice("p", 3, 1_000_000)).alias("pair"))
+    rows = parts.select(X.percent_decode(F.col("p")[0]).alias("mention"), F.explode(F.slice("p", F.lit(3), F.size("p"))).alias("pair"))
     rows = rows.where("pair LIKE '%,%' AND NOT (mention LIKE '%Wikipedia%' OR mention LIKE '%wikipedia%')")
     pair = F.split("pair", ",")
     return rows.select("mention", pair[0].cast("long").alias("target_id"), pair[1].cast("long").alias("cnt"))
@@ -79,7 +119,7 @@ def vectors(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
     rows = lines.where("ord > 0")
     rows = rows if limit is None else rows.where(F.col("ord") <= limit)
     parts = rows.select("ord", F.split(F.rtrim("line"), " ").alias("p")).crossJoin(F.broadcast(first))
-    values = F.transform(F.slice("p", 2, 1_000_000), lambda x: x.cast("float"))
+    values = F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: x.cast("float"))
     checked = F.when(F.size("p") == F.col("dims") + 1, values).otherwise(F.raise_error(F.lit("a vector of another length")).cast("array<float>"))
     return (
         parts.select("ord", F.col("p")[0].alias("word"), checked.alias("emb"))
@@ -120,6 +160,22 @@ def annotated_corpus(spark: SparkSession, xml_path: str) -> DataFrame:
     )
 
 
+def raw_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_name, text`` of a folder of text files; every line but the first gets a space
+    before it, as in the corpora whose offsets count so."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_name"), "value")
+    text = F.replace(F.replace("value", F.lit("\n"), F.lit("\n ")), F.lit("&amp;"), F.lit("&"))
+    return rows.select(F.url_decode("doc_name").alias("doc_name"), F.regexp_replace(text, r"\n \z", "\n").alias("text"))
+
+
+def gold_datasets(spark: SparkSession, path: str, names: list[str] | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+    """Stored gold mentions (``dataset, doc_id, ...``), some datasets or all, less documents
+    that are known to be broken."""
+    rows = spark.read.parquet(path)
+    rows = rows if names is None else rows.where(F.col("dataset").isin(*names))
+    return rows.where(~F.col("doc_id").isin(*without)) if without else rows
+
+
 def category_filter(spark: SparkSession, path: str) -> DataFrame:
     """``category, exclude`` of a filter file: ``#`` comments, ``^`` excludes."""
     rows = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' AND NOT startswith(line, '#')")

@@ -36,8 +36,16 @@ def article_document(page: DataFrame, url_base: str) -> DataFrame:
     return page.select(F.concat(head, F.col("title"), F.lit("\n\n"), F.col("text"), F.lit("\n</doc>")).alias("value"))
 
 
-def write_articles(pages: DataFrame, path: str, url_base: str, as_json: bool = False, compress: bool = False, per_file: int = 1000) -> None:
-    """Articles (``id, title, text``) as ``<doc>`` text or JSON lines, optionally bzip2."""
+def write_articles(pages: DataFrame, path: str, url_base: str, as_json: bool = False, compress: bool = False, per_file: int = 1000, file_bytes: int | None = None, order: str | None = None) -> None:
+    """Articles (``id, title, text``) as ``<doc>`` text or JSON lines, optionally bzip2.
+
+    ``file_bytes`` rolls files near that size (by the mean length), ``order`` (a column)
+    makes the files one after another the order of the pages."""
+    if file_bytes is not None:
+        mean = pages.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
+        per_file = max(1, int(file_bytes / max(mean, 1.0)))
+    if order is not None:
+        pages = pages.orderBy(order)
     options = {"maxRecordsPerFile": str(per_file)} | ({"compression": "bzip2"} if compress else {})
     if as_json:
         url = F.concat(F.lit(f"{url_base}?curid="), F.col("id").cast("string"))
@@ -46,6 +54,19 @@ def write_articles(pages: DataFrame, path: str, url_base: str, as_json: bool = F
         article_document(pages, url_base).write.mode("overwrite").options(**options).text(path)
 
 
+def byte_size(text: str) -> int:
+    """A size such as ``500K``, ``1M`` or ``2g`` in bytes; raises where it is none."""
+    number, unit = (text[:-1], text[-1].lower()) if text and text[-1].isalpha() else (text, "")
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+
+
+def write_templates(pages: DataFrame, path: str) -> None:
+    """The template and module pages of a dump (``title, text``), to be read back as Parquet."""
+    from ..operators.wikitext import template_pages
+
+    template_pages(pages).write.mode("overwrite").parquet(path)
+
+
 def write_side_tables(pages: DataFrame, path: str) -> None:
     """Redirects, disambiguation pages and the name map of a dump's pages, tab-separated."""
     from ..operators.markup import DISAMBIGUATION

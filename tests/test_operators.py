@@ -196,10 +196,10 @@ def test_calibration(spark):
 def test_markup():
     page = "{{Info|a={{x}}}}'''Bold''' text [[Target|label]]s and [[plain]] [[File:a.png|thumb|cap [[x]]]]<!-- no --><ref>r</ref>\n== Head ==\n* item\nMore <b>text</b> &amp; [http://x.y link] <nowiki>[[kept]]</nowiki>.\n{| table |}"
     assert markup.clean_wikitext(page) == "Bold text labels and plain\nMore text & link [[kept]]."
-    templates = {"Hi": "Hello {{{1|you}}}{{#if:{{{2|}}}|!|.}}", "Loop": "{{Loop}}x", "Inc": "<noinclude>a</noinclude><includeonly>b</includeonly>"}
-    assert markup.expand_templates("{{hi}} {{Hi|Ann|2=x}} {{none}}{{Inc}}", templates) == "Hello you. Hello Ann! b"
-    assert markup.expand_templates("{{#switch:b|a=1|b|c=2|#default=3}}{{#ifeq:x|x|y|z}}{{uc:q}}", {}) == "2yQ"
-    assert len(markup.expand_templates("{{Loop}}", templates)) < 40
+    assert markup.clean_wikitext(page, lists=True, sections=True).split("\n")[1:3] == ["Section::::Head.", "BULLET::::- item"]
+    assert markup.clean_wikitext("H<sub>2</sub>O x<sup>2</sup> <small>s</small><indicator n=a>i</indicator>end") == "HO x end"
+    assert markup.clean_wikitext("see [http://a.b http://c.d/e.png] and [http://a.b] or [http://a.b the site]") == "see and or the site"
+    assert markup.clean_wikitext("a<div>x<div>y</div>z</div>b") == "ab" and markup.clean_wikitext("a <div>open") == "a open"
 
 
 def test_answers(spark):
