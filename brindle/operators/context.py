@@ -60,10 +60,13 @@ def coreferent_candidates(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     named = persons.select(F.col("name").alias("_person")).distinct()
     rows = mentions.select("doc_id", "mention_ord", F.lower("mention").alias("m"), "cands")
     people = rows.join(named, F.col("cands")[0]["entity"] == F.col("_person"), "left_semi")
-    a, b = rows.alias("a"), people.alias("b")
+    a = rows.withColumn("word", F.split("m", " ")[0]).alias("a")
+    b = people.withColumn("word", F.explode(F.array_distinct(F.split("m", " ")))).alias("b")
     at = F.expr("locate(a.m, b.m)")
+    # What stands between spaces begins with a whole word, so pairs meet by document and word.
     whole = (
         (F.col("a.doc_id") == F.col("b.doc_id"))
+        & (F.col("a.word") == F.col("b.word"))
         & (F.col("a.m") != F.col("b.m"))
         & (at > 0)
         & ((at == 1) | (F.expr("substring(b.m, locate(a.m, b.m) - 1, 1)") == " "))

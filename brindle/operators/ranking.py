@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +49,43 @@ def context_mean(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("ctx"))
 
 
+#: Vectors of a block; a pair of blocks is one matrix product.
+BLOCK_VECTORS = 4096
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """``ids, matrix`` of blocks of ``rows`` (``id, emb``), as they stand in their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_VECTORS):
+                part = batch.slice(at, BLOCK_VECTORS)
+                matrix = np.asarray(part.column("emb").to_pylist(), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    return rows.where("id IS NOT NULL AND emb IS NOT NULL").select("id", "emb").mapInArrow(run, "ids array<long>, matrix binary")
+
+
+def top_products(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``qid, id, rank, score``: the ``k`` rows of the largest dot product with each query, of
+    equal ones the smaller id. Both have ``id, emb``. Blocks of queries meet blocks of rows;
+    a pair of blocks keeps k rows a query, so few scores are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, left, ids, right in zip(*(batch.column(n).to_pylist() for n in ("asked", "left", "ids", "right"))):
+                scores = np.frombuffer(left).reshape(len(asked), -1) @ np.frombuffer(right).reshape(len(ids), -1).T
+                own, most = np.asarray(ids), min(k, len(ids))
+                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :most]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(asked, most)), pa.array(own[order].ravel()), pa.array(np.take_along_axis(scores, order, axis=1).ravel())], ["qid", "id", "score"]
+                )
+
+    pairs = _blocks(rows).select("ids", F.col("matrix").alias("right")).crossJoin(_blocks(queries).select(F.col("ids").alias("asked"), F.col("matrix").alias("left")))
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return pairs.mapInArrow(run, "qid long, id long, score double").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def prerank(cands: DataFrame, keys: list[str], keep_context: int = KEEP_CONTEXT, keep_total: int = KEEP_TOTAL) -> DataFrame:
     """Rows of each mention that stay: the best by ``ctx_score`` and, in candidate order
     (``idx``), as many more as make ``keep_total`` together."""
