@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,13 +58,31 @@ def _placed_words(role: str, words: Column) -> Column:
     return F.transform(words, lambda w, k: F.struct(F.lit(role).alias("role"), k.alias("place"), w.alias("word")))
 
 
-def _looked_up(cells: DataFrame, vectors: DataFrame, unknown: str | None) -> DataFrame:
-    """``emb`` of each cell's ``word``; cells without one go, or take an unknown vector."""
-    found = cells.join(vectors.select("word", "emb"), "word", "inner" if unknown is None else "left")
-    if unknown is None:
-        return found
-    filler = vectors.where(F.col("word") == unknown).select(F.col("emb").alias("_unknown"))
-    return found.crossJoin(F.broadcast(filler.limit(1))).withColumn("emb", F.coalesce("emb", "_unknown")).drop("_unknown")
+def packed(vectors: DataFrame) -> DataFrame:
+    """``word, emb`` with the vectors' numbers as bytes (32-bit floats), which shuffles and
+    Arrow functions carry without touching each number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [None if v is None else np.asarray(v, np.float32).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["word", "emb"])
+
+    return vectors.select("word", "emb").mapInArrow(run, "word string, emb binary")
+
+
+def unpacked(rows: list[bytes] | None, dim: int) -> np.ndarray:
+    """Packed vectors as a matrix."""
+    return np.frombuffer(b"".join(rows or ()), np.float32).reshape(-1, dim).astype(float)
+
+
+def kept_candidates(scores: np.ndarray, keep_context: int, keep_total: int) -> list[int]:
+    """The candidates that stay, in their order: the best by context, the first of the rest."""
+    best = np.argsort(-scores, kind="stable")[:keep_context].tolist()
+    rest = [k for k in range(len(scores)) if k not in best][: max(keep_total - len(best), 0)]
+    return sorted(best + rest)
+
+
+FEATURES = "names array<string>, prior array<double>, entities array<binary>, tokens array<binary>, left array<binary>, inside array<binary>, right array<binary>"
 
 
 def mention_features(mentions: DataFrame, vectors: DataFrame, keep_context: int = ranking.KEEP_CONTEXT, keep_total: int = ranking.KEEP_TOTAL) -> DataFrame:
@@ -69,44 +91,49 @@ def mention_features(mentions: DataFrame, vectors: DataFrame, keep_context: int
     ``mentions`` has ``doc_id, mention_ord, chunk, sentence, start, end, surface, left_ctx,
     right_ctx, cands``; ``vectors`` has ``word, emb``, words and entities and the unknown
     ones. Context words without a vector drop out, the last and first ``CONTEXT_WORDS``
-    stay; entities and near words without one take the unknown vector. Candidates are
-    those that preranking keeps, in their order. One join finds all vectors of words, one
-    those of entities; words are never collected beyond one mention's own.
+    stay; entities and near words without one take the unknown vector. Of the first
+    ``MAX_CANDIDATES`` those stay, in their order, that are best by log-softmax of their
+    product with the mean of the nearest context words, and the first others. One join
+    finds all vectors of words, one those of entities; nothing is collected beyond one
+    mention's own words and candidates.
     """
     key = ["doc_id", "mention_ord"]
+    known = packed(vectors)
+    unknown = {r.word: bytes(r.emb) for r in known.where(F.col("word").isin(*UNKNOWN.values())).collect()}
+    dim = len(unknown[UNKNOWN["word"]]) // 4
     near = near_words(mentions)
-    roles = {"l": context_words(F.col("left_ctx")), "r": context_words(F.col("right_ctx")), **{k: F.when(F.size(v) > 0, v).otherwise(F.array(F.lit(UNKNOWN["near"]))) for k, v in near.items()}}
+    sides = list(near)
+    roles = {"l": context_words(F.col("left_ctx")), "r": context_words(F.col("right_ctx"))}
+    roles |= {k: F.when(F.size(v) > 0, v).otherwise(F.array(F.lit(UNKNOWN["near"]))) for k, v in near.items()}
     listed = F.concat(*[_placed_words(role, words) for role, words in roles.items()])
     cells = mentions.select(*key, F.explode(listed).alias("x")).select(*key, "x.role", "x.place", "x.word")
-    wide = F.col("role").isin("l", "r")
-    # A near word is looked up among the words; the unknown vector of its own kind stands in.
-    found = cells.join(vectors.select("word", "emb"), "word", "left")
-    filler = vectors.where(F.col("word") == UNKNOWN["near"]).select(F.col("emb").alias("_unknown")).limit(1)
-    found = found.crossJoin(F.broadcast(filler)).where(~wide | F.col("emb").isNotNull()).withColumn("emb", F.coalesce("emb", "_unknown"))
+    found = cells.join(known, "word", "left").withColumn("emb", F.when(F.col("role").isin("l", "r"), F.col("emb")).otherwise(F.coalesce("emb", F.lit(unknown[UNKNOWN["near"]]))))
 
     def of(role: str) -> Column:
-        own = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("place", "emb"))))
+        own = F.sort_array(F.collect_list(F.when((F.col("role") == role) & F.col("emb").isNotNull(), F.struct("place", "emb"))))
         return F.transform(own, lambda x: x["emb"])
 
     words = found.groupBy(*key).agg(*[of(r).alias(r) for r in roles])
-    none = F.array().cast("array<array<float>>")
-    words = words.withColumns({"l": X.tail(F.col("l"), CONTEXT_WORDS), "r": F.slice("r", 1, CONTEXT_WORDS)})
-
-    # Candidates: the best by the mean of the nearest context words, and the first by prior.
-    mean_of = words.select(*key, F.explode(F.concat(X.tail(F.col("l"), PRERANK_WORDS), F.slice("r", 1, PRERANK_WORDS))).alias("emb"))
-    means = ranking.context_mean(mean_of, key)
-    unknown = vectors.where(F.col("word") == UNKNOWN["word"]).select(F.col("emb").cast("array<double>").alias("_mean")).limit(1)
-    cands = _looked_up(candidate_cells(mentions).withColumn("word", entity_word(F.col("entity"))), vectors, UNKNOWN["entity"])
-    cands = cands.join(means, key, "left").crossJoin(F.broadcast(unknown)).withColumn("ctx_score", X.dot(F.col("emb"), F.coalesce("ctx", "_mean")))
-    kept = ranking.prerank(ranking.log_probabilities(cands, key), key, keep_context, keep_total)
-    named = kept.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("idx", "entity", "p", "emb"))).alias("c"))
-    pick = lambda field: F.transform("c", lambda x: x[field])
-    named = named.select(*key, pick("entity").alias("names"), pick("p").alias("prior"), pick("emb").alias("entities"))
-
-    tokens = F.concat(F.coalesce("l", none), F.coalesce("r", none))
-    rows = mentions.select("doc_id", "chunk", "mention_ord").join(named, key).join(words, key, "left").crossJoin(F.broadcast(unknown))
-    lone = F.array(F.col("_mean").cast("array<float>"))
-    return rows.select("doc_id", "chunk", "mention_ord", "names", "prior", "entities", F.when(F.size(tokens) > 0, tokens).otherwise(lone).alias("tokens"), *[F.coalesce(k, none).alias(k) for k in near])
+    cands = candidate_cells(mentions).withColumn("word", entity_word(F.col("entity"))).join(known, "word", "left")
+    named = cands.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("idx", "entity", "p", F.coalesce("emb", F.lit(unknown[UNKNOWN["entity"]])).alias("emb")))).alias("c"))
+    rows = mentions.select("doc_id", "chunk", "mention_ord").join(named, key).join(words, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for c, l, r in zip(*(batch.column(n).to_pylist() for n in ("c", "l", "r"))):
+                left, right = l[-CONTEXT_WORDS:], r[:CONTEXT_WORDS]
+                nearest = left[-PRERANK_WORDS:] + right[:PRERANK_WORDS] or [unknown[UNKNOWN["word"]]]
+                scores = unpacked([x["emb"] for x in c], dim) @ unpacked(nearest, dim).mean(axis=0)
+                kept = [c[k] for k in kept_candidates(scores, keep_context, keep_total)]
+                out.append(([x["entity"] for x in kept], [x["p"] for x in kept], [x["emb"] for x in kept], left + right or [unknown[UNKNOWN["word"]]]))
+            kinds = [pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+            own = [pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)]
+            fixed = [batch.column(n) for n in ("doc_id", "chunk", "mention_ord")]
+            yield pa.RecordBatch.from_arrays([*fixed, *own, *(batch.column(n) for n in sides)], ["doc_id", "chunk", "mention_ord", "names", "prior", "entities", "tokens", *sides])
+
+    kind = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"doc_id {kind['doc_id']}, chunk {kind['chunk']}, mention_ord {kind['mention_ord']}, {FEATURES}")
 
 
 def with_gold(features: DataFrame, gold: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gradients as G
+from .features import unpacked
 
 FAR = 1e10
 TOP_TOKENS, ROUNDS, DAMPING, RELATIONS, HIDDEN = 25, 10, 0.3, 3, 100
@@ -201,20 +202,18 @@ class Adam:
 COLUMNS = ("tokens", "left", "inside", "right", "entities", "prior")
 
 
-def _vectors(values, dim: int) -> np.ndarray:
-    return np.stack([np.asarray(v, float) for v in values]) if values is not None and len(values) else np.zeros((0, dim))
-
-
 def to_chunk(table: pd.DataFrame, width: int, pad_vector: np.ndarray) -> Chunk:
-    """Rows of one chunk, in order, as tensors; candidates are filled up to ``width``."""
+    """Rows of one chunk, in order, as tensors; candidates are filled up to ``width``. Vectors
+    come packed (see ``features.packed``)."""
     dim = len(pad_vector)
-    tokens, token_mask = padded([_vectors(v, dim) for v in table.tokens], dim)
-    near = [padded([_vectors(v, dim) for v in table[n]], dim) for n in ("left", "inside", "right")]
+    lists = {n: [unpacked(None if v is None else list(v), dim) for v in table[n]] for n in ("tokens", "left", "inside", "right", "entities")}
+    tokens, token_mask = padded(lists["tokens"], dim)
+    near = [padded(lists[n], dim) for n in ("left", "inside", "right")]
     n = len(table)
     entities, mask, prior = np.tile(pad_vector, (n, width, 1)), np.zeros((n, width)), np.full((n, width), 1e-8)
-    for k, (own, p) in enumerate(zip(table.entities, table.prior)):
+    for k, (own, p) in enumerate(zip(lists["entities"], table.prior)):
         if len(own):
-            entities[k, : len(own)], mask[k, : len(own)], prior[k, : len(own)] = _vectors(own, dim), 1.0, p
+            entities[k, : len(own)], mask[k, : len(own)], prior[k, : len(own)] = own, 1.0, p
     gold = np.asarray(table.gold, int) if "gold" in table else None
     return Chunk(tokens, token_mask, near, entities, mask, prior, gold)
 

@@ -58,8 +58,8 @@ PUNCTUATION = re.compile(r"[\W_]+")
 FILTER_BITS = 26
 
 
-def _bit(text: str) -> int:
-    return zlib.crc32(text.lower().encode()) & ((1 << FILTER_BITS) - 1)
+def _bit(crc: int) -> int:
+    return crc & ((1 << FILTER_BITS) - 1)
 
 
 class SpellingFilter:
@@ -71,7 +71,7 @@ class SpellingFilter:
 
     @classmethod
     def of(cls, index: DataFrame) -> SpellingFilter:
-        """Every task sends its packed bitmap (8 MiB), one after another."""
+        """Every task sends its bitmap (8 MiB, deflated), one after another."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flags = np.zeros(1 << FILTER_BITS, bool)
@@ -79,24 +79,49 @@ class SpellingFilter:
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     if text:
-                        flags[_bit(text)] = True
+                        flags[_bit(zlib.crc32(text.lower().encode()))] = True
                         words = max(words, len(text.split()))
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), pa.array([words])], ["bits", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(flags, bitorder="little").tobytes(), 1)], pa.binary()), pa.array([words])], ["bits", "words"])
 
         total, words = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 0
-        for row in index.select("mention").coalesce(16).mapInArrow(run, "bits binary, words long").toLocalIterator():
-            total |= np.frombuffer(row.bits, np.uint8)
+        for row in index.select("mention").coalesce(8).mapInArrow(run, "bits binary, words long").toLocalIterator(prefetchPartitions=True):
+            total |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
             words = max(words, row.words)
         return cls(total.tobytes(), words)
 
-    def may_hold(self, text: str) -> bool:
-        k = _bit(text)
+    def may_hold(self, crc: int) -> bool:
+        """Whether a spelling with this checksum of its lower-cased text may be known."""
+        k = _bit(crc)
         return bool(self.bits[k >> 3] >> (k & 7) & 1)
 
 
 STRIPPED = str.maketrans("", "", X.NOISE)
 
 
+def _sizes(tokens: list[str], clean: list[bool], at: int, n: int, passes: SpellingFilter | None) -> Iterator[int]:
+    """Sizes of the n-grams that begin at a token and may be known. A checksum grows with its
+    n-gram, so no text is made for those that are not."""
+    crc, noisy = 0, False
+    for size in range(1, n + 1):
+        k = at + size - 1
+        if k >= len(tokens) or not clean[k]:
+            return
+        if passes is None:
+            yield size
+            continue
+        crc = zlib.crc32((" " + tokens[k] if size > 1 else tokens[k]).lower().encode(), crc)
+        noisy = noisy or not NOISE.isdisjoint(tokens[k])
+        if passes.may_hold(crc):
+            yield size
+        elif noisy:
+            bare = " ".join(tokens[at : k + 1]).translate(STRIPPED).strip(" ")
+            if passes.may_hold(zlib.crc32(bare.lower().encode())):
+                yield size
+
+
+NOISE = frozenset(X.NOISE)
+
+
 def ngrams(sents: DataFrame, n: int = 5, known: SpellingFilter | None = None) -> DataFrame:
     """``doc_id, sent_idx, [carried,] size, start, ngram``: white-space n-grams with offsets in
     their sentence, each once; none holds a punctuation-only token. With a filter only those
@@ -119,20 +144,15 @@ def ngrams(sents: DataFrame, n: int = 5, known: SpellingFilter | None = None) ->
                 starts: list[int] = []
                 texts: list[str] = []
                 for k, sentence in enumerate(part.column("sentence").to_pylist()):
-                    tokens = [(m.start(), m[0]) for m in re.finditer(r"\S+", sentence or "")]
-                    clean = [PUNCTUATION.fullmatch(t) is None for _, t in tokens]
+                    found = [(m.start(), m[0]) for m in re.finditer(r"\S+", sentence or "")]
+                    tokens = [t for _, t in found]
+                    clean = [PUNCTUATION.fullmatch(t) is None for t in tokens]
                     for at in range(len(tokens)):
-                        text = ""
-                        for size in range(1, n + 1):
-                            if at + size > len(tokens) or not clean[at + size - 1]:
-                                break
-                            text = f"{text} {tokens[at + size - 1][1]}" if text else tokens[at][1]
-                            if passes is not None and not (passes.may_hold(text) or passes.may_hold(text.translate(STRIPPED).strip(" "))):
-                                continue
+                        for size in _sizes(tokens, clean, at, n, passes):
                             row.append(k)
                             sizes.append(size)
-                            starts.append(tokens[at][0])
-                            texts.append(text)
+                            starts.append(found[at][0])
+                            texts.append(" ".join(tokens[at : at + size]))
                 index = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(index) for c in carried), pa.array(sizes, pa.int32()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())],

@@ -625,7 +625,8 @@ def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ranker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 16").alias("m"), "embedding")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("emb"))
+    rows = features.packed(vectors).select(F.col("word").cast("long").alias("vec_id"), F.col("emb").alias("embedding")).withColumn("m", F.expr("vec_id div 16"))
     own = rows.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("v")).where(F.size("v") == 16)
     vectors = F.transform("v", lambda x: x["embedding"])
     shaped = own.select(

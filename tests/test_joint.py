@@ -146,14 +146,15 @@ def test_features_by_hand(spark, knowledge):
     found = linker.found_mentions(spark.createDataFrame([(1, PANGRAM)], "doc_id long, text string"))
     rows = {r.mention_ord: r for r in features.mention_features(found.withColumn("chunk", F.lit(0).cast("long")), knowledge.vectors).collect()}
     vectors = {r.word: list(r.emb) for r in knowledge.vectors.collect()}
+    rows = {k: r.asDict() | {n: features.unpacked(list(r[n]), DIM).tolist() for n in ("tokens", "left", "inside", "right", "entities")} for k, r in rows.items()}
     fox = rows[0]
     # "the" and "over" are function words; all others have vectors.
-    assert [list(v) for v in fox.tokens] == [vectors[w] for w in ("quick", "brown", "jumped", "lazy", "dog")]
+    assert fox["tokens"] == [vectors[w] for w in ("quick", "brown", "jumped", "lazy", "dog")]
     near = vectors["#SND/UNK#"]
-    assert [list(v) for v in fox.left] == [near, vectors["quick"], vectors["brown"]] and [list(v) for v in fox.inside] == [vectors["fox"]]
-    assert [list(v) for v in fox.right] == [vectors["jumped"], vectors["over"], near]
-    assert list(fox.names) == ["Fox", "Fox_(band)"] and list(fox.prior) == [0.6, 0.4]
-    assert [list(v) for v in fox.entities] == [vectors["ENTITY/Fox"], vectors["#ENTITY/UNK#"]]
+    assert fox["left"] == [near, vectors["quick"], vectors["brown"]] and fox["inside"] == [vectors["fox"]]
+    assert fox["right"] == [vectors["jumped"], vectors["over"], near]
+    assert fox["names"] == ["Fox", "Fox_(band)"] and fox["prior"] == [0.6, 0.4]
+    assert fox["entities"] == [vectors["ENTITY/Fox"], vectors["#ENTITY/UNK#"]]
 
 
 def test_training_lowers_the_loss_and_learns(spark, knowledge):
