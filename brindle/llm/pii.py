@@ -321,15 +321,25 @@ def teach(proposals: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float
     return score, max(threshold - 0.0005, 0.5)
 
 
+def numbered(kind: int, spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
+def counted() -> list[Column]:
+    """The number of base spans of each kind."""
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
+
+    return [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+
+
 def with_spans(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> DataFrame:
     """``documents`` and ``_base`` (kind number, start, end) and ``_all`` spans, both
     ordered by kind as listed, then start."""
     text = F.coalesce(F.col("text"), F.lit(""))
     learnt = teach(written(proposed(documents), "proposals"), sample_rows, precision)
 
-    def numbered(kind: int, spans: Column) -> Column:
-        return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-
     base = F.concat(*[numbered(k, spans) for k, spans in enumerate(base_spans(text).values())])
     rows = documents.withColumn("_base", base)
     chosen = F.filter(candidates(text), taught)
@@ -367,12 +377,15 @@ def find_personal_data(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, pre
     """``doc_id``, the number of base spans of each kind, ``base_sha256`` of the joined
     base spans, and ``spans``, all spans joined as ``kind:start:end``."""
     rows = with_spans(documents.select("doc_id", "text"), sample_rows, precision)
+    return rows.select("doc_id", *counted(), F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_all").alias("spans"))
 
-    def count(k: int) -> Column:
-        return F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long")
 
-    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
-    return rows.select("doc_id", *counts, F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_all").alias("spans"))
+def base_personal_data(documents: DataFrame) -> DataFrame:
+    """``doc_id``, the number of base spans of each kind, and ``base_sha256``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = documents.select("doc_id", text.alias("text"))
+    rows = rows.select("doc_id", F.concat(*[numbered(k, spans) for k, spans in enumerate(base_spans(F.col("text")).values())]).alias("_base"))
+    return rows.select("doc_id", *counted(), F.sha2(joined("_base"), 256).alias("base_sha256"))
 
 
 def redact(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> DataFrame:
@@ -405,3 +418,27 @@ def redact(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: floa
         kind = dict(documents.dtypes)["n_chars"]
         plain["n_chars"] = F.when(F.col("_changed"), F.length("_text").cast(kind)).otherwise(F.col(inner["n_chars"]))
     return out.select(*[plain.get(c, F.col(inner.get(c, c))).alias(c) for c in names])
+
+
+def _spans_sql(kind: str, pattern: str, valid: str) -> str:
+    """DuckDB SQL of one kind's spans: ``{kind}`` lists ``kind:start:end`` of the valid matches."""
+    start = "list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0)"
+    return f"""{kind} AS (SELECT row_id, list_transform(list_filter(range(1, len(f) + 1), lambda i: {valid}),
+  lambda i: '{kind}:' || CAST(CAST({start} AS BIGINT) AS VARCHAR) || ':' || CAST(CAST({start} + length(f[i]) AS BIGINT) AS VARCHAR)) AS spans
+  FROM (SELECT row_id, regexp_extract_all(text, '{pattern}') AS f, string_split_regex(text, '{pattern}') AS s FROM t))"""
+
+
+_DIGITS = "regexp_replace(f[i], '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(reverse({_DIGITS})[k] AS INTEGER)
+  ELSE CAST(reverse({_DIGITS})[k] AS INTEGER) * 2 - CASE WHEN CAST(reverse({_DIGITS})[k] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+
+BASE_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
+{_spans_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true")},
+{_spans_sql("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(f[i], '.'), lambda x: length(ltrim(x, '0')) > 3 OR TRY_CAST(x AS INTEGER) > 255)) = 0")},
+{_spans_sql("card", "[0-9]([ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}")},
+{_spans_sql("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")}
+SELECT doc_id, CAST(len(email.spans) AS BIGINT) AS n_email, CAST(len(ip.spans) AS BIGINT) AS n_ip, CAST(len(card.spans) AS BIGINT) AS n_card, CAST(len(phone.spans) AS BIGINT) AS n_phone,
+  sha256(array_to_string(email.spans || ip.spans || card.spans || phone.spans, ',')) AS base_sha256
+FROM t JOIN email USING (row_id) JOIN ip USING (row_id) JOIN card USING (row_id) JOIN phone USING (row_id)
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bagminhash, cascade, chat, decontam, piecescan, pii, tokencount, toxicity, urlrules, warc
 
@@ -55,6 +56,17 @@ def op10_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecescan.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def url_parts_and_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op2_url_rules`` fixes: host, path and explicit rule of every page."""
+    parts = urlrules.with_parts(_table(spark, sf_dir, "pages"))
+    return parts.select("page_id", "host", "path", urlrules.explicit_rule(F.col("host"), F.col("path"), urlrules.RULES)[0].alias("rule"))
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op5_personal_data`` fixes: the base spans of every document."""
+    return pii.base_personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_chat_perspectives,
     op2_url_rules,
@@ -66,6 +78,8 @@ QUERIES = (
     op8_toxicity,
     op9_token_counts,
     op10_piece_scan,
+    url_parts_and_rules,
+    base_personal_data,
 )
 
 
@@ -78,4 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_perspectives": chat.ORACLE_SQL,
         "op3_warc_merge": warc.ORACLE_SQL,
         "op4_quality_cascade": cascade.ORACLE_SQL,
+        "url_parts_and_rules": urlrules.PARTS_SQL,
+        "base_personal_data": pii.BASE_SQL,
     }
