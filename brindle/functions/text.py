@@ -149,19 +149,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda x: x / total)
-
-
-def log_softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    total = F.log(F.aggregate(F.transform(scores, lambda x: F.exp(x - top)), F.lit(0.0), lambda acc, x: acc + x))
-    return F.transform(scores, lambda x: x - top - total)
-
-
 def tail(array: Column, n: int) -> Column:
     """The last ``n`` elements, all where there are fewer."""
     return F.slice(array, F.greatest(F.lit(1), F.size(array) - (n - 1)), n)

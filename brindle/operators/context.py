@@ -59,7 +59,7 @@ def coreferent_candidates(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     """
     named = persons.select(F.col("name").alias("_person")).distinct()
     rows = mentions.select("doc_id", "mention_ord", F.lower("mention").alias("m"), "cands")
-    people = rows.join(named, F.col("cands")[0]["entity"] == F.col("_person"), "left_semi")
+    people = rows.join(named, F.get("cands", F.lit(0))["entity"] == F.col("_person"), "left_semi")
     a = rows.withColumn("word", F.split("m", " ")[0]).alias("a")
     b = people.withColumn("word", F.explode(F.array_distinct(F.split("m", " ")))).alias("b")
     at = F.expr("locate(a.m, b.m)")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-KEEP_CONTEXT, KEEP_TOTAL, MAX_CANDIDATES = 3, 7, 30
+KEEP_CONTEXT, KEEP_TOTAL = 3, 7
 
 
 def unknown_vectors(vectors: DataFrame, kind: str = "kind") -> DataFrame:
@@ -22,12 +22,6 @@ def unknown_vectors(vectors: DataFrame, kind: str = "kind") -> DataFrame:
     return each.groupBy(kind).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("emb"))
 
 
-def with_vectors(rows: DataFrame, vectors: DataFrame, key: str, unknown: Column | None = None) -> DataFrame:
-    """Adds ``emb`` by key; the given unknown vector where there is none."""
-    joined = rows.join(vectors.select(F.col("word").alias(key), "emb"), key, "left")
-    return joined if unknown is None else joined.withColumn("emb", F.coalesce("emb", unknown))
-
-
 def appended_vectors(vectors: DataFrame, more: DataFrame) -> DataFrame:
     """The vectors and those of ``more`` whose words are new."""
     return vectors.select("word", "emb").unionByName(more.join(vectors.select("word"), "word", "left_anti").select("word", "emb"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import context, counts, features, joint, kb, markup, mentions, pem, ranking, results, wikitext
 from ..sources import readers
-from . import disambiguation, linking
+from . import disambiguation, knowledge, linking
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,6 +225,43 @@ def monotone_doc_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.running_documents(lines, ["event_id"], "shard").select("event_id", "doc_id")
 
 
+_KB = f"""{_LINKS},
+titled AS (SELECT mention, replace(entity, '_', ' ') AS title FROM named),
+moved AS (SELECT mention, CASE WHEN length(title) % 5 = 0 THEN 'The' ELSE title END AS title FROM titled),
+known AS (SELECT DISTINCT title FROM moved),
+n AS (SELECT mention, replace(m.title, ' ', '_') AS entity, count(*) AS cnt FROM moved m GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY cnt DESC, entity) AS r FROM n),
+tp AS (SELECT mention, entity, cnt / sum(cnt) OVER (PARTITION BY mention) AS p FROM rk WHERE r <= 100),
+words AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS mention FROM benchmark),
+pairs AS (SELECT DISTINCT mention, CASE WHEN length(e) % 5 = 0 THEN 'The' ELSE e END AS title FROM (
+  SELECT mention, unnest([replace(upper(mention[1:1]), 'ẞ', 'SS') || mention[2:], 'The']) AS e FROM words)),
+pr AS (SELECT mention, replace(title, ' ', '_') AS entity, 1.0::DOUBLE / count(*) OVER (PARTITION BY mention) AS prior FROM pairs WHERE title IN (SELECT title FROM known)),
+has AS (SELECT DISTINCT mention FROM tp),
+mg AS (SELECT coalesce(t.mention, r.mention) AS mention, coalesce(t.entity, r.entity) AS entity,
+  CASE WHEN r.prior IS NULL THEN t.p WHEN h.mention IS NOT NULL THEN round_even(least(1.0, coalesce(t.p, 0) + r.prior), 3) ELSE r.prior END AS p
+  FROM tp t FULL JOIN pr r ON t.mention = r.mention AND t.entity = r.entity LEFT JOIN has h ON h.mention = coalesce(t.mention, r.mention)),
+fq AS (SELECT mention, CAST(sum(c) AS BIGINT) AS freq FROM (SELECT mention, sum(cnt) AS c FROM n GROUP BY 1 UNION ALL SELECT DISTINCT mention, 1 FROM pr) GROUP BY 1)
+"""
+
+
+@query(f"WITH {_KB} SELECT mg.mention, lower(mg.mention) AS lower, freq, entity, round(p, 9) AS p FROM mg JOIN fq ON mg.mention = fq.mention")
+def kb_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, redirects, known titles, counts, prior and index in one plan."""
+    pages = table(spark, sf_dir, "pages")
+    titles = linking.page_links(pages).select(F.replace("entity", F.lit("_"), F.lit(" ")).alias("name")).distinct()
+    moved = titles.where("length(name) % 5 = 0").select(F.lit(0).alias("ord"), F.col("name").alias("from_title"), F.lit("The").alias("to_title"), F.lit(None).cast("long").alias("from_id"))
+    names = titles.where("length(name) % 5 <> 0").union(spark.sql("SELECT 'The'")).distinct().select(F.crc32("name").alias("ord"), "name", F.xxhash64("name").alias("id"))
+    dimensions = disambiguation.Dimensions(names.select("id").limit(0), moved, names)
+    lines = linking.page_lines(pages).withColumn("line", F.regexp_replace("line", '<a href="/', '<a href="'))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("mention")).distinct()
+    title = F.explode(F.array(X.first_upper(F.col("mention")), F.lit("The")))
+    redirected = words.select("mention", title.alias("entity")).withColumn("entity", F.when(F.length("entity") % 5 == 0, "The").otherwise(F.col("entity")))
+    prior = knowledge.known_pairs(redirected, dimensions)
+    index = knowledge.build_index([knowledge.link_counts(lines, dimensions, ["page_id", "ord"])], prior)
+    each = index.select("mention", "lower", "freq", F.explode("cands").alias("c"))
+    return each.select("mention", "lower", "freq", F.col("c.entity").alias("entity"), F.round("c.p", 9).alias("p"))
+
+
 # Vectors ------------------------------------------------------------------------------
 
 _KIND = "CASE WHEN label < 5 THEN 'entity' ELSE 'word' END"
@@ -410,7 +447,7 @@ def candidate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = linking.page_links(pages).select(F.lower("mention").alias("mention")).union(spark.sql("SELECT 'nowhere'")).distinct()
     index = linking.page_index(pages)
     listed = mentions.candidate_lists(asked, index).join(index.select("mention", "freq"), "mention")
-    return listed.select("mention", F.col("cands")[0]["entity"].alias("entity"), F.round(mentions.clamp(F.col("cands")[0]["p"]), 9).alias("p"), "freq")
+    return listed.select("mention", F.get("cands", F.lit(0))["entity"].alias("entity"), F.round(mentions.clamp(F.get("cands", F.lit(0))["p"]), 9).alias("p"), "freq")
 
 
 @query(r"""WITH s AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '[^\s]+') AS w FROM conversations),

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,7 @@ class Linker:
     parameters: joint.Parameters
     calibration: tuple[float, float] | None = None
     config: dict[str, Any] = field(default_factory=settings)
+    persisted: list[DataFrame] = field(default_factory=list, compare=False)
 
     @classmethod
     def load(cls, spark: SparkSession, kb_base: str, model_path: str, config: Mapping[str, Any] = {}) -> Linker:
@@ -114,11 +116,21 @@ class Linker:
         numbered = listed.withColumn("mention_ord", mentions.place_number("doc_id", "pos", "end"))
         return context.mention_contexts(numbered, sents, self.config["context_words"])
 
+    def _kept(self, frame: DataFrame) -> DataFrame:
+        """A frame that several later steps read: persisted (on executors, spilling to their
+        disks; a lost part is computed again) until ``release``."""
+        self.persisted.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
+        return frame
+
+    def release(self) -> None:
+        while self.persisted:
+            self.persisted.pop().unpersist()
+
     def predict(self, found: DataFrame) -> DataFrame:
         """``doc_id, mention_ord, entity, conf_ed, names, scores`` of mentions with contexts
         and candidates: coreference, features, joint scores, decision."""
-        rows = context.document_chunks(self._coreferent(found), self.config["chunk_mentions"])
-        inputs = features.mention_features(rows, self.kb.vectors, self.config["keep_context"], self.config["keep_total"])
+        rows = self._kept(context.document_chunks(self._coreferent(found), self.config["chunk_mentions"]))
+        inputs = self._kept(features.mention_features(rows, self.kb.vectors, self.config["keep_context"], self.config["keep_total"]))
         width = self.config["keep_total"]
         scored = joint.joint_scores(inputs, self.parameters, self.kb.unknown_entity(), width)
         both = inputs.select("doc_id", "mention_ord", "names").join(scored, ["doc_id", "mention_ord"])
@@ -143,6 +155,7 @@ class Linker:
 
     def results(self, found: DataFrame) -> DataFrame:
         """Result rows of mentions; those that end as ``NIL`` are left out."""
+        found = self._kept(found)
         return results.shape_results(found.withColumn("ngram", F.col("surface")), self.predict(found).select("doc_id", "mention_ord", "entity", "conf_ed"))
 
     def answer(self, docs: DataFrame) -> DataFrame:
@@ -170,7 +183,9 @@ class Linker:
         rows = self.training_rows(gold).cache()
         try:
             def f1(parameters: joint.Parameters) -> float:
-                own = Linker(self.kb, parameters, None, self.config).evaluate(development.withColumn("dataset", F.lit("dev"))).first()
+                linker = Linker(self.kb, parameters, None, self.config)
+                own = linker.evaluate(development.withColumn("dataset", F.lit("dev"))).first()
+                linker.release()
                 return 0.0 if own is None or own.f1 is None else float(own.f1)
 
             parameters, best, _ = joint.train(rows, self.parameters, self.kb.unknown_entity(), f1, schedule, self.config["keep_total"])

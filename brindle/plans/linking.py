@@ -32,7 +32,7 @@ def link_documents(docs: DataFrame, index: DataFrame, n: int = 3) -> DataFrame:
     """Documents -> sentences -> n-gram mentions -> candidates -> best prior -> results."""
     found = mentions.ngram_mentions(docs, index, n)
     listed = mentions.candidate_lists(found, index)
-    best = listed.withColumn("entity", F.col("cands")[0]["entity"]).withColumn("conf_ed", mentions.clamp(F.col("cands")[0]["p"]))
+    best = listed.withColumn("entity", F.get("cands", F.lit(0))["entity"]).withColumn("conf_ed", mentions.clamp(F.get("cands", F.lit(0))["p"]))
     return best.select("doc_id", F.col("pos").alias("start"), F.length("surface").alias("length"), F.col("surface").alias("ngram"), "entity", "conf_ed", F.col("freq").cast("double").alias("conf_md"), "tag")
 
 
@@ -48,8 +48,8 @@ def answer(docs: DataFrame, index: DataFrame) -> DataFrame:
     spelled = mentions.spelling_lookup(given, index)
     listed = mentions.candidate_lists(given.join(spelled, "surface"), index)
     placed = listed.select(
-        "doc_id", "start", "length", F.col("surface").alias("ngram"), F.col("cands")[0]["entity"].alias("entity"),
-        mentions.clamp(F.col("cands")[0]["p"]).alias("conf_ed"), F.lit(None).cast("double").alias("conf_md"), F.lit("NULL").alias("tag"),
+        "doc_id", "start", "length", F.col("surface").alias("ngram"), F.get("cands", F.lit(0))["entity"].alias("entity"),
+        mentions.clamp(F.get("cands", F.lit(0))["p"]).alias("conf_ed"), F.lit(None).cast("double").alias("conf_md"), F.lit("NULL").alias("tag"),
     )
     bodies = results.response(free.unionByName(placed))
     return docs.select("doc_id").join(bodies, "doc_id", "left").select("doc_id", F.coalesce("body", F.lit("[]")).alias("body"))

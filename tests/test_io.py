@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import corpora, joint, markup, ranking, taggers, wikitext
 from brindle.operators.results import relocated
-from brindle.plans import linking
+from brindle.plans import disambiguation, knowledge, linking
 from brindle.sources import readers, services, sinks
 from brindle.streaming import linking as stream
 
@@ -107,6 +107,23 @@ def test_anchor_lines(spark, tmp_path):
     assert [r.entity for r in pem.top_entities(counts.pair_counts(seen)).orderBy("rank").collect()] == ["a", "b"]
 
 
+def test_knowledge_base_from_files(spark, tmp_path):
+    """Dimensions in their order, links with two redirects, cross counts, a prior, the index."""
+    for name, text in (("disambiguation", "7\tB (disambiguation)\n"), ("redirects", "Nyc\tBig apple\nBig apple\tNew York\nOld\tParis\t90\n"), ("names", "New%20York\t1\nB\t7\nParis\t2\n")):
+        (tmp_path / name).write_text(text)
+    dimensions = disambiguation.Dimensions.load(spark, f"{tmp_path}/")
+    lines = spark.createDataFrame([(0, '<a href="nyc">ny</a> <a href="New_York">ny</a> <a href="Paris">ny</a> <a href="B">ny</a> <a href="List of x">l</a> <a href="wikt:Paris">p</a>')], "ord int, line string")
+    links = knowledge.link_counts(lines, dimensions, ["ord"])
+    assert {(r.mention, r.entity): r.cnt for r in links.collect()} == {("ny", "New_York"): 2, ("ny", "Paris"): 1, ("p", "Paris"): 1}
+    cross = knowledge.cross_counts(spark.createDataFrame([("ny\t9\t1,4\t90,5\t55,1",)], "line string"), dimensions)
+    assert {(r.mention, r.entity): r.cnt for r in cross.collect()} == {("ny", "New_York"): 4, ("ny", "Paris"): 5}
+    prior = knowledge.known_pairs(spark.createDataFrame([("ny", "nyc"), ("only", "Paris"), ("only", "Nowhere")], "mention string, entity string"), dimensions)
+    index = {r.mention: r for r in knowledge.build_index([links, cross], prior).collect()}
+    # The prior's title is redirected once only, to a title that is not known.
+    assert [(c.entity, round(c.p, 3)) for c in index["ny"].cands] == [("New_York", 0.5), ("Paris", 0.5)] and index["ny"].freq == 12
+    assert [tuple(c) for c in index["only"].cands] == [("Paris", 1.0)] and index["only"].freq == 1
+
+
 def test_long_ragged_lines(spark):
     pairs = "\t".join(f"{k},1" for k in range(3000))
     lines = spark.createDataFrame([(f"m\t3000\t{pairs}",), ("n\t1",), ("Wikipedia\t1\t5,5",)], "line string")
