@@ -592,11 +592,14 @@ def test_letters_of_other_scripts():
 def test_best_cut():
     clean, toxic = np.zeros(101), np.zeros(101)
     clean[[0, 30, 40]], toxic[[0, 60, 80]] = [50, 5, 5], [1, 5, 5]
-    assert toxicity.best_cut(clean, toxic) == 0.505  # the middle of 0.41 and 0.60
+    assert toxicity.best_cut(clean, toxic) == 0.4575  # a quarter of the way from 0.41 to 0.60
     assert toxicity.best_cut(clean, 0 * toxic) == 0.5
 
 
 def test_scores_of_odd_rows(odd_documents, labels):
-    assert toxicity.score_toxicity(odd_documents, labels).count() == odd_documents.count()
+    rows = toxicity.score_toxicity(odd_documents, labels).collect()
+    assert len(rows) == odd_documents.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    assert all(r.score == 0 for r in rows if r.doc_id in (2, 3, 4)) and len({r.score for r in rows if r.doc_id == 0}) == 1
+    assert not any(r.held_out for r in rows if r.doc_id is None)
     assert toxicity.score_toxicity(odd_documents.limit(0), labels).count() == 0
     assert toxicity.score_toxicity(odd_documents, labels.limit(0)).where("predicted = 1").count() == 0
