@@ -27,7 +27,7 @@ most one row a node; links within one class are not tested again. So n near copi
 text cost n comparisons, not n^2. No cap is set on group sizes.
 
 Classes are the connected components of the links, found by alternating large-star
-and small-star steps with a reliable checkpoint each; nothing is collected.
+and small-star steps each written to the shared folder; nothing is collected.
 
 Defined results: null and empty texts, and those of white space only, have no
 shingles and equal nothing (each row is its own class); texts below five words are
@@ -48,13 +48,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import checkpointed, plain_columns, sized, small_batches, written
+from .shared import plain_columns, sized, small_batches, written
 
 U64 = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
-BLOCK_NODES, BLOCK_BYTES = 256, 8 << 20
+BLOCK_NODES, BLOCK_BYTES = 128, 8 << 20
+# Joins over nodes and links ask for sort-merge: both sides grow with the data, and the many
+# small broadcasts that small tables would get fill the driver's memory.
+
 #: Standard deviations of register agreement below the threshold that still pass.
 SLACK = 5.0
 #: Parts of a group, by number of the node, when members meet the sizes of large groups.
@@ -328,12 +331,12 @@ def hub_members(nodes: DataFrame) -> DataFrame:
     """``hub, id``: all nodes of the buckets of one hub. ``nodes`` has ``id, bands``."""
     placed = nodes.select("id", F.explode("bands").alias("band"))
     full = placed.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
-    mates = written(placed.join(full, "band"), "bucket-mates")
+    mates = written(placed.join(full.hint("merge"), "band"), "bucket-mates")
     degree = mates.groupBy("id").agg(F.sum("mates").alias("degree"))
-    by_degree = mates.select("band", "id").join(degree, "id")
+    by_degree = mates.select("band", "id").join(degree.hint("merge"), "id")
     most = by_degree.groupBy("band").agg(F.max("degree").alias("degree"))
-    hubs = by_degree.join(most, ["band", "degree"]).groupBy("band").agg(F.max("id").alias("hub"))
-    return mates.select("band", "id").join(hubs, "band").select("hub", "id").distinct()
+    hubs = by_degree.join(most.hint("merge"), ["band", "degree"]).groupBy("band").agg(F.max("id").alias("hub"))
+    return mates.select("band", "id").join(hubs.hint("merge"), "band").select("hub", "id").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -344,9 +347,9 @@ def components(links: DataFrame) -> DataFrame:
 
     def star(pairs: DataFrame) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("low"))
-        return pairs.join(least, "u")
+        return pairs.join(least.hint("merge"), "u")
 
-    edges = checkpointed(links.where("a != b").distinct())
+    edges = written(links.where("a != b").distinct(), "edges")
     seen = None
     while True:
         large = star(both(edges)).where("v > u").select(F.col("v").alias("a"), F.col("low").alias("b"))
@@ -354,7 +357,7 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         starred = star(down)
         small = starred.select(F.col("v").alias("a"), F.col("low").alias("b")).union(starred.select(F.col("u").alias("a"), F.col("low").alias("b")))
-        edges = checkpointed(small.where("a != b").distinct())
+        edges = written(small.where("a != b").distinct(), "edges")
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == seen:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -364,12 +367,12 @@ def components(links: DataFrame) -> DataFrame:
 def open_links(members: DataFrame, nodes: DataFrame, documents: DataFrame, similarity: float, shingle: int, known: bool) -> DataFrame:
     """Links (``a, b``) of every open member of ``members`` (``hub, id, open``) with the
     members of its group."""
-    signed = members.join(nodes.select("id", "weight", "registers"), "id").withColumn("cost", F.lit(2 * REGISTERS))
+    signed = members.join(nodes.select("id", "weight", "registers").hint("merge"), "id").withColumn("cost", F.lit(2 * REGISTERS))
     pairs = block_pairs(signed, "cost").select("hub", "i", "j", "block", "id", "weight", "registers")
     likely = written(pairs.mapInArrow(lambda x: similar_nodes(x, similarity), "hub long, id long").distinct(), "likely-nodes")
-    wanted = sized(likely.select("id").distinct().join(nodes.select("id", "node"), "id"))
+    wanted = sized(likely.select("id").distinct().join(nodes.select("id", "node").hint("merge"), "id"))
     texts = documents.select(F.unhex(F.md5("text")).alias("node"), "text").join(wanted, "node").dropDuplicates(["id"])
-    full = members.join(likely, ["hub", "id"]).join(nodes.select("id", "weight", "registers"), "id").join(bags(texts, shingle), "id")
+    full = members.join(likely.hint("merge"), ["hub", "id"]).join(nodes.select("id", "weight", "registers").hint("merge"), "id").join(bags(texts, shingle).hint("merge"), "id")
     full = full.withColumn("cost", F.octet_length("grams") + F.octet_length("counts"))
     pairs = block_pairs(full, "cost").select("hub", "i", "j", "block", "id", "open", "weight", "registers", "grams", "counts")
     return written(pairs.mapInArrow(lambda x: verified_links(x, similarity, known), "a long, b long"), "links")
@@ -385,15 +388,15 @@ def _classes(documents: DataFrame, similarity: float, shingle: int) -> DataFrame
     members = written(hub_members(nodes), "hub-members")
     stars = open_links(members.withColumn("open", F.expr("id = hub")), nodes, documents, similarity, shingle, known=False)
     joined = stars.select(F.explode(F.array(F.struct(F.col("a").alias("hub"), F.col("b").alias("id")), F.struct(F.col("b").alias("hub"), F.col("a").alias("id")))).alias("x")).select("x.*").distinct()
-    rest = members.join(joined.withColumn("met", F.lit(True)), ["hub", "id"], "left").select("hub", "id", F.expr("met IS NULL AND id != hub").alias("open"))
+    rest = members.join(joined.withColumn("met", F.lit(True)).hint("merge"), ["hub", "id"], "left").select("hub", "id", F.expr("met IS NULL AND id != hub").alias("open"))
     links = stars.unionByName(open_links(rest, nodes, documents, similarity, shingle, known=True))
     roots = components(links)
-    linked = nodes.select("id", "node").join(roots, "id", "left").select("node", F.coalesce("root", "id").alias("root")).join(first, "node")
+    linked = nodes.select("id", "node").join(roots.hint("merge"), "id", "left").select("node", F.coalesce("root", "id").alias("root")).join(first.hint("merge"), "node")
     least = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = linked.join(least, "root").select("node", "root", "class_id")
+    named = linked.join(least.hint("merge"), "root").select("node", "root", "class_id")
     return (
         signed.select("doc_id", "node")
-        .join(named, "node", "left")
+        .join(named.hint("merge"), "node", "left")
         .withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
     )
 
