@@ -35,9 +35,9 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +45,11 @@ from pyspark.sql import functions as F
 from .shared import small_batches, written
 from .tokencount import balanced
 
+if TYPE_CHECKING:  # pandas is loaded in the functions that need it, not in every worker
+    import pandas as pd
+
 CHUNK_CHARS = 32_768
-MEMO_WORDS = 100_000
+MEMO_WORDS = 60_000
 #: Matrices that one task multiplies in a round.
 FAN = 16
 WORD = re.compile(r" *[^ ]+| +")
@@ -350,6 +353,7 @@ _MATRICES = "digest string, k long, entries array<long>, exits array<long>, matr
 
 def _products(matrices: DataFrame, fan: int) -> DataFrame:
     """The products of every ``fan`` neighbours of a document."""
+    import pandas as pd
 
     def run(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         entries, exits, matrix = product(_group(table.sort_values("k")))
@@ -362,6 +366,7 @@ def _products(matrices: DataFrame, fan: int) -> DataFrame:
 def _ends(matrices: DataFrame, bounds: DataFrame | None, fan: int) -> DataFrame:
     """``digest, k, entry, exit``: the states at both ends of each chunk. ``bounds`` has
     those of every ``fan`` neighbours together; without it a group is a whole document."""
+    import pandas as pd
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,9 +11,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Whole texts travel in them, so the default of 10,000 rows would
-#: hold tens of MB a task several times over, in the JVM and in Python.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch, whichever is reached first. Whole texts travel in them,
+#: so the defaults would hold tens of MB a task several times over, in the JVM and in Python.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 #: Rows (of an id and a digest) up to which a side is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -95,13 +96,15 @@ def plain_columns(frame: DataFrame, *kept: str) -> tuple[DataFrame, Callable[[Da
     return plain, lambda out: out.select(*[F.col(inner.get(c, c)).alias(c) for c in names])
 
 
-def small_batches(frame: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+def small_batches(frame: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
     """Bounds the session's Arrow batches for functions over whole texts; the frame as it is.
 
-    The setting is read when a plan runs, so it stays; a smaller one is kept.
+    The settings are read when a plan runs, so they stay; smaller ones are kept.
     """
     conf = frame.sparkSession.conf
-    now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if not 0 < now <= rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", conf.get(key))
+        if now is None or not 0 < int(now[1]) <= most:
+            conf.set(key, str(most))
     return frame
