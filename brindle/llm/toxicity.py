@@ -17,9 +17,9 @@
    training rows count.
 4. A document's score comes from the mean weight of its ``TOP`` strongest features, or
    of all windows of a word of two to four letters (fewer than ``TOP``) where that is more.
-   On a sample of the training rows (about ``CALIBRATION_ROWS``, by hash) the mean is
-   found that parts toxic from clean rows best, precision counting twice as much as
-   recall; it becomes the decision threshold, so that scores mean the same on any table.
+   On all training rows the mean is found that parts toxic from clean rows best,
+   precision counting twice as much as recall; it becomes the decision threshold, so
+   that scores mean the same on any table.
 
 The language model and the feature table have fixed size bounds (27^4 cells; 27^5 and
 4 times 2^22 cells, words and beginnings by hash); only they reach the driver.
@@ -61,7 +61,6 @@ HASHED = 1 << 22
 CELLS = CELLS5 + 4 * HASHED
 WORD_LETTERS, BEGINNING, BEGINNING_OF = 4, 6, 5
 THRESHOLD, TOP = 0.3, 3
-CALIBRATION_ROWS = 20_000
 GRID = 100  # steps of the means that may become the decision threshold
 #: Training labels are broadcast up to these bytes, else joined by a shuffle.
 LABEL_BYTES = 32 << 20
@@ -512,12 +511,11 @@ def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
     return (3 * best[0] + best[-1]) / 4 / GRID
 
 
-def calibrate(rows: DataFrame, n: int, model: np.ndarray, known: np.ndarray, weights: np.ndarray) -> float:
-    """The cut on a sample of the ``n`` training rows."""
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // CALIBRATION_ROWS)))) == 0
-    sample = evidence(rows.where(share), model, known, weights, "toxic")
+def calibrate(rows: DataFrame, model: np.ndarray, known: np.ndarray, weights: np.ndarray) -> float:
+    """The cut on all training rows; only the counts of the steps reach the driver."""
+    judged = evidence(rows, model, known, weights, "toxic")
     steps = np.zeros((2, GRID + 1))
-    for row in sample.groupBy(F.floor(F.col("evidence") * GRID).cast("int").alias("step"), F.expr("int(toxic = 1)").alias("toxic")).count().collect():
+    for row in judged.groupBy(F.floor(F.col("evidence") * GRID).cast("int").alias("step"), F.expr("int(toxic = 1)").alias("toxic")).count().collect():
         steps[row.toxic, row.step] = row["count"]
     return best_cut(*steps)
 
@@ -525,9 +523,9 @@ def calibrate(rows: DataFrame, n: int, model: np.ndarray, known: np.ndarray, wei
 def score_toxicity(documents: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document, and ``carry`` columns."""
     model = language_model(documents)
-    rows, n = training_rows(documents, labels)
+    rows, _ = training_rows(documents, labels)
     known, weights = feature_table(rows, model)
-    cut = calibrate(rows, n, model, known, weights) if len(known) else 0.5
+    cut = calibrate(rows, model, known, weights) if len(known) else 0.5
     documents = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *[c for c in carry if c != "text"])
     scored = evidence(documents, model, known, weights, "doc_id", "held_out", *carry)
     mean = F.col("evidence")

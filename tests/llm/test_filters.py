@@ -596,6 +596,17 @@ def test_best_cut():
     assert toxicity.best_cut(clean, 0 * toxic) == 0.5
 
 
+def test_the_cut_comes_from_all_training_rows(spark, monkeypatch):
+    """More rows than the 20,000 that a sample once had; the counts of all reach the cut."""
+    frame = spark.range(30_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'wretch', 'friend') AS text")
+    marks = frame.selectExpr("doc_id", "1 AS quality", "int(doc_id % 3 = 0) AS toxic")
+    seen, cut = [], toxicity.best_cut
+    monkeypatch.setattr(toxicity, "best_cut", lambda clean, toxic: seen.append((clean.sum(), toxic.sum())) or cut(clean, toxic))
+    toxicity.score_toxicity(frame, marks)
+    want = marks.where(~toxicity.held_out(F.col("doc_id"))).groupBy().agg(F.count_if(F.col("toxic") == 0), F.sum("toxic")).first()
+    assert seen == [tuple(want)] and sum(want) > 20_000
+
+
 def test_scores_of_odd_rows(odd_documents, labels):
     rows = toxicity.score_toxicity(odd_documents, labels).collect()
     assert len(rows) == odd_documents.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
