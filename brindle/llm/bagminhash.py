@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import plain_columns, sized, small_batches, written
+from .shared import plain_columns, sized, small_batches, thrifty, written
 
 U64 = np.uint64
 SHINGLE, SIMILARITY = 5, 0.8
@@ -162,7 +162,7 @@ def signatures(documents: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
                     ["doc_id", "node", "weight", "registers", "bands"],
                 )
     kind = documents.select("doc_id").dtypes[0][1]
-    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, weight long, registers binary, bands array<long>")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(thrifty(run), f"doc_id {kind}, node binary, weight long, registers binary, bands array<long>")
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -295,7 +295,7 @@ def bags(texts: DataFrame, shingle: int) -> DataFrame:
                     ["id", "grams", "counts"],
                 )
 
-    return small_batches(texts).select("id", "text").mapInArrow(run, "id long, grams binary, counts binary")
+    return small_batches(texts).select("id", "text").mapInArrow(thrifty(run), "id long, grams binary, counts binary")
 
 
 def block_pairs(members: DataFrame, cost: str) -> DataFrame:
@@ -369,13 +369,13 @@ def open_links(members: DataFrame, nodes: DataFrame, documents: DataFrame, simil
     members of its group."""
     signed = members.join(nodes.select("id", "weight", "registers").hint("merge"), "id").withColumn("cost", F.lit(2 * REGISTERS))
     pairs = block_pairs(signed, "cost").select("hub", "i", "j", "block", "id", "weight", "registers")
-    likely = written(pairs.mapInArrow(lambda x: similar_nodes(x, similarity), "hub long, id long").distinct(), "likely-nodes")
+    likely = written(pairs.mapInArrow(thrifty(lambda x: similar_nodes(x, similarity)), "hub long, id long").distinct(), "likely-nodes")
     wanted = sized(likely.select("id").distinct().join(nodes.select("id", "node").hint("merge"), "id"))
     texts = documents.select(F.unhex(F.md5("text")).alias("node"), "text").join(wanted, "node").dropDuplicates(["id"])
     full = members.join(likely.hint("merge"), ["hub", "id"]).join(nodes.select("id", "weight", "registers").hint("merge"), "id").join(bags(texts, shingle).hint("merge"), "id")
     full = full.withColumn("cost", F.octet_length("grams") + F.octet_length("counts"))
     pairs = block_pairs(full, "cost").select("hub", "i", "j", "block", "id", "open", "weight", "registers", "grams", "counts")
-    return written(pairs.mapInArrow(lambda x: verified_links(x, similarity, known), "a long, b long"), "links")
+    return written(pairs.mapInArrow(thrifty(lambda x: verified_links(x, similarity, known)), "a long, b long"), "links")
 
 
 def _classes(documents: DataFrame, similarity: float, shingle: int) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .pii import let
-from .shared import plain_columns, sized, small_batches, written
+from .shared import plain_columns, sized, small_batches, thrifty, written
 
 U64 = np.uint64
 WINDOW, COVERAGE, PASSAGE_WORDS = 5, 0.8, 13
@@ -232,7 +232,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
     kind = benchmark.select("item_id").dtypes[0][1]
     return benchmark.select("item_id", "text").mapInArrow(
-        run, f"item_id {kind}, item_windows long, item_words long, window long, item_place long, item_slots array<long>"
+        thrifty(run), f"item_id {kind}, item_windows long, item_words long, window long, item_place long, item_slots array<long>"
     )
 
 
@@ -275,7 +275,7 @@ def window_bitmap(items: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     total = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in items.select("window").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in items.select("window").coalesce(16).mapInArrow(thrifty(run), "bits binary").toLocalIterator():
         total |= np.frombuffer(row.bits, np.uint8)
     return total
 
@@ -319,7 +319,7 @@ def candidate_windows(documents: DataFrame, bitmap: np.ndarray, short_words: set
                 )
 
     kind = documents.select("doc_id").dtypes[0][1]
-    return small_batches(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest binary, window long, place long, slots array<long>")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(thrifty(run), f"doc_id {kind}, digest binary, window long, place long, slots array<long>")
 
 
 def _agreeing(windows: str) -> Column:

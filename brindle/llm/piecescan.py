@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import small_batches, thrifty, written
 from .tokencount import balanced
 
 if TYPE_CHECKING:  # pandas is loaded in the functions that need it, not in every worker
@@ -310,7 +310,7 @@ def _chunks(giants: DataFrame, vocabulary: str, chunk_chars: int) -> DataFrame:
                     ["digest", "k", "last", "before", "body", "after"],
                 )
 
-    return giants.select("digest", "text").mapInArrow(run, "digest string, k long, last boolean, before string, body string, after string")
+    return giants.select("digest", "text").mapInArrow(thrifty(run), "digest string, k long, last boolean, before string, body string, after string")
 
 
 def _matrices(chunks: DataFrame, vocabulary: str) -> DataFrame:
@@ -327,7 +327,7 @@ def _matrices(chunks: DataFrame, vocabulary: str) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds[i]) for i in range(5)], ["digest", "k", "entries", "exits", "matrix"])
 
-    return chunks.select("digest", "k", "last", "before", "body", "after").mapInArrow(run, _MATRICES)
+    return chunks.select("digest", "k", "last", "before", "body", "after").mapInArrow(thrifty(run), _MATRICES)
 
 
 def _flat(states: list[State]) -> list[int]:
@@ -408,7 +408,7 @@ def _encode_giants(giants: DataFrame, vocabulary: str, chunk_chars: int) -> Data
                 ids.append(backtrace(pieces, text, start, start + len(body), tuple(entry), tuple(exit_), last))
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["digest", "k", "ids"])
 
-    traced = chunks.join(states, ["digest", "k"]).mapInArrow(run, "digest string, k long, ids array<int>")
+    traced = chunks.join(states, ["digest", "k"]).mapInArrow(thrifty(run), "digest string, k long, ids array<int>")
     ordered = F.sort_array(F.collect_list(F.struct("k", "ids")))
     return traced.groupBy("digest").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 
@@ -441,11 +441,11 @@ def encode(documents: DataFrame, vocabulary: str, chunk_chars: int = CHUNK_CHARS
             back = [pieces.comes_back(i, t) for i, t in zip(batch.column("ids").to_pylist(), batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("ids"), pa.array(back, pa.bool_())], ["digest", "ids", "round_trip"])
 
-    short = rows.where(~giant).mapInArrow(run, f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean")
+    short = rows.where(~giant).mapInArrow(thrifty(run), f"doc_id {kind}, n_pieces long, ids array<int>, round_trip boolean")
     long = rows.where(giant).withColumn("digest", F.sha2("text", 256))
     distinct = long.groupBy("digest").agg(F.first("text").alias("text"))
     coded = distinct.join(_encode_giants(distinct, vocabulary, chunk_chars), "digest").select("digest", "ids", "text")
-    coded = coded.mapInArrow(compare, "digest string, ids array<int>, round_trip boolean")
+    coded = coded.mapInArrow(thrifty(compare), "digest string, ids array<int>, round_trip boolean")
     giants = long.select("doc_id", "digest").join(coded, "digest")
     return short.unionByName(giants.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip"))
 
@@ -460,4 +460,4 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             texts = [pieces.decode(i or []) for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(thrifty(run), f"doc_id {kind}, text string")

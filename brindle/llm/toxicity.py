@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import plain_columns, small_batches, written
+from .shared import plain_columns, small_batches, thrifty, written
 
 A = 27  # letters a-z and the boundary, which is 0
 CELLS4, CELLS5 = A**4, A**5
@@ -211,7 +211,7 @@ def language_model(documents: DataFrame, smoothing: float = 5.0) -> np.ndarray:
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts[held])], ["window", "n"])
 
-    rows = small_batches(documents).select("text").mapInArrow(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).toArrow()
+    rows = small_batches(documents).select("text").mapInArrow(thrifty(run), "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS4)
     counts[rows["window"].to_numpy()] = rows["n"].to_numpy()
     four = counts.reshape(A, A, A, A)
@@ -437,7 +437,7 @@ def feature_table(rows: DataFrame, model: np.ndarray, z: float = 2.5, least_shar
     n, p, zz = F.col("clean") + F.col("toxic"), F.col("toxic") / (F.col("clean") + F.col("toxic")), z * z
     bound = (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
     table = (
-        rows.select("toxic", "text").mapInArrow(run, "feature long, clean long, toxic long")
+        rows.select("toxic", "text").mapInArrow(thrifty(run), "feature long, clean long, toxic long")
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where("toxic > 0")
@@ -494,7 +494,7 @@ def evidence(rows: DataFrame, model: np.ndarray, known: np.ndarray, weights: np.
 
     rows = small_batches(rows).select(*carry, *([] if "text" in carry else ["text"]))
     fields = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {fields[n]}" for n in carry), "evidence double"]))
+    return rows.mapInArrow(thrifty(run), ", ".join([*(f"`{n}` {fields[n]}" for n in carry), "evidence double"]))
 
 
 def best_cut(clean: np.ndarray, toxic: np.ndarray) -> float:
