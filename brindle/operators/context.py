@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 
@@ -78,29 +83,127 @@ def coreferent_candidates(mentions: DataFrame, persons: DataFrame) -> DataFrame:
     return each.join(n, ["doc_id", "mention_ord"]).select("doc_id", "mention_ord", "n_coref", "entity", (F.col("s") / F.col("n_coref")).alias("p"))
 
 
+def containers(names: list[str]) -> list[list[int]]:
+    """For each of the distinct names, those others that hold it between spaces or edges (its
+    first occurrence counts). What stands there is a run of whole words, so the runs of a
+    name's words are looked up among the names: no pairs are tried."""
+    place = {name: k for k, name in enumerate(names)}
+    sizes = sorted({name.count(" ") + 1 for name in names})
+    out: list[list[int]] = [[] for _ in names]
+    for k, name in enumerate(names):
+        words = name.split(" ")
+        for size in sizes:
+            if size > len(words):
+                break
+            for part in {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}:
+                held = place.get(part)
+                if held is None or held == k:
+                    continue
+                at = name.find(part)
+                if (at == 0 or name[at - 1] == " ") and (at + len(part) == len(name) or name[at + len(part)] == " "):
+                    out[held].append(k)
+    return out
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of several stretches, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _folded(names: list[str | None], starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray, shares: np.ndarray, person: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes, entity codes and shares of a document's mentions after the fold.
+
+    A mention's value depends on longer names only: on what mentions before it were given,
+    and on the input of those after it. So names are worked off from the longest one, and
+    mentions of a name with no changed mention between them share one value. Sums are
+    taken in the order of the mentions.
+    """
+    own: dict[str, list[int]] = {}
+    for k, name in enumerate(names):
+        if name is not None:
+            own.setdefault(name.lower(), []).append(k)
+    distinct = list(own)
+    rows = [np.asarray(v) for v in own.values()]
+    held = containers(distinct)
+    new_starts, new_sizes = starts.copy(), sizes.copy()
+    changed = np.zeros(len(names), bool)
+    pool_codes, pool_shares, room = codes.copy(), shares.copy(), len(codes)
+
+    def is_person(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (n > 0) & person[pool_codes[np.minimum(at, max(room - 1, 0))]] if room else np.zeros(len(at), bool)
+
+    for name in sorted(range(len(distinct)), key=lambda k: -len(distinct[k])):
+        if not held[name]:
+            continue
+        others = np.sort(np.concatenate([rows[k] for k in held[name]]))
+        late = np.flatnonzero(changed[others])
+        before = np.searchsorted(others[late], rows[name])  # changed ones before each mention
+        for n in np.unique(before):
+            at, size = starts[others], sizes[others]
+            at[late[:n]], size[late[:n]] = new_starts[others[late[:n]]], new_sizes[others[late[:n]]]
+            met = is_person(at, size)
+            if not met.any():
+                continue
+            flat = _ragged(at[met], size[met])
+            seen, first, entity = np.unique(pool_codes[flat], return_index=True, return_inverse=True)
+            p = np.bincount(entity, pool_shares[flat], len(seen)) / met.sum()  # adds in order
+            order = np.lexsort((-first, -p))
+            if room + len(seen) > len(pool_codes):
+                grown = 2 * (room + len(seen))
+                pool_codes, pool_shares = np.resize(pool_codes, grown), np.resize(pool_shares, grown)
+            pool_codes[room : room + len(seen)], pool_shares[room : room + len(seen)] = seen[order], p[order]
+            given = rows[name][before == n]
+            new_starts[given], new_sizes[given], changed[given] = room, len(seen), True
+            room += len(seen)
+    return new_starts, new_sizes, pool_codes[:room], pool_shares[:room]
+
+
+#: Candidates of an Arrow batch that the fold gives out.
+FOLD_CANDIDATES = 200_000
+
+
 def coreference_fold(mentions: DataFrame, persons: set[str]) -> DataFrame:
     """Exact coreference: each document's mentions in order, every one seeing the
-    candidates that its predecessors were given. ``persons`` is a closed list."""
-    schema = mentions.schema
+    candidates that its predecessors were given. ``persons`` is a closed list.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("mention_ord")
-        cands = [[dict(c) for c in own] for own in rows.cands]
-        names = [m.lower() for m in rows.mention]
-        for k, name in enumerate(names):
-            found = []
-            for j, other in enumerate(names):
-                at = other.find(name)
-                edge = at >= 0 and (at == 0 or other[at - 1] == " ") and (at + len(name) == len(other) or other[at + len(name)] == " ")
-                if edge and other != name and cands[j] and cands[j][0]["entity"] in persons:
-                    found.append(j)
-            if found:
-                total: dict[str, float] = {}
-                for j in found:
-                    for c in cands[j]:
-                        total[c["entity"]] = total.get(c["entity"], 0.0) + c["p"]
-                ranked = sorted(((p / len(found), i, e) for i, (e, p) in enumerate(total.items())), reverse=True)
-                cands[k] = [{"entity": e, "p": p} for p, _, e in ranked]
-        return rows.assign(cands=cands)
-
-    return mentions.groupBy("doc_id").applyInPandas(fold, schema)
+    Mentions without a name or candidates take no part with what they lack. A task holds a
+    document's names and given candidates; its results leave in bounded batches.
+    """
+    schema = mentions.schema
+    arrow = to_arrow_schema(schema)
+    cell = arrow.field("cands").type.value_type
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        table = table.take(pa.array(np.argsort(table["mention_ord"].to_numpy(), kind="stable")))
+        lists = table["cands"].combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        flat = lists.flatten()
+        entities = pc.struct_field(flat, "entity").dictionary_encode()
+        names = entities.dictionary
+        known = np.array([x in persons for x in names.to_pylist()] + [False])
+        codes = pc.fill_null(entities.indices, len(names)).to_numpy().astype(np.int64)
+        shares = pc.struct_field(flat, "p").to_numpy(zero_copy_only=False).astype(float)
+        starts = np.cumsum(sizes) - sizes
+        at, n, codes, shares = _folded(table["mention"].to_pylist(), starts, sizes, codes, shares, known)
+        said = pa.concat_arrays([names, pa.nulls(1, names.type)])
+        empty = pc.is_null(lists).to_numpy(zero_copy_only=False) & (n == 0)
+        cut, total = [0], np.cumsum(n)
+        while cut[-1] < len(n):
+            gone = total[cut[-1] - 1] if cut[-1] else 0
+            cut.append(min(len(n), max(cut[-1] + 1, int(np.searchsorted(total, gone + FOLD_CANDIDATES, side="right"))), cut[-1] + 10_000))
+        for a, b in zip(cut, cut[1:]):
+            places = _ragged(at[a:b], n[a:b])
+            values = {"entity": said.take(pa.array(codes[places])), "p": pa.array(shares[places]).cast(cell.field("p").type)}
+            cells = pa.StructArray.from_arrays([values[f.name].cast(f.type) for f in cell], fields=list(cell))
+            offsets = np.concatenate([[0], np.cumsum(n[a:b])]).astype(np.int32)
+            own = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(empty[a:b], False)), cells, type=arrow.field("cands").type)
+            part = table.slice(a, b - a).combine_chunks()
+            yield pa.RecordBatch.from_arrays([own if f == "cands" else _whole(part[f]) for f in arrow.names], arrow.names)
+
+    return mentions.groupBy("doc_id").applyInArrow(fold, schema)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()

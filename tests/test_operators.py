@@ -1,5 +1,7 @@
 """Small hand-computed cases for the entity-linking operators."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +209,43 @@ def test_answers(spark):
     docs = spark.createDataFrame([(1, "A Fox", []), (2, "the Fox", [(4, 3)]), (3, "", [])], "doc_id int, text string, spans array<struct<start:int,length:int>>")
     bodies = {r.doc_id: r.body for r in linking.answer(docs, index).collect()}
     assert '"start":2,"length":3,"ngram":"Fox","entity":"Fox_(animal)"' in bodies[1] and '"start":4' in bodies[2] and bodies[3] == "[]"
+
+
+def _fold_by_loops(rows, persons):
+    """Every mention against every other, in order."""
+    cands = {k: list(c) for k, _, c in rows}
+    for k, name, _ in rows:
+        total, met = {}, 0
+        for j, other, _ in rows:
+            a, b = name.lower(), other.lower()
+            at = b.find(a)
+            if at >= 0 and a != b and b[:at][-1:] in ("", " ") and b[at + len(a) :][:1] in ("", " ") and cands[j] and cands[j][0][0] in persons:
+                met += 1
+                for e, p in cands[j]:
+                    total[e] = total.get(e, 0.0) + p
+        if met:
+            place = {e: i for i, e in enumerate(total)}
+            cands[k] = sorted(((e, p / met) for e, p in total.items()), key=lambda x: (-x[1], -place[x[0]]))
+    return cands
+
+
+def test_fold_of_nested_names_equals_loops(spark):
+    """Names of several levels in any order, with spaces at odd places and shares that round."""
+    r = np.random.default_rng(3)
+    words = ["ann", "Bo", "cy", "d", ""]
+    docs = {d: [(k, " ".join(r.choice(words, r.integers(1, 5))), [(f"E{r.integers(9)}", float(r.random())) for _ in range(r.integers(0, 4))]) for k in range(150)] for d in range(4)}
+    cells = "doc_id long, mention_ord int, mention string, cands array<struct<entity:string,p:double>>"
+    frame = spark.createDataFrame([(d, *row) for d, own in docs.items() for row in own], cells)
+    got = {(x.doc_id, x.mention_ord): [tuple(c) for c in x.cands] for x in context.coreference_fold(frame, {"E1", "E2", "E3"}).collect()}
+    assert got == {(d, k): c for d, own in docs.items() for k, c in _fold_by_loops(own, {"E1", "E2", "E3"}).items()}
+
+
+def test_fold_of_a_large_document_is_not_quadratic(spark):
+    """60,000 mentions of one document: all pairs of them would take hours."""
+    rows = spark.range(60_000).selectExpr(
+        "1 AS doc_id", "id AS mention_ord", "IF(id % 3 = 0, 'w' || id % 40, 'w' || id % 40 || ' x' || id % 5000) AS mention",
+        "array(named_struct('entity', 'E' || id % 25, 'p', 0.75D)) AS cands",
+    )
+    began = time.time()
+    got = context.coreference_fold(rows, {"E1", "E2"}).where("mention_ord % 3 = 0").agg(F.count("*"), F.max(F.size("cands"))).first()
+    assert got[0] == 20_000 and got[1] >= 1 and time.time() - began < 60
