@@ -54,6 +54,29 @@ def near_words(mentions: DataFrame, n: int = NEAR_WORDS) -> dict[str, Column]:
     return {"left": X.tail(left, n), "inside": X.space_tokens(F.col("surface")), "right": F.slice(right, 1, n)}
 
 
+def mention_words(mentions: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
+    """``doc_id, chunk, mention_ord, names, prior`` and the words ``l, r, left, inside, right``
+    of mentions with candidates: a few hundred bytes where their vectors take tens of kB."""
+    first = F.slice("cands", 1, most)
+    clamped = F.transform(first, lambda c: F.least(F.lit(1.0), F.greatest(F.lit(1e-3), c["p"])))
+    sides = {"l": context_words(F.col("left_ctx")), "r": context_words(F.col("right_ctx"))} | near_words(mentions)
+    fixed = [F.transform(first, lambda c: c["entity"]).alias("names"), clamped.alias("prior")]
+    return mentions.where(F.size("cands") > 0).select("doc_id", "chunk", "mention_ord", *fixed, *[v.alias(k) for k, v in sides.items()])
+
+
+class Vectors:
+    """Vectors by word, as rows of one matrix."""
+
+    def __init__(self, words: list[str], rows: list[bytes], dim: int):
+        self.at = {w: k for k, w in enumerate(words)}
+        self.matrix = np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim)
+
+    def of(self, words: list[str], other: str | None = None) -> np.ndarray:
+        """The words' vectors; unknown words take that of ``other`` or drop out."""
+        places = [self.at.get(w, -1 if other is None else self.at[other]) for w in words]
+        return self.matrix[[k for k in places if k >= 0]].astype(float)
+
+
 def _placed_words(role: str, words: Column) -> Column:
     return F.transform(words, lambda w, k: F.struct(F.lit(role).alias("role"), k.alias("place"), w.alias("word")))
 

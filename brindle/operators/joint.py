@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gradients as G
+from . import features, ranking
 from .features import unpacked
 
 FAR = 1e10
@@ -207,14 +208,19 @@ def to_chunk(table: pd.DataFrame, width: int, pad_vector: np.ndarray) -> Chunk:
     come packed (see ``features.packed``)."""
     dim = len(pad_vector)
     lists = {n: [unpacked(None if v is None else list(v), dim) for v in table[n]] for n in ("tokens", "left", "inside", "right", "entities")}
+    return as_chunk(lists, list(table.prior), width, pad_vector, np.asarray(table.gold, int) if "gold" in table else None)
+
+
+def as_chunk(lists: dict[str, list[np.ndarray]], priors: list[np.ndarray], width: int, pad_vector: np.ndarray, gold: np.ndarray | None = None) -> Chunk:
+    """The vectors of a chunk's mentions as tensors."""
+    dim = len(pad_vector)
     tokens, token_mask = padded(lists["tokens"], dim)
     near = [padded(lists[n], dim) for n in ("left", "inside", "right")]
-    n = len(table)
+    n = len(priors)
     entities, mask, prior = np.tile(pad_vector, (n, width, 1)), np.zeros((n, width)), np.full((n, width), 1e-8)
-    for k, (own, p) in enumerate(zip(lists["entities"], table.prior)):
+    for k, (own, p) in enumerate(zip(lists["entities"], priors)):
         if len(own):
             entities[k, : len(own)], mask[k, : len(own)], prior[k, : len(own)] = own, 1.0, p
-    gold = np.asarray(table.gold, int) if "gold" in table else None
     return Chunk(tokens, token_mask, near, entities, mask, prior, gold)
 
 
@@ -234,6 +240,64 @@ def joint_scores(mentions: DataFrame, parameters: Parameters, pad_vector: np.nda
     return rows.groupBy("doc_id", "chunk").applyInPandas(run, f"doc_id {kind['doc_id']}, mention_ord {kind['mention_ord']}, scores array<double>, mask array<double>")
 
 
+#: Vectors are sent to every worker up to these bytes; beyond, a chunk's own are joined to it.
+VECTOR_BYTES = 32 << 20
+
+
+def scored_mentions(
+    mentions: DataFrame, vectors: DataFrame, parameters: Parameters, pad_vector: np.ndarray, keep_context: int = ranking.KEEP_CONTEXT, keep_total: int = ranking.KEEP_TOTAL
+) -> DataFrame:
+    """``doc_id, mention_ord, names, scores, mask`` of mentions (as ``features.mention_features``
+    takes them): the scores of ``joint_scores`` over these features.
+
+    Words travel, not vectors: a mention has hundreds of context words, and those of a
+    chunk's mentions are nearly the same, so a chunk meets each word's vector once.
+    """
+    rows, known, key = features.mention_words(mentions), features.packed(vectors), ["doc_id", "chunk"]
+    dim, kind = len(pad_vector), dict(rows.dtypes)
+    spark, near = mentions.sparkSession, features.UNKNOWN["near"]
+    listed = list(features.UNKNOWN.values())
+    small = vectors.count() * dim * 4 <= VECTOR_BYTES
+    found = (known if small else known.where(F.col("word").isin(*listed))).toArrow()
+    shared = spark.sparkContext.broadcast((parameters, pad_vector, features.Vectors(found["word"].to_pylist(), found["emb"].to_pylist(), dim) if small else dict(zip(found["word"].to_pylist(), found["emb"].to_pylist()))))
+
+    def scored(table: pd.DataFrame, vector: features.Vectors) -> pd.DataFrame:
+        own, pad = shared.value[:2]
+        table = table.sort_values("mention_ord")
+        lists: dict[str, list[np.ndarray]] = {n: [] for n in ("tokens", "left", "inside", "right", "entities")}
+        names, priors = [], []
+        for row in table.itertuples(index=False):
+            left, right = vector.of(row.l)[-features.CONTEXT_WORDS :], vector.of(row.r)[: features.CONTEXT_WORDS]
+            nearest = np.concatenate([left[-features.PRERANK_WORDS :], right[: features.PRERANK_WORDS]])
+            both = np.concatenate([left, right])
+            none = vector.of([features.UNKNOWN["word"]])
+            entities = vector.of([features.ENTITY + x if x is not None else None for x in row.names], features.UNKNOWN["entity"])
+            kept = features.kept_candidates(entities @ (nearest if len(nearest) else none).mean(axis=0), keep_context, keep_total)
+            lists["tokens"].append(both if len(both) else none)
+            lists["entities"].append(entities[kept])
+            for side in ("left", "inside", "right"):
+                words = getattr(row, side)
+                lists[side].append(vector.of(words if len(words) else [near], near))
+            names.append([row.names[k] for k in kept])
+            priors.append(np.asarray(row.prior)[kept])
+        chunk = as_chunk(lists, priors, keep_total, pad)
+        return pd.DataFrame({"doc_id": table.doc_id, "mention_ord": table.mention_ord, "names": names, "scores": list(score(chunk, own)), "mask": list(chunk.mask)})
+
+    schema = f"doc_id {kind['doc_id']}, mention_ord {kind['mention_ord']}, names array<string>, scores array<double>, mask array<double>"
+    if small:
+        return rows.groupBy(*key).applyInPandas(lambda table: scored(table, shared.value[2]), schema)
+
+    def joined(table: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if table.empty:
+            return pd.DataFrame({n: [] for n in ("doc_id", "mention_ord", "names", "scores", "mask")})
+        every = shared.value[2] | dict(zip(own.word, own.emb))
+        return scored(table, features.Vectors(list(every), list(every.values()), dim))
+
+    words = F.concat("l", "r", "left", "inside", "right", F.transform("names", features.entity_word))
+    asked = rows.select(F.col("doc_id").alias("_doc_id"), F.col("chunk").alias("_chunk"), F.explode(words).alias("word")).distinct()
+    return rows.groupBy(*key).cogroup(asked.join(known, "word").groupBy("_doc_id", "_chunk")).applyInPandas(joined, schema)
+
+
 def summed_gradient(mentions: DataFrame, parameters: Parameters, pad_vector: np.ndarray, width: int = 7) -> tuple[float, int, Parameters]:
     """Loss, chunks and gradient summed over all chunks of ``mentions`` (with ``gold``, the
     place of the right candidate). A task sends its sum only, whatever it holds."""

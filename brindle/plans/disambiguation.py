@@ -126,14 +126,14 @@ class Linker:
         while self.persisted:
             self.persisted.pop().unpersist()
 
-    def predict(self, found: DataFrame) -> DataFrame:
+    def predict(self, found: DataFrame, slim: DataFrame | None = None) -> DataFrame:
         """``doc_id, mention_ord, entity, conf_ed, names, scores`` of mentions with contexts
-        and candidates: coreference, features, joint scores, decision."""
-        rows = self._kept(context.document_chunks(self._coreferent(found), self.config["chunk_mentions"]))
-        inputs = self._kept(features.mention_features(rows, self.kb.vectors, self.config["keep_context"], self.config["keep_total"]))
-        width = self.config["keep_total"]
-        scored = joint.joint_scores(inputs, self.parameters, self.kb.unknown_entity(), width)
-        both = inputs.select("doc_id", "mention_ord", "names").join(scored, ["doc_id", "mention_ord"])
+        and candidates: coreference, features, joint scores, decision. ``slim`` has the
+        mentions without contexts where they are kept."""
+        rows = context.document_chunks(self._coreferent(found if slim is None else slim), self.config["chunk_mentions"])
+        if slim is not None:
+            rows = found.drop("cands").join(rows.select("doc_id", "mention_ord", "chunk", "cands"), ["doc_id", "mention_ord"])
+        both = joint.scored_mentions(rows, self.kb.vectors, self.parameters, self.kb.unknown_entity(), self.config["keep_context"], self.config["keep_total"])
         entity = ranking.decode(F.col("names"), F.col("mask"), F.col("scores"))
         sure = F.lit(0.0) if self.calibration is None else ranking.confidence(F.array_max("scores"), *self.calibration)
         return both.select("doc_id", "mention_ord", entity.alias("entity"), sure.alias("conf_ed"), "names", F.slice("scores", 1, F.size("names")).alias("scores"))
@@ -154,9 +154,10 @@ class Linker:
         return found.join(new, key, "left").withColumn("cands", F.coalesce("_cands", "cands")).drop("_cands")
 
     def results(self, found: DataFrame) -> DataFrame:
-        """Result rows of mentions; those that end as ``NIL`` are left out."""
-        found = self._kept(found)
-        return results.shape_results(found.withColumn("ngram", F.col("surface")), self.predict(found).select("doc_id", "mention_ord", "entity", "conf_ed"))
+        """Result rows of mentions; those that end as ``NIL`` are left out. Contexts, the bulk
+        of a mention, are not kept: they are made once, on the way to the scores."""
+        slim = self._kept(found.select("doc_id", "mention_ord", "pos", "surface", "cands", "conf_md", "tag"))
+        return results.shape_results(slim.withColumn("ngram", F.col("surface")), self.predict(found, slim).select("doc_id", "mention_ord", "entity", "conf_ed"))
 
     def answer(self, docs: DataFrame) -> DataFrame:
         """``doc_id, body``: JSON responses for ``docs`` (doc_id, text, spans); documents with

@@ -195,3 +195,27 @@ def test_gold_beyond_the_cut(spark):
     rows = spark.createDataFrame([(1, "e35", cands), (2, "e3", cands), (3, "no", cands), (4, "x", [])], "doc_id long, gold string, cands array<struct<entity:string,p:double>>")
     got = {r.doc_id: [c.entity for c in r.cands] for r in features.gold_into_candidates(rows).collect()}
     assert set(got) == {1, 2, 3} and got[1] == [f"e{k}" for k in range(29)] + ["e35"] and got[2] == [f"e{k}" for k in range(30)]
+
+
+@pytest.mark.parametrize("most", [joint.VECTOR_BYTES, 0])
+def test_scores_from_words_equal_those_from_vectors(spark, knowledge, monkeypatch, most):
+    """Vectors sent to the workers or joined to a chunk's words: the same scores as from a mention's own."""
+    monkeypatch.setattr(joint, "VECTOR_BYTES", most)
+    linker = disambiguation.Linker(knowledge, joint.initial_parameters(DIM))
+    texts = [(1, PANGRAM), (2, PANGRAM + ".\nThe bank of a river."), (3, "fox"), (4, "bank dog bank")]
+    found = linker.found_mentions(spark.createDataFrame(texts, "doc_id long, text string")).withColumn("chunk", F.lit(0).cast("long"))
+    pad = knowledge.unknown_entity()
+    inputs = features.mention_features(found, knowledge.vectors)
+    want = {(r.doc_id, r.mention_ord): r for r in inputs.select("doc_id", "mention_ord", "names").join(joint.joint_scores(inputs, linker.parameters, pad), ["doc_id", "mention_ord"]).collect()}
+    got = {(r.doc_id, r.mention_ord): r for r in joint.scored_mentions(found, knowledge.vectors, linker.parameters, pad).collect()}
+    assert got.keys() == want.keys() and len(got) > 5
+    for k, r in want.items():
+        assert (got[k].names, got[k].mask) == (r.names, r.mask) and np.allclose(got[k].scores, r.scores, rtol=0, atol=1e-9)
+
+
+def test_a_linker_keeps_no_contexts_or_vectors(spark, knowledge):
+    linker = disambiguation.Linker(knowledge, joint.initial_parameters(DIM))
+    linker.results(linker.found_mentions(spark.createDataFrame([(1, PANGRAM)], "doc_id long, text string"))).collect()
+    kept = {c for frame in linker.persisted for c in frame.columns}
+    linker.release()
+    assert kept and not kept & {"left_ctx", "right_ctx", "sentence", "tokens", "left", "right", "entities"}
