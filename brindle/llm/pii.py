@@ -40,7 +40,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import relieve, written
 
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "address")
 SAMPLE_ROWS = 4000
@@ -310,6 +310,7 @@ def teach(proposals: DataFrame, sample_rows: int = SAMPLE_ROWS, precision: float
     score = model_score(model.toDebugString, list(model.treeWeights))
     scored = proposals.select(F.round(score(F.struct(*FEATURES)), 3).alias("score"), F.col("label").cast("long").alias("label"))
     at = scored.groupBy("score").agg(F.sum("label").alias("right"), F.count("*").alias("n")).orderBy(F.desc("score")).collect()
+    relieve(proposals.sparkSession)
     right = n = 0
     threshold = None
     for row in at:  # one row a distinct score: at most the 1001 roundings

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,7 @@ def written(frame: DataFrame, label: str, keep: bool = False) -> DataFrame:
     if _open and not keep:
         _open[-1].append(path)
     frame.write.parquet(path)
+    relieve(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -124,6 +126,28 @@ def give_back() -> None:
         pass
 
 
+def relieve(spark: SparkSession) -> None:
+    """Returns the memory that the driver no longer uses to the system, like ``give_back`` in a
+    worker. Compiling and planning pass through the JVM's malloc, whose arenas keep what was
+    freed, and a heap rather grows than collects: beyond half of its bound it is collected.
+    A JVM without the command for malloc keeps what it has.
+    """
+    jvm, give = spark._jvm, spark.sparkContext._gateway.new_array
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > heap.maxMemory() // 2:
+        jvm.java.lang.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # By the interface's method: the server's own class is not open to the gateway.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        command = give(jvm.java.lang.Object, 4)
+        command[0], command[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, command)
+    except Py4JError:
+        pass
+    give_back()
+
+
 def thrifty(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """An Arrow function that gives back its arrays' memory at a task's end. Workers are kept
     from stage to stage, and allocators keep what was freed, so idle ones would add up."""

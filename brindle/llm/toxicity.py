@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .shared import plain_columns, small_batches, thrifty, written
+from .shared import plain_columns, relieve, small_batches, thrifty, written
 
 A = 27  # letters a-z and the boundary, which is 0
 CELLS4, CELLS5 = A**4, A**5
@@ -526,6 +526,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, *carry: str) -> Data
     rows, _ = training_rows(documents, labels)
     known, weights = feature_table(rows, model)
     cut = calibrate(rows, model, known, weights) if len(known) else 0.5
+    relieve(documents.sparkSession)
     documents = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *[c for c in carry if c != "text"])
     scored = evidence(documents, model, known, weights, "doc_id", "held_out", *carry)
     mean = F.col("evidence")

@@ -77,6 +77,23 @@ def test_memory_goes_back_at_a_tasks_end():
     assert list(shared.thrifty(run)(iter([1, 2]))) == [1, 2] and rss() < before + 60
 
 
+def test_the_driver_gives_back_what_it_freed(spark):
+    """Native blocks of the driver's JVM below one that stays: malloc alone would keep them."""
+    import psutil
+
+    jvm = spark._jvm
+    process = psutil.Process(jvm.java.lang.ProcessHandle.current().pid())
+    shared.written(spark.range(3), "compiled")  # so that the second write takes little
+    blocks = [jvm.java.util.zip.Deflater() for _ in range(4000)]
+    for block in blocks[:-1]:
+        block.end()
+    before = process.memory_info().rss >> 20
+    assert shared.written(spark.range(3), "relieved").count() == 3
+    after = process.memory_info().rss >> 20
+    blocks[-1].end()
+    assert after < before - 100
+
+
 def test_reject_toxic_learns_from_all_rows(spark, monkeypatch):
     """The stage's cut is that of all training rows, not of a sample of about 20,000."""
     frame = spark.range(30_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'wretch', 'friend') AS text", "'en' AS lang")
