@@ -102,3 +102,21 @@ def test_reject_toxic_learns_from_all_rows(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "best_cut", lambda clean, toxic: seen.append(clean.sum() + toxic.sum()) or cut(clean, toxic))
     kept = toxicity.reject_toxic(frame, labels)
     assert seen == [labels.where(~toxicity.held_out(labels.doc_id)).count()] and kept.where("text = 'wretch'").count() == 0 and kept.count() == 20_000
+
+
+def test_reject_toxic_counts_every_row(spark, monkeypatch):
+    """The stage's language model counts all documents, its weights all training rows."""
+    frame = spark.range(30_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'wretch', 'friend') AS text", "'en' AS lang")
+    labels = frame.selectExpr("doc_id", "1 AS quality", "int(doc_id % 3 = 0) AS toxic")
+    found = {}
+    for name in ("language_model", "feature_table"):
+        learn = getattr(toxicity, name)
+        monkeypatch.setattr(toxicity, name, lambda *given, name=name, learn=learn: found.setdefault(name, learn(*given)))
+    toxicity.reject_toxic(frame, labels)
+    w, r, e, t = (ord(c) - 96 for c in "wret")
+    # Anything but t after wre has only what two levels of smoothing (5) leave, and 2 of 3 e's have no t behind.
+    other = -np.expm1(found["language_model"][w, r, e, t])
+    assert abs(5 / np.sqrt(1.5 * other) - 5 - 10_000) < 2
+    # Wilson's lower bound (z = 2.5) of n of n is n / (n + z * z).
+    most = found["feature_table"][1].max()
+    assert round(6.25 * most / (1 - most)) == labels.where("toxic = 1").where(~toxicity.held_out(labels.doc_id)).count()
