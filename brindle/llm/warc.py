@@ -45,6 +45,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = 1_700_000_000
 #: Size classes: payload bytes at most (None: no limit), records of an archive at most.
 SIZES = ((64 << 10, 1000), (4 << 20, 16), (None, 1))
+#: An archive's run and its number in it, by the last "-c": the job's random id before it may
+#: hold "-c" and a digit as well.
+ARCHIVE = r"^(.*)-c([0-9]+)[^/]*$"
 #: Index entries of a range, and of a run that are Python rows at a time.
 RANGE_ENTRIES, READ_AHEAD = 200_000, 256
 
@@ -319,7 +322,7 @@ def merge_runs(index: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFram
     spread = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, -(-n // range_entries), min(spread, -(-n // (range_entries // 10 or 1))))
     ordered = (
-        keyed.select(F.regexp_extract("archive", r"^(.*)-c[0-9]+[^/]*$", 1).alias("run"), F.regexp_extract("archive", r"-c([0-9]+)[^/]*$", 1).cast("long").alias("file"), *keyed.columns)
+        keyed.select(F.regexp_extract("archive", ARCHIVE, 1).alias("run"), F.regexp_extract("archive", ARCHIVE, 2).cast("long").alias("file"), *keyed.columns)
         .repartitionByRange(ranges, "key", "stamp", "page_id", "archive")
         .sortWithinPartitions("run", "file", "place")
     )

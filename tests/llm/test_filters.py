@@ -185,6 +185,20 @@ def test_archives_of_all_sizes(spark, tmp_path):
         assert r.payload_digest == hashlib.sha256(html[r.page_id]).hexdigest()
 
 
+def test_runs_whatever_their_job_id(spark, tmp_path):
+    """The random id of the writing job is in the archives' names, and "-c" and a digit may be in it."""
+    frame = spark.createDataFrame([(k, f"http://h.org/{k:03d}", f"<p>{k}</p>") for k in range(60)], "page_id long, url string, html string").coalesce(1)
+    for job in ("721d5048-86bd-477a-989a-c6a955eef2d6", "c21d5048-86bd-477a-989a-f6a955eef2d6", "721d5048-c6bd-477a-989a-f6a955eef2d6"):
+        path = tmp_path / job
+        warc.write_archives(frame, str(path), ((None, 7),))
+        archives = list(path.glob("size-0/*.gz"))
+        for archive in archives:
+            archive.rename(archive.with_name(re.sub(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", job, archive.name)))
+        merged = warc.merge_runs(warc.read_index(spark, str(path)), 1000).collect()
+        assert [r.page_id for r in merged] == list(range(60))
+        assert len(archives) == 9 and {job in r.archive for r in merged} == {True}
+
+
 def test_loser_tree():
     r = np.random.default_rng(3)
     for k in (0, 1, 2, 3, 7, 16):
