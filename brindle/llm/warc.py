@@ -99,7 +99,9 @@ def record() -> Column:
         F.lit(CRLF * 2),
     )
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-    stamp = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(capture_time(F.col("page_id"))), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # Without a time zone: a session's zone may lack the hour.
+    time = F.timestamp_add("SECOND", capture_time(F.col("page_id")), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    stamp = F.concat(F.replace(time.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
 
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))

@@ -1,6 +1,7 @@
 import hashlib
 import re
 import zlib
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -199,6 +200,19 @@ def test_runs_whatever_their_job_id(spark, tmp_path):
         assert len(archives) == 9 and {job in r.archive for r in merged} == {True}
 
 
+def test_dates_in_a_zone_that_skips_an_hour(spark):
+    """On 31 March 2024 Berlin had no time from 2:00 to 3:00; captures before, in and after it."""
+    first = int(datetime(2024, 3, 31, 1, tzinfo=timezone.utc).timestamp())
+    frame = spark.createDataFrame([(first + 60 * k - warc.EPOCH, "http://h.org/x", "x") for k in range(180)], "page_id long, url string, html string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        stamps = [r.stamp for r in warc.archive_and_merge(frame).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert stamps == [datetime.fromtimestamp(first + 60 * k, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ") for k in range(180)]
+
+
 def test_loser_tree():
     r = np.random.default_rng(3)
     for k in (0, 1, 2, 3, 7, 16):
