@@ -30,13 +30,18 @@ def _cut(text: Column, boundary: str) -> Column:
     return X.named(parts, lambda cut: F.filter(placed(cut), lambda x: F.trim(x["sentence"]) != ""))
 
 
+def sentence_list(text: Column, boundary: str = SENTENCE_END) -> Column:
+    """``array<struct<sentence, pos_start>>`` of a text, as ``sentences`` numbers them."""
+    return _cut(F.coalesce(text, F.lit("")), boundary)
+
+
 def sentences(docs: DataFrame, boundary: str = SENTENCE_END, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, sent_idx, sentence, pos_start, pos_end`` (code points of the document).
 
     Offsets are sums of the lengths of sentences and boundaries, taken inside the row: no
     search and no shuffle. Blank sentences are dropped before numbering.
     """
-    rows = docs.select("doc_id", *carry, F.posexplode(_cut(F.coalesce("text", F.lit("")), boundary)).alias("sent_idx", "x"))
+    rows = docs.select("doc_id", *carry, F.posexplode(sentence_list(F.col("text"), boundary)).alias("sent_idx", "x"))
     return rows.select("doc_id", *carry, "sent_idx", "x.sentence", "x.pos_start", (F.col("x.pos_start") + F.length("x.sentence")).alias("pos_end"))
 
 

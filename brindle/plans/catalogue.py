@@ -701,7 +701,7 @@ def _knowledge(spark: SparkSession, sf_dir: str) -> disambiguation.KnowledgeBase
 def ed_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns to mentions, contexts, candidates, coreference, features, joint scores, decisions."""
     linker = disambiguation.Linker(_knowledge(spark, sf_dir), joint.initial_parameters(64), (0.5, -0.1))
-    return linker.results(linker.found_mentions(_turns(spark, sf_dir)))
+    return linker.linked(_turns(spark, sf_dir))
 
 
 @query("""WITH e AS (SELECT vec_id // 10 AS m, vec_id % 10 AS idx, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 10 <= vec_id // 10 % 9),

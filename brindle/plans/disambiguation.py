@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, features, joint, mentions, pem, ranking, results
+from ..operators import context, features, joint, mentions, passage, pem, ranking, results
 from ..sources import readers, sinks
 
 #: Settings of a linker; a user's settings are laid over these.
@@ -159,11 +159,44 @@ class Linker:
         slim = self._kept(found.select("doc_id", "mention_ord", "pos", "surface", "cands", "conf_md", "tag"))
         return results.shape_results(slim.withColumn("ngram", F.col("surface")), self.predict(found, slim).select("doc_id", "mention_ord", "entity", "conf_ed"))
 
+    def scored_passages(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, pos, surface, freq, names, scores, mask``: what ``predict`` says of the
+        ``found_mentions`` of ``docs`` (doc_id, text), made document by document, so that no
+        mention's contexts, candidates or vectors are shuffled. Not for exact coreference."""
+        docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+        send = docs.sparkSession.sparkContext.broadcast
+        spelled = mentions.SpellingFilter.of(self.kb.index)
+        n = min(self.config["ngram_words"], max(spelled.words, 1))
+        known = self._kept(passage.spellings(mentions.ngrams(mentions.sentences(docs), n, spelled), self.kb.index, self.kb.persons))
+        dim = len(self.parameters["attention"])
+        places, matrix, unknown = passage.frequent_words(docs, known, self.kb.vectors, dim, joint.VECTOR_BYTES)
+        passes, frequent = send(spelled), send(passage.frequent_spellings(known))
+        scorer = send(passage.Scorer(self.parameters, places, matrix, unknown, self.config))
+        asked = passage.rare_spellings(docs, n, passes, frequent)
+        own = asked.join(known, "surface").groupBy("doc_id").agg(F.collect_list(F.struct("surface", *passage.SPELLING)).alias("own"))
+        rows = self._kept(passage.chunks(docs.join(own, "doc_id", "left"), n, passes, frequent, scorer, self.config))
+        words = rows.select("doc_id", "chunk", F.explode("rare").alias("word")).join(features.packed(self.kb.vectors), "word")
+        words = words.groupBy("doc_id", "chunk").agg(F.collect_list(F.struct("word", "emb")).alias("own"))
+        return passage.scored(rows.drop("rare").join(words, ["doc_id", "chunk"], "left"), scorer)
+
+    def linked(self, docs: DataFrame) -> DataFrame:
+        """Result rows of ``docs`` (doc_id, text) by the n-gram tagger: those of ``results`` over
+        ``found_mentions``. The exact coreference goes the long way."""
+        if self.config["coreference"] == "exact":
+            return self.results(self.found_mentions(docs))
+        said = self.scored_passages(docs)
+        sure = F.lit(0.0) if self.calibration is None else ranking.confidence(F.array_max("scores"), *self.calibration)
+        decided = said.withColumn("entity", ranking.decode(F.col("names"), F.col("mask"), F.col("scores"))).where("entity <> 'NIL'")
+        return decided.select(
+            "doc_id", F.col("pos").alias("start"), F.length("surface").alias("length"), F.col("surface").alias("ngram"),
+            "entity", sure.alias("conf_ed"), F.col("freq").cast("double").alias("conf_md"), F.lit("#NGRAM#").alias("tag"),
+        )
+
     def answer(self, docs: DataFrame) -> DataFrame:
         """``doc_id, body``: JSON responses for ``docs`` (doc_id, text, spans); documents with
         spans are disambiguated there, others are searched."""
         free, given = docs.where(F.size("spans") == 0), docs.where(F.size("spans") > 0)
-        rows = self.results(self.found_mentions(free)).unionByName(self.results(self.given_mentions(given)))
+        rows = self.linked(free).unionByName(self.results(self.given_mentions(given)))
         return docs.select("doc_id").join(results.response(rows), "doc_id", "left").select("doc_id", F.coalesce("body", F.lit("[]")).alias("body"))
 
     def evaluate(self, gold: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import features, gradients, joint, ranking
-from brindle.plans import disambiguation
+from brindle.operators import features, gradients, joint, passage, ranking
+from brindle.plans import catalogue, disambiguation
 
 DIM = 5
+SF = "/root/testdata/sf0.001"
 
 
 def chunk(seed, n=3, width=4, gold=True):
@@ -219,3 +220,56 @@ def test_a_linker_keeps_no_contexts_or_vectors(spark, knowledge):
     kept = {c for frame in linker.persisted for c in frame.columns}
     linker.release()
     assert kept and not kept & {"left_ctx", "right_ctx", "sentence", "tokens", "left", "right", "entities"}
+
+
+@pytest.mark.parametrize("n,most", [(1, 1), (4, 2), (9, 4), (6, 3)])
+def test_quick_scores_equal_the_models(n, most):
+    r, width, pad = np.random.default_rng(n), 4, np.ones(DIM)
+    lists = {k: [r.normal(size=(r.integers(1, 5), DIM)) for _ in range(n)] for k in ("tokens", "left", "inside", "right")}
+    lists["entities"] = [r.normal(size=(most if k == 0 else r.integers(1, most + 1), DIM)) for k in range(n)]
+    whole, p = joint.as_chunk(lists, [r.uniform(0.01, 1, len(x)) for x in lists["entities"]], width, pad), joint.initial_parameters(DIM, hidden=6, seed=n)
+    columns = min(most + 1, width)
+    cut = joint.Chunk(whole.tokens, whole.token_mask, whole.near, *(x[:, :columns] for x in (whole.entities, whole.mask, whole.prior)))
+    want = joint.score(whole, p)
+    assert np.allclose(want, slow_scores(whole, p)) and np.allclose(joint.quick_scores(cut, p, most, width - columns + 1), want[:, :columns], rtol=0, atol=1e-12)
+
+
+def odd_turns():
+    texts = [
+        "The  quick\tfox, (fox) FOX fox. 12 1e5 nan of_the fox_1\u00a0dog bank\u00a0fox dog\u00a0", None, "", "  ", "\u0130stanbul bank dog \u0301fox \u1c89\ua7cb fox bank", "dog bank fox",
+        " ".join(["fox the bank, of river DOG"] * 60) + ".\nNext dog bank! \"Bank dog\" big  dog   bank x", "Dog.\n\nBank? 3 dogs (dog bank.) !! dog - bank ... fox's Fox",
+    ]
+    return [(k, t) for k, t in enumerate(texts)] + [(None, "fox dog")]
+
+
+@pytest.mark.parametrize("most,spellings", [(joint.VECTOR_BYTES, passage.FREQUENT_SPELLINGS), (0, 0), (12 * DIM, 2)])
+def test_passages_equal_mentions(spark, knowledge, monkeypatch, most, spellings):
+    """Document by document: the mentions, candidates and scores of the operators that have a row for each."""
+    monkeypatch.setattr(joint, "VECTOR_BYTES", most)
+    monkeypatch.setattr(passage, "FREQUENT_SPELLINGS", spellings)
+    more = [("big dog bank", "big dog bank", 2, [("Dog", 0.9), ("Bank", 0.4)]), ("dog bank", "dog bank", 3, [("Dog", 0.5), ("Fox", 0.5), ("No", 0.1)]), ("nil", "nil", 1, [])]
+    index = knowledge.index.union(spark.createDataFrame(more, knowledge.index.schema))
+    docs = spark.createDataFrame(odd_turns(), "doc_id long, text string")
+    linker = disambiguation.Linker(disambiguation.KnowledgeBase(index, knowledge.vectors, knowledge.persons), joint.initial_parameters(DIM), (0.5, -0.1))
+    found = linker.found_mentions(docs).cache()
+    want = {(r.doc_id, r.pos, r.surface): r for r in linker.predict(found).join(found, ["doc_id", "mention_ord"]).select("doc_id", "pos", "surface", "freq", "names", "scores").collect()}
+    rows = linker.scored_passages(docs).collect()
+    got = {(r.doc_id, r.pos, r.surface): r for r in rows}
+    assert got.keys() == want.keys() and len(got) == len(rows) > 150
+    for k, r in want.items():
+        assert (got[k].freq, got[k].names) == (r.freq, r.names) and np.allclose(got[k].scores[: len(r.names)], r.scores, rtol=0, atol=1e-9), k
+    results = [{tuple(r)[:5] + tuple(r)[6:]: round(r.conf_ed, 9) for r in rows.collect()} for rows in (linker.linked(docs), linker.results(linker.found_mentions(docs)))]
+    assert results[0] == results[1] and len(results[0]) > 150
+    found.unpersist()
+    linker.release()
+
+
+def test_linked_turns_shuffle_no_mentions(spark):
+    """What the executors keep between the steps of ``ed_pipeline`` are spellings and whole chunks, no row of a mention."""
+    linker = disambiguation.Linker(catalogue._knowledge(spark, SF), joint.initial_parameters(64), (0.5, -0.1))
+    turns = catalogue._turns(spark, SF)
+    n = linker.linked(turns).count()
+    kept = [frame.count() for frame in linker.persisted]
+    columns = {c for frame in linker.persisted for c in frame.columns}
+    linker.release()
+    assert not columns & {"pos", "mention_ord", "sentence", "left_ctx", "start"} and kept[-1] < n / 10
