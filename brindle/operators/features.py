@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,12 +81,14 @@ def _placed_words(role: str, words: Column) -> Column:
     return F.transform(words, lambda w, k: F.struct(F.lit(role).alias("role"), k.alias("place"), w.alias("word")))
 
 
-def packed(vectors: DataFrame) -> DataFrame:
+def packed(vectors: DataFrame, wanted: Callable[[str], bool] | None = None) -> DataFrame:
     """``word, emb`` with the vectors' numbers as bytes (32-bit floats), which shuffles and
-    Arrow functions carry without touching each number."""
+    Arrow functions carry without touching each number; those of the ``wanted`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array([wanted(w) for w in batch.column(0).to_pylist()], pa.bool_()))
             rows = [None if v is None else np.asarray(v, np.float32).tobytes() for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["word", "emb"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import context, features, joint, mentions, pem
+from . import context, features, joint, mentions, pem, stored
 
 #: Spellings sent to the workers at most, and their candidates together.
 FREQUENT_SPELLINGS, FREQUENT_CANDIDATES = 1 << 15, 1 << 18
@@ -80,16 +80,15 @@ def frequent_words(docs: DataFrame, known: DataFrame, vectors: DataFrame, dim: i
     entities = known.select("n", F.explode(F.slice("cands", 1, features.MAX_CANDIDATES)).alias("c")).select(features.entity_word(F.col("c.entity")).alias("word"), "n")
     top = words.groupBy("word").agg(F.sum("n").alias("n")).union(entities.groupBy("word").agg(F.sum("n").alias("n"))).where("word IS NOT NULL")
     top = top.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max(most // (4 * dim), 0)).select("word")
-    fixed = docs.sparkSession.createDataFrame([(w,) for w in features.UNKNOWN.values()], "word string")
-    found = top.union(fixed).distinct().join(features.packed(vectors), "word", "left").toArrow()
-    place: dict[str, int] = {}
+    place = dict.fromkeys([*features.UNKNOWN.values(), *top.toArrow()["word"].to_pylist()], -1)
+    asked = docs.sparkSession.sparkContext.broadcast(frozenset(place))
+    found = features.packed(vectors, lambda w: w in asked.value).where("emb IS NOT NULL").toArrow()
     rows: list[bytes] = []
     for word, emb in zip(found["word"].to_pylist(), found["emb"].to_pylist()):
-        if word in place and place[word] >= 0:
-            continue
-        place[word] = -1 if emb is None else len(rows)
-        if emb is not None:
+        if place[word] < 0:
+            place[word] = len(rows)
             rows.append(emb)
+    asked.destroy()
     matrix = np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim)
     return place, matrix, {k: matrix[place[w]].astype(float) for k, w in features.UNKNOWN.items()}
 
@@ -126,7 +125,7 @@ def rare_spellings(docs: DataFrame, n: int, passes: Broadcast, frequent: Broadca
 
     name = dict(docs.dtypes)["doc_id"]
     kind = _arrow(docs, "doc_id")
-    return docs.select("doc_id", mentions.sentence_list(F.col("text")).alias("sents")).mapInArrow(run, f"doc_id {name}, surface string")
+    return docs.select("doc_id", mentions.sentence_list(F.col("text")).alias("sents")).mapInArrow(stored.thrifty(run), f"doc_id {name}, surface string")
 
 
 def _arrow(frame: DataFrame, column: str) -> pa.DataType:
@@ -270,7 +269,7 @@ def chunks(docs: DataFrame, n: int, passes: Broadcast, frequent: Broadcast, plac
             every = list(words.at)
             rare = [w for w in {*every, *entities} if w not in places.value.places]
             body = (every, np.cumsum([0, *map(len, ids)]).astype(np.int32), np.array([w for x in ids for w in x], np.int32), rows)
-            yield first // size, rare, zlib.compress(pickle.dumps(body, 5), 1)
+            yield first // size, rare, zlib.compress(pickle.dumps(body, 5), 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
@@ -284,7 +283,7 @@ def chunks(docs: DataFrame, n: int, passes: Broadcast, frequent: Broadcast, plac
 
     runs = lambda x: F.regexp_extract_all(x["sentence"], F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     cut = F.transform(mentions.sentence_list(F.col("text")), lambda x: F.struct(x["sentence"].alias("sentence"), x["pos_start"].alias("pos_start"), runs(x).alias("runs")))
-    return docs.select("doc_id", cut.alias("sents"), "own").mapInArrow(run, CHUNK.format(dict(docs.dtypes)["doc_id"]))
+    return docs.select("doc_id", cut.alias("sents"), "own").mapInArrow(stored.thrifty(run), CHUNK.format(dict(docs.dtypes)["doc_id"]))
 
 
 def _cells(lists: list[np.ndarray | list[int]], none: int) -> np.ndarray:
@@ -391,4 +390,4 @@ def scored(rows: DataFrame, scorer: Broadcast) -> DataFrame:
                 ["doc_id", "pos", "surface", "freq", "names", "scores", "mask"],
             )
 
-    return rows.select("doc_id", "body", "own").mapInArrow(run, SCORED.format(dict(rows.dtypes)["doc_id"]))
+    return rows.select("doc_id", "body", "own").mapInArrow(stored.thrifty(run), SCORED.format(dict(rows.dtypes)["doc_id"]))

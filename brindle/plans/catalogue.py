@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, counts, features, joint, kb, markup, mentions, pem, ranking, results, wikitext
+from ..operators import context, counts, features, joint, kb, markup, mentions, pem, ranking, results, stored, wikitext
 from ..sources import readers
 from . import disambiguation, knowledge, linking
 
@@ -686,6 +686,7 @@ def _knowledge(spark: SparkSession, sf_dir: str) -> disambiguation.KnowledgeBase
     """An ambiguous index over words of the turns (a word, and four words that it may stand
     for), vectors of nine in ten of these by hash, three words as persons."""
     words = _turns(spark, sf_dir).select(F.explode(X.space_tokens(F.col("text"))).alias("mention")).groupBy("mention").agg(F.count("*").alias("freq"))
+    words = stored.written(words, "words")
     entity = lambda k: F.concat(F.lit("E"), F.pmod(F.crc32("mention") + 7 * k, F.lit(97)).cast("string"))
     cands = F.array(*[F.struct(entity(k).alias("entity"), F.lit(p).alias("p")) for k, p in ((0, 0.4), (1, 0.3), (2, 0.2), (3, 0.1))])
     index = words.where("length(mention) > 2").select("mention", F.lower("mention").alias("lower"), "freq", cands.alias("cands"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, features, joint, mentions, passage, pem, ranking, results
+from ..operators import context, features, joint, mentions, passage, pem, ranking, results, stored
 from ..sources import readers, sinks
 
 #: Settings of a linker; a user's settings are laid over these.
@@ -122,6 +122,11 @@ class Linker:
         self.persisted.append(frame.persist(StorageLevel.MEMORY_AND_DISK))
         return frame
 
+    def _written(self, frame: DataFrame, label: str) -> DataFrame:
+        """A table of spellings or chunks that several later steps read, on shared storage."""
+        self.persisted.append(stored.written(frame, label))
+        return self.persisted[-1]
+
     def release(self) -> None:
         while self.persisted:
             self.persisted.pop().unpersist()
@@ -163,19 +168,20 @@ class Linker:
         """``doc_id, pos, surface, freq, names, scores, mask``: what ``predict`` says of the
         ``found_mentions`` of ``docs`` (doc_id, text), made document by document, so that no
         mention's contexts, candidates or vectors are shuffled. Not for exact coreference."""
-        docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+        docs = stored.small_batches(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()))
         send = docs.sparkSession.sparkContext.broadcast
         spelled = mentions.SpellingFilter.of(self.kb.index)
         n = min(self.config["ngram_words"], max(spelled.words, 1))
-        known = self._kept(passage.spellings(mentions.ngrams(mentions.sentences(docs), n, spelled), self.kb.index, self.kb.persons))
+        known = self._written(passage.spellings(mentions.ngrams(mentions.sentences(docs), n, spelled), self.kb.index, self.kb.persons), "spellings")
         dim = len(self.parameters["attention"])
         places, matrix, unknown = passage.frequent_words(docs, known, self.kb.vectors, dim, joint.VECTOR_BYTES)
         passes, frequent = send(spelled), send(passage.frequent_spellings(known))
         scorer = send(passage.Scorer(self.parameters, places, matrix, unknown, self.config))
         asked = passage.rare_spellings(docs, n, passes, frequent)
         own = asked.join(known, "surface").groupBy("doc_id").agg(F.collect_list(F.struct("surface", *passage.SPELLING)).alias("own"))
-        rows = self._kept(passage.chunks(docs.join(own, "doc_id", "left"), n, passes, frequent, scorer, self.config))
-        words = rows.select("doc_id", "chunk", F.explode("rare").alias("word")).join(features.packed(self.kb.vectors), "word")
+        rows = self._written(passage.chunks(docs.join(own, "doc_id", "left"), n, passes, frequent, scorer, self.config), "chunks")
+        rare = features.packed(self.kb.vectors, lambda w: w not in scorer.value.places)
+        words = rows.select("doc_id", "chunk", F.explode("rare").alias("word")).join(rare, "word")
         words = words.groupBy("doc_id", "chunk").agg(F.collect_list(F.struct("word", "emb")).alias("own"))
         return passage.scored(rows.drop("rare").join(words, ["doc_id", "chunk"], "left"), scorer)
 
